@@ -23,7 +23,7 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
     if not cols:
         return df
-    return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in cols})
+    return df.withColumns({c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in cols})
 
 
 def register(name: str, oracle: str | None = None, doubles=()):

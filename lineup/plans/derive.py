@@ -164,3 +164,130 @@ def cte_prediction_log() -> str:
         "plog as (select " + ", ".join(PREDICTION_LOG_EXPRS) +
         " from picked left join res using (game_id))"
     )
+
+
+# ---- odds feed documents (one JSON array per game, with planted defects) ----
+
+BOOKS = ["draftkings", "fanduel", "betmgm"]
+G = "o_orderkey"
+
+
+def home_price_sql(k: int) -> str:
+    return (f"case when ({G} + {k}) % 2 = 0 then -(100 + ({G} * 7 + {13 * k}) % 200) "
+            f"else 100 + ({G} * 11 + {17 * k}) % 200 end")
+
+
+def away_price_sql(k: int) -> str:
+    return (f"case when ({G} + {k}) % 2 = 1 then -(100 + ({G} * 3 + {19 * k}) % 200) "
+            f"else 100 + ({G} * 5 + {23 * k}) % 200 end")
+
+
+# Defects, by game id g and book number k (1..3); each is skipped on its own.
+DEFECT_JUNK_ELEMENT = f"{G} % 7 = 0"          # extra non-object array element
+DEFECT_NO_AWAY = f"{G} % 13 = 0"              # game without away team -> game dropped
+DEFECT_BOOK_NOT_OBJECT = (3, f"{G} % 5 = 0")  # bookmaker is a string
+DEFECT_BOOK_NO_KEY = (2, f"{G} % 11 = 0")     # bookmaker without key
+DEFECT_NO_H2H = (1, f"{G} % 17 = 0")          # only a spreads market
+DEFECT_OUTCOMES_OBJECT = (2, f"{G} % 19 = 0")  # outcomes is an object
+DEFECT_PRICE_TEXT = (1, f"{G} % 23 = 0")      # home price is text
+DEFECT_PRICE_NULL = (3, f"{G} % 29 = 0")      # home price is null
+DEFECT_DUPLICATE = (1, f"{G} % 31 = 0")       # home outcome repeated, +5 (last wins)
+DEFECT_BAD_TIME = f"{G} % 37 = 0"             # commence_time is not a time
+
+
+def _book_json(k: int, home: str, away: str) -> str:
+    hp = home_price_sql(k)
+    hp_json = f"cast({hp} as string)"
+    if k == DEFECT_PRICE_TEXT[0]:
+        hp_json = f"case when {DEFECT_PRICE_TEXT[1]} then '\"even\"' else {hp_json} end"
+    if k == DEFECT_PRICE_NULL[0]:
+        hp_json = f"case when {DEFECT_PRICE_NULL[1]} then 'null' else {hp_json} end"
+    dup = "''"
+    if k == DEFECT_DUPLICATE[0]:
+        dup = (f"case when {DEFECT_DUPLICATE[1]} then concat(',{{\"name\":\"', {home}, "
+               f"'\",\"price\":', cast({hp} + 5 as string), '}}') else '' end")
+    outcomes = (f"concat('[{{\"name\":\"', {home}, '\",\"price\":', {hp_json}, '}},{{\"name\":\"', {away}, "
+                f"'\",\"price\":', cast({away_price_sql(k)} as string), '}}', {dup}, ']')")
+    if k == DEFECT_OUTCOMES_OBJECT[0]:
+        outcomes = f"case when {DEFECT_OUTCOMES_OBJECT[1]} then '{{\"name\":\"x\"}}' else {outcomes} end"
+    market_key = "'h2h'"
+    if k == DEFECT_NO_H2H[0]:
+        market_key = f"case when {DEFECT_NO_H2H[1]} then 'spreads' else 'h2h' end"
+    key = f"'\"key\":\"{BOOKS[k - 1]}\",'"
+    if k == DEFECT_BOOK_NO_KEY[0]:
+        key = f"case when {DEFECT_BOOK_NO_KEY[1]} then '' else {key} end"
+    book = (f"concat('{{', {key}, '\"markets\":[{{\"key\":\"totals\",\"outcomes\":[]}},{{\"key\":\"', "
+            f"{market_key}, '\",\"outcomes\":', {outcomes}, '}}]}}')")
+    if k == DEFECT_BOOK_NOT_OBJECT[0]:
+        book = f"case when {DEFECT_BOOK_NOT_OBJECT[1]} then '\"oops\"' else {book} end"
+    return book
+
+
+COMMENCE_TS = f"timestampadd(HOUR, 16 + {G} % 12, cast(cast(o_orderdate as date) as timestamp))"
+
+
+def odds_doc_sql() -> str:
+    home = team_name_sql(HOME_ID, "spark")
+    away = team_name_sql(AWAY_ID, "spark")
+    ct = (f"case when {DEFECT_BAD_TIME} then 'not-a-date' else "
+          f"date_format({COMMENCE_TS}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end")
+    away_field = f"case when {DEFECT_NO_AWAY} then '' else concat('\"away_team\":\"', {away}, '\",') end"
+    books = ", ',', ".join(_book_json(k, home, away) for k in (1, 2, 3))
+    game = (f"concat('{{\"id\":\"', cast({G} as string), '\",\"commence_time\":\"', {ct}, "
+            f"'\",\"home_team\":\"', {home}, '\",', {away_field}, '\"bookmakers\":[', {books}, ']}}')")
+    return f"concat('[', {game}, case when {DEFECT_JUNK_ELEMENT} then ',17' else '' end, ']')"
+
+
+def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One odds feed document per game (JSON text) built from ``orders``."""
+    return read(spark, sf_dir, "orders").selectExpr(f"{G} as doc_id", f"{odds_doc_sql()} as doc")
+
+
+def cte_odds_rows() -> str:
+    """DuckDB: the (game, book) rows the flatten must produce, from the same rules."""
+    conds = []
+    for (k, c) in (DEFECT_BOOK_NOT_OBJECT, DEFECT_BOOK_NO_KEY, DEFECT_NO_H2H, DEFECT_OUTCOMES_OBJECT):
+        conds.append(f"not (k = {k} and {c})")
+    hp = "case " + " ".join(f"when k = {k} then {home_price_sql(k)}" for k in (1, 2, 3)) + " end"
+    ap = "case " + " ".join(f"when k = {k} then {away_price_sql(k)}" for k in (1, 2, 3)) + " end"
+    # the appended duplicate is the last outcome, so it wins over a text price
+    home_odds = (f"case when k = {DEFECT_DUPLICATE[0]} and {DEFECT_DUPLICATE[1]} then {hp} + 5 "
+                 f"when k = {DEFECT_PRICE_TEXT[0]} and {DEFECT_PRICE_TEXT[1]} then null "
+                 f"when k = {DEFECT_PRICE_NULL[0]} and {DEFECT_PRICE_NULL[1]} then null else {hp} end")
+    books = ", ".join(f"'{b}'" for b in BOOKS)
+    return (
+        "ob as (select o.*, k from orders o, (values (1), (2), (3)) b(k) where not (" + DEFECT_NO_AWAY + ") and "
+        + " and ".join(conds) + "), "
+        "odds_rows as (select cast(" + G + " as varchar) as game_id, "
+        "case when " + DEFECT_BAD_TIME + " then null else cast(cast(o_orderdate as date) as timestamp) "
+        "+ to_hours(cast(16 + " + G + " % 12 as integer)) end as commence_time, "
+        + team_name_sql(HOME_ID, "duckdb") + " as home_team, " + team_name_sql(AWAY_ID, "duckdb") +
+        " as away_team, ([" + books + "])[k] as bookmaker, cast(" + home_odds + " as double) as home_odds, "
+        "cast(" + ap + " as double) as away_odds from ob)"
+    )
+
+
+# ---- scoreboard documents: shape A for even game ids, shape B for odd ------
+
+def scoreboard_doc_sql() -> str:
+    home = team_abbr_sql(HOME_ID, "spark")
+    away = team_abbr_sql(AWAY_ID, "spark")
+    t = f"date_format({COMMENCE_TS}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    arena = f"case when {G} % 3 = 0 then '' else concat(',\"arenaName\":\"Arena ', {home}, '\"') end"
+    shape_a = (f"concat('{{\"scoreboard\":{{\"games\":[{{\"gameId\":\"', cast({G} as string), "
+               f"'\",\"gameTimeUTC\":\"', {t}, '\",\"homeTeam\":{{\"teamTricode\":\"', {home}, "
+               f"'\"}},\"awayTeam\":{{\"teamTricode\":\"', {away}, '\"}},\"gameStatus\":', "
+               f"cast(1 + {G} % 3 as string), {arena}, '}}]}}}}')")
+    comp_home = f"concat('{{\"homeAway\":\"home\",\"team\":{{\"abbreviation\":\"', {home}, '\"}}}}')"
+    comp_away = f"concat('{{\"homeAway\":\"away\",\"team\":{{\"abbreviation\":\"', {away}, '\"}}}}')"
+    comps = (f"case when {G} % 4 = 1 then concat({comp_away}, ',', {comp_home}) "
+             f"else concat({comp_home}, ',', {comp_away}) end")
+    shape_b = (f"concat('{{\"events\":[{{\"id\":\"', cast({G} as string), '\",\"date\":\"', {t}, "
+               f"'\",\"competitions\":[{{\"competitors\":[', {comps}, '],\"status\":{{\"type\":{{\"name\":\"STATUS_', "
+               f"cast(1 + {G} % 3 as string), '\"}}}},\"venue\":{{\"fullName\":\"Arena ', {home}, '\"}}}}]}}]}}')")
+    return f"case when {G} % 2 = 0 then {shape_a} else {shape_b} end"
+
+
+def scoreboard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr(
+        f"{G} as doc_id", f"{G} % 2 = 0 as shape_a", f"{scoreboard_doc_sql()} as doc")

@@ -24,8 +24,8 @@ def cte_team_games() -> str:
 
 
 def rounded(sql: str, cols) -> str:
-    """Wrap a query so the listed double columns are rounded to 6 places."""
+    """Wrap a query so the listed double columns are rounded to 6 places (and -0.0 becomes 0.0)."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, 6) as {c}" for c in cols)
+    rep = ", ".join(f"round({c}, 6) + 0e0 as {c}" for c in cols)
     return f"select * replace ({rep}) from ({sql}) as _q"

@@ -1 +1,107 @@
-"""placeholder"""
+"""Queries over stakes and risk (F8-F11, F14, J-6, A21, A22, M10, M11, T2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lineup.config import StakeConfig
+from lineup.functions import odds as O
+from lineup.operators import staking as ST
+from lineup.plans.catalog import register
+from lineup.plans.q_markets import CTE_EDGES, edges
+
+BANKROLL = 10000.0
+# One stricter threshold so recommended and skipped bets are both common.
+CFG = StakeConfig(min_edge=0.10)
+
+KELLY_SQL = ("case when {p} <= 0 or {p} >= 1 or {o} <= 1 then 0e0 else greatest(0e0, (({o} - 1) * {p} - "
+             "(1 - {p})) / ({o} - 1)) end")
+
+
+def _kelly(p, o):
+    return KELLY_SQL.format(p=p, o=o)
+
+
+def _stake(p, o, k=0.5, m=0.1, bank=BANKROLL):
+    return f"least({bank}e0 * ({_kelly(p, o)}) * {k}e0, {bank}e0 * {m}e0)"
+
+
+@register("kelly_stakes",
+          "with " + CTE_EDGES + " select game_id, " + _kelly("home_prob", "home_odds") + " as home_kelly, " +
+          _kelly("away_prob", "away_odds") + " as away_kelly, " + _stake("home_prob", "home_odds") +
+          " as home_stake, " + _stake("away_prob", "away_odds") + " as away_stake from preds",
+          doubles=["home_kelly", "away_kelly", "home_stake", "away_stake"])
+def kelly_stakes(spark, sf_dir):
+    """F8 + F9: full Kelly fraction and half-Kelly stake (10 % cap) per side, bankroll 10,000."""
+    e = edges(spark, sf_dir)
+    return e.select(
+        "game_id",
+        O.kelly_fraction("home_prob", "home_odds").alias("home_kelly"),
+        O.kelly_fraction("away_prob", "away_odds").alias("away_kelly"),
+        O.fractional_stake("home_prob", "home_odds", BANKROLL).alias("home_stake"),
+        O.fractional_stake("away_prob", "away_odds", BANKROLL).alias("away_stake"))
+
+
+BET_COLS = ["game_id", "game_date", "best_bet_team", "recommended_bet", "stake_amount", "expected_value",
+            "kelly_fraction"]
+STAKE_B = _stake("best_bet_prob", "best_bet_odds")
+CTE_BETS = (CTE_EDGES + ", bets as (select *, coalesce(best_bet_edge >= 0.1e0, false) as recommended_bet, "
+            "case when coalesce(best_bet_edge >= 0.1e0, false) then " + STAKE_B + " else 0e0 end as stake_amount, "
+            "case when coalesce(best_bet_edge >= 0.1e0, false) then (" + STAKE_B + ") * (best_bet_prob * "
+            "(best_bet_odds - 1) - (1 - best_bet_prob)) else 0e0 end as expected_value, "
+            "case when coalesce(best_bet_edge >= 0.1e0, false) then " + _kelly("best_bet_prob", "best_bet_odds") +
+            " else 0e0 end as kelly_fraction from edges)")
+
+
+def bets(spark, sf_dir):
+    return ST.bet_sizes(edges(spark, sf_dir), BANKROLL, CFG)
+
+
+@register("bet_sizes", "with " + CTE_BETS + " select " + ", ".join(BET_COLS) + " from bets",
+          doubles=["stake_amount", "expected_value", "kelly_fraction"])
+def bet_sizes(spark, sf_dir):
+    """F10 + F11 + T2: recommendation flag, stake, expected value, Kelly fraction; best EV first."""
+    return ST.rank_bets(bets(spark, sf_dir)).select(*BET_COLS)
+
+
+U = ("('0x' || substr(md5(cast(sim as varchar) || '|' || cast(game_id as varchar) || '|42'), 1, 8))::bigint"
+     " / 4294967296e0")
+RISK_COLS = ["game_date", "mean_return", "std_return", "prob_profit", "percentile_5", "percentile_95",
+             "max_loss", "max_gain"]
+
+
+@register("risk_distribution",
+          "with " + CTE_BETS + ", d as (select game_date, sim, round(sum(case when " + U + " < best_bet_prob then "
+          "stake_amount * (best_bet_odds - 1) else -stake_amount end), 6) as total_return from bets, "
+          "range(0, 1000) t(sim) where recommended_bet group by game_date, sim), s as (select game_date, "
+          "avg(total_return) as mean_return, stddev_pop(total_return) as std_return, avg(case when "
+          "total_return > 0 then 1e0 else 0e0 end) as prob_profit, quantile_cont(total_return, 0.05) as "
+          "percentile_5, quantile_cont(total_return, 0.95) as percentile_95, min(total_return) as max_loss, "
+          "max(total_return) as max_gain from d group by game_date), g as (select distinct game_date from bets) "
+          "select g.game_date, coalesce(mean_return, 0e0) as mean_return, coalesce(std_return, 0e0) as "
+          "std_return, coalesce(prob_profit, 0e0) as prob_profit, percentile_5, percentile_95, max_loss, "
+          "max_gain from g left join s using (game_date)", doubles=RISK_COLS[1:])
+def risk_distribution(spark, sf_dir):
+    """M10 + J-6 + F14 + A22: Monte-Carlo (1000 runs, seed 42) of each day's recommended bets."""
+    return ST.risk_distribution(bets(spark, sf_dir), ("game_date",), "game_id").select(*RISK_COLS)
+
+
+@register("risk_closed_form",
+          "with " + CTE_BETS + " select game_date, sum(stake_amount * (best_bet_prob * (best_bet_odds - 1) - "
+          "(1 - best_bet_prob))) as mean_return_exact, sqrt(sum(stake_amount * stake_amount * best_bet_odds * "
+          "best_bet_odds * best_bet_prob * (1 - best_bet_prob))) as std_return_exact, count(*) as n_bets "
+          "from bets where recommended_bet group by game_date",
+          doubles=["mean_return_exact", "std_return_exact"])
+def risk_closed_form(spark, sf_dir):
+    """Exact mean and std of each day's total return (cross-check for the simulation)."""
+    return ST.risk_closed_form(bets(spark, sf_dir), ("game_date",))
+
+
+@register("daily_bet_report",
+          "with " + CTE_BETS + " select game_date, count(*) as total_games, sum(cast(recommended_bet as int)) "
+          "as recommended_bets, sum(stake_amount) as total_stake, sum(expected_value) as expected_value "
+          "from bets group by game_date", doubles=["total_stake", "expected_value"])
+def daily_bet_report(spark, sf_dir):
+    """Games, recommended bets, total stake and expected value per day."""
+    return ST.daily_totals(bets(spark, sf_dir), ("game_date",)).withColumn(
+        "recommended_bets", F.col("recommended_bets").cast("bigint"))
