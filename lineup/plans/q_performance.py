@@ -105,7 +105,7 @@ def streaks(spark, sf_dir):
 @register("stake_quantiles", BETS + ", e as (select list_sort(list_distinct([quantile_cont(bet_amount, 0.0), "
           "quantile_cont(bet_amount, 0.2), quantile_cont(bet_amount, 0.4), quantile_cont(bet_amount, 0.6), "
           "quantile_cont(bet_amount, 0.8), quantile_cont(bet_amount, 1.0)])) as e from bets), b as (select "
-          "bets.*, greatest(0, len(list_filter(e.e, x -> x < bet_amount)) - 1) as bet_size_bucket from bets, e "
+          "bets.*, greatest(0, len(list_filter(e.e, lambda x: x < bet_amount)) - 1) as bet_size_bucket from bets, e "
           "where bet_amount is not null) select cast(bet_size_bucket as int) as bet_size_bucket, count(*) as "
           "bet_count, avg(case when profit_loss > 0 then 1e0 else 0e0 end) as win_rate, avg(profit_loss) as "
           "avg_pnl, avg(bet_amount) as avg_bet_size from b group by 1",

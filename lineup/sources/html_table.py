@@ -1,0 +1,83 @@
+"""HTML tables in page text -> rows.
+
+Parsing HTML needs per-row Python, so it runs as ``mapInPandas``: Arrow
+batches of pages go to the Python workers, each page is parsed with the
+standard-library parser, and the cells come back as long rows
+(page, table, row, column, header, value), so tables of any width share one
+schema.  Two-level headers are flattened with ``normalize_headers``.
+"""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from lineup.sources.files import normalize_headers
+
+CELL_SCHEMA = ("page_id long, table_idx int, row_idx int, col_idx int, header string, value string")
+
+
+class _Tables(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables, self._row, self._cell, self._in_head = [], None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables.append({"head": [], "body": []})
+        elif tag == "thead":
+            self._in_head = True
+        elif tag == "tr" and self.tables:
+            self._row = []
+        elif tag in ("td", "th") and self._row is not None:
+            span = dict(attrs).get("colspan")
+            self._cell = {"text": "", "span": int(span) if span and span.isdigit() else 1, "th": tag == "th"}
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self._cell is not None and self._row is not None:
+            self._row.extend([self._cell] * self._cell["span"])
+            self._cell = None
+        elif tag == "tr" and self._row is not None and self.tables:
+            is_head = self._in_head or (self._row and all(c["th"] for c in self._row))
+            key = "head" if is_head else "body"
+            self.tables[-1][key].append([c["text"].strip() for c in self._row])
+            self._row = None
+        elif tag == "thead":
+            self._in_head = False
+
+    def handle_data(self, data):
+        if self._cell is not None:
+            self._cell["text"] += data
+
+
+def parse_tables(html: str):
+    """Yield (table_idx, headers, body rows) for every table in ``html``."""
+    p = _Tables()
+    p.feed(html or "")
+    for i, t in enumerate(p.tables):
+        width = max([len(r) for r in t["head"] + t["body"]] or [0])
+        levels = [r + [""] * (width - len(r)) for r in t["head"]]
+        headers = normalize_headers([tuple(lv[j] for lv in levels) if levels else f"col_{j}"
+                                     for j in range(width)])
+        yield i, headers, t["body"]
+
+
+def _cells(batches):
+    for pdf in batches:
+        out = []
+        for pid, html in zip(pdf["page_id"], pdf["html"]):
+            if not html or "<table" not in html.lower():
+                continue
+            for ti, headers, body in parse_tables(html):
+                for ri, row in enumerate(body):
+                    for ci, v in enumerate(row):
+                        out.append((int(pid), ti, ri, ci, headers[ci] if ci < len(headers) else f"col_{ci}", v))
+        yield pd.DataFrame(out, columns=["page_id", "table_idx", "row_idx", "col_idx", "header", "value"])
+
+
+def extract_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Every table cell of every page, in long form."""
+    src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].alias("html"))
+    return src.mapInPandas(_cells, CELL_SCHEMA)
