@@ -1 +1,28 @@
-"""placeholder"""
+"""Streaming query (R1): odds snapshots -> latest quote per book -> consensus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lineup.plans import derive
+from lineup.plans.catalog import register
+from lineup.session import shared_dir
+from lineup.streaming.odds_stream import consensus_from_quotes, run_quotes
+
+
+@register("odds_stream_consensus",
+          "with " + derive.cte_odds_rows() + " select date_trunc('day', commence_time) as window_start, game_id, "
+          "avg(home_odds) as home_odds, avg(away_odds) as away_odds, count(*) as n_books from odds_rows where "
+          "commence_time is not null group by all", doubles=["home_odds", "away_odds"])
+def odds_stream_consensus(spark, sf_dir):
+    """Two snapshots of every feed document arrive as files; the stream keeps
+    the latest quote per (day, game, bookmaker) and the consensus is read from
+    its output.  The feed files are not in event-time order, so the allowed
+    lateness covers the whole history of the fixture."""
+    docs = derive.odds_documents(spark, sf_dir).select("doc")
+    src = shared_dir(spark, "odds_snapshots")
+    for snap in (1, 2):
+        docs.select(F.lit(snap).cast("long").alias("snapshot"), "doc").write.mode("append").json(src)
+    sink, ck = shared_dir(spark, "odds_quotes"), shared_dir(spark, "odds_quotes_ck")
+    run_quotes(spark, src, sink, ck, window="1 day", lateness="36500 days", files_per_trigger=8)
+    return consensus_from_quotes(spark.read.parquet(sink))

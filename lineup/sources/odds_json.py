@@ -38,7 +38,7 @@ def parse_documents(docs: DataFrame, doc_col: str = "doc", strict: bool = False)
 
 
 def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
-                 strict: bool = False, fixed_prob: bool = False) -> DataFrame:
+                 strict: bool = False, fixed_prob: bool = False, keep=()) -> DataFrame:
     """Tolerant flatten of odds documents to (game, bookmaker) rows.
 
     Skipped, each on its own: a game element that is not an object, a game
@@ -46,12 +46,12 @@ def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
     a bookmaker without an ``h2h`` market, ``outcomes`` that is not a list.
     A price that is NULL, text or not positive gives a NULL probability; of
     duplicate outcome names the last wins.  ``bookmakers`` keeps only the
-    listed keys (blank entries ignored).
+    listed keys (blank entries ignored); ``keep`` carries document columns.
     """
     v = parse_documents(docs, doc_col, strict).where("_is_array")
-    games = v.select(F.explode(_get("_v", "$", "array<variant>")).alias("_g"))
+    games = v.select(*keep, F.explode(_get("_v", "$", "array<variant>")).alias("_g"))
     games = games.select(
-        "_g",
+        *keep, "_g",
         _get("_g", "$.id", "string").alias("game_id"),
         _get("_g", "$.commence_time", "string").alias("_ct"),
         _get("_g", "$.home_team", "string").alias("home_team"),
@@ -69,7 +69,7 @@ def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
     books = books.withColumn("_h2h", h2h)
     books = books.withColumn("_out", _get("_h2h", "$.outcomes", "array<variant>")).where("_out is not null")
     rows = books.select(
-        "game_id",
+        *keep, "game_id",
         F.try_to_timestamp(F.col("_ct")).alias("commence_time"),
         "home_team", "away_team", "bookmaker",
         _price("_out", "home_team").alias("home_odds"),
