@@ -78,3 +78,72 @@ def bet_return(stake, odds, won) -> Column:
 
 def clamp(x, lo: float, hi: float) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), _c(x)))
+
+
+# ---- reproducible uniforms -------------------------------------------------
+# A 32-bit finalizer (xor-shift / multiply, as in MurmurHash3) written with
+# 64-bit integer arithmetic that never overflows, so any SQL engine with
+# integer xor and shifts computes the same bits.  Independent of
+# partitioning.  The steps are materialised one column at a time, so the
+# expression tree stays small.
+
+_M1, _M2, _GOLD = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B9
+TWO32 = 4294967296
+
+
+def uniform_steps(a: str, b: str, seed: int, out: str) -> list[tuple[str, str]]:
+    """(column, SQL expression) steps computing ``out`` = U[0,1) from the
+    non-negative integer columns ``a`` and ``b``.  Valid Spark SQL and
+    DuckDB text; each step may use the columns of earlier steps."""
+    steps: list[tuple[str, str]] = []
+
+    def mul32(h: str, m: int) -> str:
+        return f"(({h} * {m >> 16}) % 65536 * 65536 + {h} * {m & 0xFFFF}) % {TWO32}"
+
+    def fmix(src: str, tag: str) -> str:
+        steps.append((f"_{tag}1", f"xor({src}, {src} >> 16)"))
+        steps.append((f"_{tag}2", mul32(f"_{tag}1", _M1)))
+        steps.append((f"_{tag}3", f"xor(_{tag}2, _{tag}2 >> 13)"))
+        steps.append((f"_{tag}4", mul32(f"_{tag}3", _M2)))
+        steps.append((f"_{tag}5", f"xor(_{tag}4, _{tag}4 >> 16)"))
+        return f"_{tag}5"
+
+    steps.append(("_ua", f"cast({a} as bigint) % {TWO32}"))
+    steps.append(("_ub", f"cast({b} as bigint)"))
+    steps.append(("_uh", f"(cast(floor(_ub / {TWO32}e0) as bigint) + {seed}) % {TWO32}"))
+    hi = fmix("_uh", "uh")
+    steps.append(("_ul", f"xor(_ub % {TWO32}, {hi})"))
+    kb = fmix("_ul", "ul")
+    steps.append(("_uz", f"({kb} + {mul32('_ua', _GOLD)}) % {TWO32}"))
+    h = fmix("_uz", "uz")
+    steps.append((out, f"cast({h} as double) / {TWO32}e0"))
+    return steps
+
+
+def _spark_sql(expr: str) -> str:
+    # Spark spells integer xor as ``^``; shifts are ``>>`` in both engines.
+    import re
+    while "xor(" in expr:
+        expr = re.sub(r"xor\(([^(),]+), ([^()]+?)\)", r"(\1 ^ (\2))", expr, count=1)
+    return expr
+
+
+def with_uniform(df, a: str, b: str, seed: int, out: str = "u"):
+    """Add ``out`` = reproducible U[0,1) of (a, b, seed) to a DataFrame."""
+    tmp = []
+    for name, expr in uniform_steps(a, b, seed, out):
+        df = df.withColumn(name, F.expr(_spark_sql(expr)))
+        if name != out:
+            tmp.append(name)
+    return df.drop(*tmp)
+
+
+def uniform_sql(source: str, a: str, b: str, seed: int, out: str = "u") -> str:
+    """DuckDB text: ``source`` (a subquery) with ``out`` added by nested selects."""
+    q = source
+    names = []
+    for name, expr in uniform_steps(a, b, seed, out):
+        q = f"select *, {expr} as {name} from ({q}) as _s"
+        if name != out:
+            names.append(name)
+    return f"select * exclude ({', '.join(names)}) from ({q}) as _s"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineup.config import RiskConfig, StakeConfig
@@ -40,26 +40,28 @@ def rank_bets(bets: DataFrame, tie: str = "game_id") -> DataFrame:
     return bets.orderBy(F.desc("expected_value"), F.col(tie))
 
 
-def uniform(sim: Column, bet: Column, seed: int) -> Column:
-    """Reproducible U[0,1) from md5(sim|bet|seed): independent of partitioning
-    and evaluable in any SQL engine with md5."""
-    h = F.md5(F.concat_ws("|", sim.cast("string"), bet.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def simulate_returns(bets: DataFrame, group=(), bet_key: str = "game_id",
-                     cfg: RiskConfig = RiskConfig()) -> DataFrame:
+                     cfg: RiskConfig = RiskConfig(), bets_per_task: int = 20000) -> DataFrame:
     """M10 + F14: total return of each simulation of the recommended bets.
 
     Each recommended bet expands to ``num_simulations`` draws (a generator,
-    not a join); the sum per ``(group, sim)`` is partially aggregated inside
-    each task, so only ``groups x sims`` rows are shuffled.
+    not a join).  The bets are first spread by (group, salt) where the salt
+    splits a group into chunks of about ``bets_per_task`` bets, so a group
+    with a huge number of bets is simulated by many tasks; the per-task
+    partial sums per (group, sim) are then combined.  Draws are a
+    reproducible hash of (sim, bet, seed), so the result does not depend on
+    the partitioning.
     """
-    rec = bets.where(F.col("recommended_bet"))
-    draws = rec.select(*group, bet_key, "stake_amount", "best_bet_prob", "best_bet_odds",
-                       F.explode(F.sequence(F.lit(0), F.lit(cfg.num_simulations - 1))).alias("sim"))
-    won = uniform(F.col("sim"), F.col(bet_key), cfg.seed) < F.col("best_bet_prob")
-    ret = O.bet_return("stake_amount", "best_bet_odds", won)
+    rec = bets.where(F.col("recommended_bet")).select(
+        *group, bet_key, "stake_amount", "best_bet_prob", "best_bet_odds")
+    if group:
+        sizes = rec.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        rec = rec.join(sizes, list(group))
+        salt = F.pmod(F.xxhash64(bet_key), F.greatest(F.lit(1), F.ceil(F.col("_n") / bets_per_task)))
+        rec = rec.withColumn("_salt", salt).repartition(*group, "_salt").drop("_n", "_salt")
+    draws = rec.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_simulations - 1))).alias("sim"))
+    draws = O.with_uniform(draws, "sim", bet_key, cfg.seed, "_u")
+    ret = O.bet_return("stake_amount", "best_bet_odds", F.col("_u") < F.col("best_bet_prob"))
     # money totals are kept to micro-units so the sign of a total that is
     # zero up to float noise does not depend on summation order
     return draws.groupBy(*group, "sim").agg(F.round(F.sum(ret), 6).alias("total_return"))

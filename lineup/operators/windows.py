@@ -105,7 +105,8 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConfig(),
                          key: str = "team_name", season: str = "season_id",
-                         date: str = "game_date", gid: str = "game_id") -> DataFrame:
+                         date: str = "game_date", gid: str = "game_id",
+                         whole_group: bool = True) -> DataFrame:
     """All window features of one participant row, computed in one partitioned pass.
 
     Adds the rolling means (``lookback`` and ``short``), the venue-split win
@@ -114,7 +115,8 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     ``game_number_in_season`` (average rank of the date), and the season means
     both as-run (``season_*``: all but the season's last game) and leak-free
     (``season_*_asof``: previous games only).  Ties on the date are broken by
-    ``gid``.
+    ``gid``.  ``whole_group=False`` skips the whole-group values (and their
+    aggregate and join) when only the row-frame features are needed.
     """
     order = [date, gid]
     n_lb, n_sh = cfg.lookback, cfg.short
@@ -148,6 +150,10 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     for m, _ in SEASON_MEASURES:
         cols[f"_run_s_{m}"] = F.coalesce(F.sum(F.when(real, F.col(m))).over(before), F.lit(0))
         cols[f"_run_c_{m}"] = F.count(F.when(real, F.col(m))).over(before)
+    if not whole_group:
+        cols = {k: v for k, v in cols.items() if not k.startswith("_")}
+        u = u.withColumns(cols).where(real)
+        return u.drop(*[c for c in u.columns if c.startswith("_")])
     u = u.withColumns(cols).where(real)
 
     bs = _bucket_stats(df, key, season, order)

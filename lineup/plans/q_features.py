@@ -18,8 +18,8 @@ def team_rows(spark, sf_dir):
     return G.team_games(derive.games(spark, sf_dir))
 
 
-def features(spark, sf_dir, cfg=CFG):
-    return WN.participant_features(team_rows(spark, sf_dir), cfg)
+def features(spark, sf_dir, cfg=CFG, whole_group=True):
+    return WN.participant_features(team_rows(spark, sf_dir), cfg, whole_group=whole_group)
 
 
 # ---- oracle: every window feature written directly over the whole team ----
@@ -68,7 +68,7 @@ FINAL_DOUBLES = [c for c in FINAL if c.startswith(("avg_", "win_pct", "season_",
           doubles=ROLL)
 def rolling_form(spark, sf_dir):
     """W1 + W2: each participant's mean over its previous 10 (and 5) games."""
-    return features(spark, sf_dir).select("game_id", "team_name", *ROLL)
+    return features(spark, sf_dir, whole_group=False).select("game_id", "team_name", *ROLL)
 
 
 VENUE = [f"home_win_pct_last_{N}", f"away_win_pct_last_{N}"]
@@ -78,7 +78,7 @@ VENUE = [f"home_win_pct_last_{N}", f"away_win_pct_last_{N}"]
           " from feat", doubles=VENUE)
 def venue_split_form(spark, sf_dir):
     """W3 as the reference computes it: the previous result kept on same-venue rows only."""
-    return features(spark, sf_dir).select("game_id", "team_name", "venue", *VENUE)
+    return features(spark, sf_dir, whole_group=False).select("game_id", "team_name", "venue", *VENUE)
 
 
 @register("venue_form_by_venue",
@@ -126,7 +126,7 @@ def game_number(spark, sf_dir):
 @register("rest_days", FEAT_SQL + "select game_id, team_name, rest_days from feat")
 def rest_days(spark, sf_dir):
     """W7 + P16: days since the previous game, 2 on a participant's first game."""
-    return features(spark, sf_dir).select("game_id", "team_name", "rest_days")
+    return features(spark, sf_dir, whole_group=False).select("game_id", "team_name", "rest_days")
 
 
 @register("features_final", FEAT_SQL + "select " + ", ".join(FINAL) + " from feat where games_played >= 3",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineup.config import StakeConfig
 from lineup.functions import odds as O
+from lineup.functions.odds import uniform_sql
 from lineup.operators import staking as ST
 from lineup.plans.catalog import register
 from lineup.plans.q_markets import CTE_EDGES, edges
@@ -64,16 +65,16 @@ def bet_sizes(spark, sf_dir):
     return ST.rank_bets(bets(spark, sf_dir)).select(*BET_COLS)
 
 
-U = ("('0x' || substr(md5(cast(sim as varchar) || '|' || cast(game_id as varchar) || '|42'), 1, 8))::bigint"
-     " / 4294967296e0")
+DRAWS = uniform_sql("select game_date, game_id, stake_amount, best_bet_prob, best_bet_odds, sim from bets, "
+                    "range(0, 1000) t(sim) where recommended_bet", "sim", "game_id", 42, "u")
 RISK_COLS = ["game_date", "mean_return", "std_return", "prob_profit", "percentile_5", "percentile_95",
              "max_loss", "max_gain"]
 
 
 @register("risk_distribution",
-          "with " + CTE_BETS + ", d as (select game_date, sim, round(sum(case when " + U + " < best_bet_prob then "
-          "stake_amount * (best_bet_odds - 1) else -stake_amount end), 6) as total_return from bets, "
-          "range(0, 1000) t(sim) where recommended_bet group by game_date, sim), s as (select game_date, "
+          "with " + CTE_BETS + ", d as (select game_date, sim, round(sum(case when u < best_bet_prob then "
+          "stake_amount * (best_bet_odds - 1) else -stake_amount end), 6) as total_return from (" + DRAWS + ") "
+          "group by game_date, sim), s as (select game_date, "
           "avg(total_return) as mean_return, stddev_pop(total_return) as std_return, avg(case when "
           "total_return > 0 then 1e0 else 0e0 end) as prob_profit, quantile_cont(total_return, 0.05) as "
           "percentile_5, quantile_cont(total_return, 0.95) as percentile_95, min(total_return) as max_loss, "
