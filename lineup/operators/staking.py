@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 from pyspark.sql import functions as F
 
 from lineup.config import RiskConfig, StakeConfig
@@ -60,7 +61,12 @@ def simulate_returns(bets: DataFrame, group=(), bet_key: str = "game_id",
         salt = F.pmod(F.xxhash64(bet_key), F.greatest(F.lit(1), F.ceil(F.col("_n") / bets_per_task)))
         rec = rec.withColumn("_salt", salt).repartition(*group, "_salt").drop("_n", "_salt")
     draws = rec.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_simulations - 1))).alias("sim"))
-    draws = O.with_uniform(draws, "sim", bet_key, cfg.seed, "_u")
+    key = bet_key
+    if not isinstance(rec.schema[bet_key].dataType, IntegralType):
+        # non-integer keys are hashed to a non-negative integer first
+        draws = draws.withColumn("_bk", F.xxhash64(bet_key).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+        key = "_bk"
+    draws = O.with_uniform(draws, "sim", key, cfg.seed, "_u")
     ret = O.bet_return("stake_amount", "best_bet_odds", F.col("_u") < F.col("best_bet_prob"))
     # money totals are kept to micro-units so the sign of a total that is
     # zero up to float noise does not depend on summation order

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -69,12 +67,13 @@ def fresh_only(df: DataFrame, max_age_days: float = 7.0, now=None) -> DataFrame:
 
 
 def normalize_headers(names) -> list[str]:
-    """Multi-level headers joined with '_', stripped, spaces -> '_', lower case."""
+    """A two-level header is joined as ``level0_level1``; then the text is
+    stripped, each space becomes '_' and letters are lower-cased."""
     out = []
     for n in names:
         if isinstance(n, (tuple, list)):
-            n = "_".join(str(x) for x in n if str(x) and not str(x).startswith("Unnamed"))
-        out.append(re.sub(r"\s+", "_", str(n).strip()).lower())
+            n = "_".join(str(x) for x in n)
+        out.append(str(n).strip().replace(" ", "_").lower())
     return out
 
 

@@ -59,7 +59,8 @@ def parse_tables(html: str):
     for i, t in enumerate(p.tables):
         width = max([len(r) for r in t["head"] + t["body"]] or [0])
         levels = [r + [""] * (width - len(r)) for r in t["head"]]
-        headers = normalize_headers([tuple(lv[j] for lv in levels) if levels else f"col_{j}"
+        # empty header cells (e.g. above the name column) are left out of the join
+        headers = normalize_headers([tuple(lv[j] for lv in levels if lv[j]) if levels else f"col_{j}"
                                      for j in range(width)])
         yield i, headers, t["body"]
 

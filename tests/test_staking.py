@@ -99,7 +99,7 @@ def test_no_recommended_bets_gives_zeros(spark):
 
 
 def test_uniform_is_uniform_and_deterministic(spark):
-    df = spark.range(20000).select((F.col("id") % 1000).alias("sim"), (F.col("id") // 1000).alias("bet"))
+    df = spark.range(20000).select((F.col("id") % 1000).alias("sim"), F.floor(F.col("id") / 1000).alias("bet"))
     a = O.with_uniform(df, "sim", "bet", 42).agg(F.avg("u"), F.stddev_pop("u"), F.min("u"), F.max("u")).first()
     assert a[0] == pytest.approx(0.5, abs=0.01) and a[1] == pytest.approx((1 / 12) ** 0.5, abs=0.01)
     assert 0 <= a[2] and a[3] < 1
