@@ -68,18 +68,22 @@ def simulate_returns(bets: DataFrame, group=(), bet_key: str = "game_id",
         key = "_bk"
     draws = O.with_uniform(draws, "sim", key, cfg.seed, "_u")
     ret = O.bet_return("stake_amount", "best_bet_odds", F.col("_u") < F.col("best_bet_prob"))
-    # money totals are kept to micro-units so the sign of a total that is
-    # zero up to float noise does not depend on summation order
-    return draws.groupBy(*group, "sim").agg(F.round(F.sum(ret), 6).alias("total_return"))
+    # Returns are summed as whole cents (each bet's return floored to a cent):
+    # integer sums are exact, so the totals, their signs and the summary
+    # statistics do not depend on the order in which partial sums combine.
+    cents = F.sum(F.floor(ret * 100)).alias("total_cents")
+    return draws.groupBy(*group, "sim").agg(cents).withColumn(
+        "total_return", F.col("total_cents") / 100.0)
 
 
 def summarize_returns(sims: DataFrame, group=()) -> DataFrame:
-    """Mean, population std, P(profit), 5th/95th percentile (linear), min, max."""
-    x = F.col("total_return")
+    """Mean, population std (to the cent), P(profit), 5th/95th
+    percentile (linear), min, max of the simulated totals."""
+    x, c = F.col("total_return"), F.col("total_cents")
     q = F.percentile(x, F.array(F.lit(0.05), F.lit(0.95)))
     return sims.groupBy(*group).agg(
-        F.avg(x).alias("mean_return"), F.stddev_pop(x).alias("std_return"),
-        F.avg((x > 0).cast("double")).alias("prob_profit"),
+        (F.avg(c) / 100.0).alias("mean_return"), F.round(F.stddev_pop(c) / 100.0, 2).alias("std_return"),
+        F.avg((c > 0).cast("double")).alias("prob_profit"),
         q.alias("_q"), F.min(x).alias("max_loss"), F.max(x).alias("max_gain"),
     ).withColumns({"percentile_5": F.col("_q")[0], "percentile_95": F.col("_q")[1]}).drop("_q")
 

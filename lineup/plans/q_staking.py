@@ -72,13 +72,13 @@ RISK_COLS = ["game_date", "mean_return", "std_return", "prob_profit", "percentil
 
 
 @register("risk_distribution",
-          "with " + CTE_BETS + ", d as (select game_date, sim, round(sum(case when u < best_bet_prob then "
-          "stake_amount * (best_bet_odds - 1) else -stake_amount end), 6) as total_return from (" + DRAWS + ") "
-          "group by game_date, sim), s as (select game_date, "
-          "avg(total_return) as mean_return, stddev_pop(total_return) as std_return, avg(case when "
-          "total_return > 0 then 1e0 else 0e0 end) as prob_profit, quantile_cont(total_return, 0.05) as "
-          "percentile_5, quantile_cont(total_return, 0.95) as percentile_95, min(total_return) as max_loss, "
-          "max(total_return) as max_gain from d group by game_date), g as (select distinct game_date from bets) "
+          "with " + CTE_BETS + ", d0 as (select game_date, sim, sum(floor(case when u < best_bet_prob then "
+          "stake_amount * (best_bet_odds - 1) else -stake_amount end * 100)) as total_cents from (" + DRAWS + ") "
+          "group by game_date, sim), d as (select *, total_cents / 100e0 as total_return from d0), s as (select "
+          "game_date, avg(total_cents) / 100e0 as mean_return, round(stddev_pop(total_cents) / 100e0, 2) as "
+          "std_return, avg(case when total_cents > 0 then 1e0 else 0e0 end) as prob_profit, "
+          "quantile_cont(total_return, 0.05) as percentile_5, quantile_cont(total_return, 0.95) as percentile_95, "
+          "min(total_return) as max_loss, max(total_return) as max_gain from d group by game_date), g as (select distinct game_date from bets) "
           "select g.game_date, coalesce(mean_return, 0e0) as mean_return, coalesce(std_return, 0e0) as "
           "std_return, coalesce(prob_profit, 0e0) as prob_profit, percentile_5, percentile_95, max_loss, "
           "max_gain from g left join s using (game_date)", doubles=RISK_COLS[1:])
