@@ -16,8 +16,11 @@ from lineup.constants import TEAM_ABBREVIATIONS
 N_TEAMS = len(TEAM_ABBREVIATIONS)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    """A driver table; spread over the parallelism when the scan has fewer splits."""
+    from lineup.sources.files import spread
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if spread_rows else df
 
 
 def _pick(values, index_sql: str, dialect: str) -> str:

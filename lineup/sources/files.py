@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure per-row work after a scan runs in parallel.  A scan splits
+    Parquet by row group, so a small file written as one row group is one
+    task; in that case the rows are spread round-robin over the cluster's
+    parallelism.  A large input already has many splits and is returned
+    unchanged (no extra shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_csv(spark: SparkSession, path, schema: StructType | str, date_format: str = "yyyy-MM-dd",
              mode: str = "PERMISSIVE") -> DataFrame:
     """S1 + S5: CSV with an explicit schema (no inference pass over the data).

@@ -26,17 +26,40 @@ def _price(outcomes: str, team: str) -> Column:
 
 
 def parse_documents(docs: DataFrame, doc_col: str = "doc", strict: bool = False) -> DataFrame:
-    """One row per document with its parsed ``VARIANT`` and a flag for a
-    top-level array.  ``strict=True`` fails the job on a non-array document
-    (the reference raises); otherwise such documents are only flagged."""
-    v = docs.withColumn("_v", F.try_parse_json(F.col(doc_col)))
-    is_array = F.coalesce(F.expr("schema_of_variant(_v) like 'ARRAY%'"), F.lit(False))
+    """One row per document with its array of game elements (``_games``,
+    NULL when the document is not a JSON array).  ``strict=True`` fails the job
+    on a non-array document (the reference raises); otherwise such documents
+    are only flagged (``_is_array``)."""
+    v = docs.withColumn("_games", _get(f"try_parse_json({doc_col})", "$", "array<variant>"))
+    is_array = F.col("_games").isNotNull()
     if strict:
         return v.withColumn("_is_array", F.when(is_array, F.lit(True))
                             .otherwise(F.raise_error(F.lit("odds document is not a list"))))
     return v.withColumn("_is_array", is_array)
 
 
+# Each level is extracted once per element inside ``transform`` and filtered
+# inside the array, so no extraction is evaluated twice (a filter on a
+# projected column would otherwise be pushed below the projection and
+# recompute the VARIANT lookups).
+_GAMES = (
+    "filter(transform(_games, g -> named_struct("
+    "'game_id', try_variant_get(g, '$.id', 'string'), "
+    "'ct', try_variant_get(g, '$.commence_time', 'string'), "
+    "'home_team', try_variant_get(g, '$.home_team', 'string'), "
+    "'away_team', try_variant_get(g, '$.away_team', 'string'), "
+    "'books', try_variant_get(g, '$.bookmakers', 'array<variant>'))), "
+    "x -> x.home_team is not null and x.home_team <> '' and x.away_team is not null and x.away_team <> '')"
+)
+_BOOKS = (
+    "filter(transform(_g.books, b -> named_struct("
+    "'bookmaker', try_variant_get(b, '$.key', 'string'), "
+    "'outcomes', try_variant_get(get(filter(try_variant_get(b, '$.markets', 'array<variant>'), "
+    "m -> try_variant_get(m, '$.key', 'string') = 'h2h'), 0), '$.outcomes', 'array<variant>'))), "
+    "x -> x.bookmaker is not null and x.bookmaker <> '' and x.outcomes is not null)"
+)
+
+
 def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
                  strict: bool = False, fixed_prob: bool = False, keep=()) -> DataFrame:
     """Tolerant flatten of odds documents to (game, bookmaker) rows.
@@ -48,32 +71,22 @@ def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
     duplicate outcome names the last wins.  ``bookmakers`` keeps only the
     listed keys (blank entries ignored); ``keep`` carries document columns.
     """
-    v = parse_documents(docs, doc_col, strict).where("_is_array")
-    games = v.select(*keep, F.explode(_get("_v", "$", "array<variant>")).alias("_g"))
-    games = games.select(
-        *keep, "_g",
-        _get("_g", "$.id", "string").alias("game_id"),
-        _get("_g", "$.commence_time", "string").alias("_ct"),
-        _get("_g", "$.home_team", "string").alias("home_team"),
-        _get("_g", "$.away_team", "string").alias("away_team"),
-    ).where("home_team is not null and home_team <> '' and away_team is not null and away_team <> ''")
-    books = games.select("*", F.explode_outer(_get("_g", "$.bookmakers", "array<variant>")).alias("_b"))
-    books = books.withColumn("bookmaker", _get("_b", "$.key", "string")) \
-                 .where("bookmaker is not null and bookmaker <> ''")
+    v = parse_documents(docs, doc_col, strict)
+    if strict:
+        v = v.where("_is_array")
+    games = v.select(*keep, F.explode(F.expr(_GAMES)).alias("_g"))
+    # carry only the scalar game fields past the second explode (not the books array)
+    books = games.select(*keep, *[F.col(f"_g.{c}").alias(c) for c in ("game_id", "ct", "home_team", "away_team")],
+                         F.explode(F.expr(_BOOKS)).alias("_b"))
     if bookmakers:
         allowed = [b for b in bookmakers if b]
         if allowed:
-            books = books.where(F.col("bookmaker").isin(allowed))
-    h2h = F.expr("get(filter(try_variant_get(_b, '$.markets', 'array<variant>'), "
-                 "m -> try_variant_get(m, '$.key', 'string') = 'h2h'), 0)")
-    books = books.withColumn("_h2h", h2h)
-    books = books.withColumn("_out", _get("_h2h", "$.outcomes", "array<variant>")).where("_out is not null")
+            books = books.where(F.col("_b.bookmaker").isin(allowed))
     rows = books.select(
-        *keep, "game_id",
-        F.try_to_timestamp(F.col("_ct")).alias("commence_time"),
-        "home_team", "away_team", "bookmaker",
-        _price("_out", "home_team").alias("home_odds"),
-        _price("_out", "away_team").alias("away_odds"),
+        *keep, "game_id", F.try_to_timestamp(F.col("ct")).alias("commence_time"),
+        "home_team", "away_team", F.col("_b.bookmaker").alias("bookmaker"),
+        _price("_b.outcomes", "home_team").alias("home_odds"),
+        _price("_b.outcomes", "away_team").alias("away_odds"),
     )
     return rows.withColumns({"home_prob": american_to_prob("home_odds", fixed_prob),
                              "away_prob": american_to_prob("away_odds", fixed_prob)})
