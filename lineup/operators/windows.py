@@ -21,20 +21,29 @@ from lineup.config import FeatureConfig
 UNB = Window.unboundedPreceding
 
 
+def bucket_tails(df: DataFrame, keys: list[str], order: list[str], bucket_cols: list[str],
+                 n: int) -> DataFrame:
+    """The last ``n`` rows of every ``(keys, bucket)`` partition, with ``_rd``
+    = 1 for the last row.  ``row_number <= n`` is planned as a per-partition
+    group limit before the shuffle, so only about ``n`` rows per bucket and
+    input split move."""
+    desc = Window.partitionBy(*keys, *bucket_cols).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_rd", F.row_number().over(desc)).where(F.col("_rd") <= n)
+
+
 def with_carry(df: DataFrame, keys: list[str], order: list[str], bucket_cols: list[str],
-               n: int) -> DataFrame:
+               n: int, tails: DataFrame | None = None) -> DataFrame:
     """Union ``df`` (``_carry = false``) with, for each ``(keys, bucket)``
     partition, the ``n`` rows that precede it in ``order`` within ``keys``
     (``_carry = true``, bucket columns set to the receiving bucket).
 
     Only the last ``n`` rows of a bucket can precede a later bucket, so the
-    tails are cut first (``row_number <= n`` is planned as a per-partition
-    group limit before the shuffle) and the carry lists are built on that small
-    table.  Carry rows are ``n`` per bucket, independent of the data volume.
+    carry lists are built on the bucket tails, whose size is ``n`` per bucket
+    and independent of the data volume.
     """
-    part = keys + bucket_cols
-    desc = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
-    tails = df.withColumn("_rd", F.row_number().over(desc)).where(F.col("_rd") <= n).drop("_rd")
+    if tails is None:
+        tails = bucket_tails(df, keys, order, bucket_cols, n)
+    tails = tails.drop("_rd")
     w = Window.partitionBy(*keys).orderBy(*order)
     bucket = F.struct(*bucket_cols)
     row = F.struct(*[F.col(c) for c in df.columns])
@@ -69,16 +78,18 @@ SEASON_MEASURES = (
 )
 
 
-def _bucket_stats(df: DataFrame, key: str, season: str, order: list[str]) -> DataFrame:
-    """Per (participant, season, bucket): counts, sums, the last row's values,
-    plus running offsets over earlier buckets.  Its size is bounded by the
-    number of participant-buckets, not by rows."""
+def _bucket_stats(df: DataFrame, tails: DataFrame, key: str, season: str) -> DataFrame:
+    """Per (participant, season, bucket): counts and sums (plain partial
+    aggregation), the values of the bucket's last row (from the tails), and
+    running offsets over earlier buckets.  Its size is bounded by the number
+    of participant-buckets, not by rows."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for m, _ in SEASON_MEASURES:
         aggs += [F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_c_{m}")]
-    aggs.append(F.max_by(F.struct(*[F.col(m) for m, _ in SEASON_MEASURES]),
-                         F.struct(*order)).alias("_last"))
     bs = df.groupBy(key, season, "_bkt").agg(*aggs)
+    last = tails.where(F.col("_rd") == 1).select(
+        key, season, "_bkt", F.struct(*[F.col(m) for m, _ in SEASON_MEASURES]).alias("_last"))
+    bs = bs.join(last, [key, season, "_bkt"], "left")
     ws = Window.partitionBy(key, season).orderBy("_bkt")
     prev = ws.rowsBetween(UNB, -1)
     whole = Window.partitionBy(key, season)
@@ -123,7 +134,8 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     df = team_games.withColumn("_bkt", F.trunc(date, cfg.split_unit))
     part = [key, season, "_bkt"]
     carry_n = max(n_lb, n_sh)
-    u = with_carry(df, [key], order, [season, "_bkt"], carry_n)
+    tails = bucket_tails(df, [key], order, [season, "_bkt"], carry_n)
+    u = with_carry(df, [key], order, [season, "_bkt"], carry_n, tails)
     w = Window.partitionBy(*part).orderBy(*order)
     real = ~F.col("_carry")
     u = u.withColumn("_lag_win", F.lag("win_numeric").over(w))
@@ -156,7 +168,7 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
         return u.drop(*[c for c in u.columns if c.startswith("_")])
     u = u.withColumns(cols).where(real)
 
-    bs = _bucket_stats(df, key, season, order)
+    bs = _bucket_stats(df, tails, key, season)
     out = u.join(bs, part, "inner")
     fin = {
         "games_played": F.col("_team_n") - 1,
