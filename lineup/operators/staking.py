@@ -55,18 +55,25 @@ def simulate_returns(bets: DataFrame, group=(), bet_key: str = "game_id",
     """
     rec = bets.where(F.col("recommended_bet")).select(
         *group, bet_key, "stake_amount", "best_bet_prob", "best_bet_odds")
-    if group:
+    if not group:
+        rec = rec.repartition(2 * rec.sparkSession.sparkContext.defaultParallelism)
+    else:
         sizes = rec.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
         rec = rec.join(sizes, list(group))
         salt = F.pmod(F.xxhash64(bet_key), F.greatest(F.lit(1), F.ceil(F.col("_n") / bets_per_task)))
-        rec = rec.withColumn("_salt", salt).repartition(*group, "_salt").drop("_n", "_salt")
-    draws = rec.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_simulations - 1))).alias("sim"))
+        # An explicit partition count: the bets are small, and AQE would
+        # otherwise coalesce them into one task right before a 1000x expansion.
+        n = 2 * rec.sparkSession.sparkContext.defaultParallelism
+        rec = rec.withColumn("_salt", salt).repartition(n, *group, "_salt").drop("_n", "_salt")
     key = bet_key
     if not isinstance(rec.schema[bet_key].dataType, IntegralType):
         # non-integer keys are hashed to a non-negative integer first
-        draws = draws.withColumn("_bk", F.xxhash64(bet_key).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+        rec = rec.withColumn("_bk", F.xxhash64(bet_key).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
         key = "_bk"
-    draws = O.with_uniform(draws, "sim", key, cfg.seed, "_u")
+    # the per-bet half of the hash is computed once per bet, before expanding
+    rec = O.with_uniform_key(rec, key, cfg.seed, "_ukey")
+    draws = rec.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_simulations - 1))).alias("sim"))
+    draws = O.with_uniform_draw(draws, "sim", "_ukey", "_u")
     ret = O.bet_return("stake_amount", "best_bet_odds", F.col("_u") < F.col("best_bet_prob"))
     # Returns are summed as whole cents (each bet's return floored to a cent):
     # integer sums are exact, so the totals, their signs and the summary
