@@ -127,3 +127,28 @@ def daily_totals(bets: DataFrame, group=("game_date",)) -> DataFrame:
         F.sum(F.col("recommended_bet").cast("int")).alias("recommended_bets"),
         F.sum("stake_amount").alias("total_stake"),
         F.sum("expected_value").alias("expected_value"))
+
+
+def daily_report(bets: DataFrame, bankroll: float, group=("game_date",), top_k: int = 10,
+                 key: str = "game_id") -> DataFrame:
+    """A21 + J7 + X13: one report row per day: totals, the ``top_k``
+    recommended bets by expected value as nested JSON records, and a summary
+    line.  ``row_number <= top_k`` is planned as a per-partition top-k before
+    the shuffle, so the list stays bounded even for a very busy day."""
+    from pyspark.sql import Window
+    from lineup.functions.text import currency
+    totals = daily_totals(bets, group)
+    w = Window.partitionBy(*group).orderBy(F.desc("expected_value"), F.col(key))
+    top = (bets.where("recommended_bet").withColumn("_rank", F.row_number().over(w))
+           .where(F.col("_rank") <= top_k))
+    rec = F.struct(F.col("_rank").alias("rank"), F.col(key).alias(key), "best_bet_team", "best_bet_odds",
+                   "stake_amount", "expected_value")
+    lists = top.groupBy(*group).agg(F.to_json(F.array_sort(F.collect_list(rec))).alias("games"))
+    out = totals.join(lists, list(group), "left")
+    return out.withColumns({
+        "bankroll": F.lit(float(bankroll)),
+        "games": F.coalesce(F.col("games"), F.lit("[]")),
+        "summary": F.concat(F.col("recommended_bets").cast("string"), F.lit(" bets of "),
+                            F.col("total_games").cast("string"), F.lit(" games, stake "),
+                            currency("total_stake"), F.lit(", expected value "), currency("expected_value")),
+    })

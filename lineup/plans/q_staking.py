@@ -106,3 +106,11 @@ def daily_bet_report(spark, sf_dir):
     """Games, recommended bets, total stake and expected value per day."""
     return ST.daily_totals(bets(spark, sf_dir), ("game_date",)).withColumn(
         "recommended_bets", F.col("recommended_bets").cast("bigint"))
+
+
+@register("daily_report")
+def daily_report(spark, sf_dir):
+    """J7 + A21 + X13: per-day report with the top 10 recommended bets as JSON records."""
+    return ST.daily_report(bets(spark, sf_dir), BANKROLL, ("game_date",), 10).select(
+        "game_date", "bankroll", "total_games", "recommended_bets", "total_stake", "expected_value", "games",
+        "summary")

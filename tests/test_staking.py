@@ -106,3 +106,12 @@ def test_uniform_is_uniform_and_deterministic(spark):
     b = O.with_uniform(df.repartition(7), "sim", "bet", 42).agg(F.sum("u")).first()[0]
     c = O.with_uniform(df, "sim", "bet", 42).agg(F.sum("u")).first()[0]
     assert b == pytest.approx(c, rel=1e-12)
+
+
+def test_daily_report(spark):
+    import json
+    df = _three(spark).withColumn("game_date", F.lit("2024-01-01").cast("date"))
+    r = ST.daily_report(ST.bet_sizes(df, 10000, CFG), 10000, top_k=5).first()
+    games = json.loads(r.games)
+    assert r.total_games == 3 and r.recommended_bets == 1 and len(games) == 1
+    assert games[0]["game_id"] == "g1" and r.summary.startswith("1 bets of 3 games, stake $")
