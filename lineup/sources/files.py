@@ -13,10 +13,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     task; in that case the rows are spread round-robin over the cluster's
     parallelism.  A large input already has many splits and is returned
     unchanged (no extra shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def read_csv(spark: SparkSession, path, schema: StructType | str, date_format: str = "yyyy-MM-dd",
