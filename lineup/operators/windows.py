@@ -140,28 +140,55 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     real = ~F.col("_carry")
     u = u.withColumn("_lag_win", F.lag("win_numeric").over(w))
 
+    # Rolling means come from running sums and counts (one incremental
+    # unbounded-preceding frame) and their lags, so each row costs O(1) per
+    # measure instead of re-aggregating an N-row sliding frame.
+    run = w.rowsBetween(UNB, 0)
+    one = real.cast("int")
+    measures = sorted({m for m, _ in cfg.rolling_measures} | {m for m, _ in cfg.short_measures})
+    venue_vals = {side: F.when(F.col("venue") == F.lit(side), F.col("_lag_win")) for side in ("home", "away")}
+    p1: dict[str, Column] = {}
+    for m in measures:
+        p1[f"_S_{m}"] = F.sum(m).over(run)
+        p1[f"_C_{m}"] = F.count(m).over(run)
+    for side, v in venue_vals.items():
+        p1[f"_S_v{side}"] = F.sum(v).over(run)
+        p1[f"_C_v{side}"] = F.count(v).over(run)
+    p1["_loc_rn"] = F.sum(one).over(run)
+    for m, _ in SEASON_MEASURES:
+        p1[f"_RS_{m}"] = F.sum(F.when(real, F.col(m))).over(run)
+        p1[f"_RC_{m}"] = F.count(F.when(real, F.col(m))).over(run)
+    u = u.withColumns(p1)
+
+    def window_mean(s_col: str, c_col: str, n: int, lagged: bool) -> Column:
+        # sum and count over rows (p-n, p-1] when lagged, else (p-n+1, p]
+        hi_s = F.lag(s_col, 1).over(w) if lagged else F.col(s_col)
+        hi_c = F.lag(c_col, 1).over(w) if lagged else F.col(c_col)
+        off = n + 1 if lagged else n
+        lo_s = F.coalesce(F.lag(s_col, off).over(w), F.lit(0))
+        lo_c = F.coalesce(F.lag(c_col, off).over(w), F.lit(0))
+        cnt = hi_c - lo_c
+        return F.when(cnt == n, (hi_s - lo_s) / F.lit(float(n)))
+
     cols: dict[str, Column] = {}
     for m, pattern in cfg.rolling_measures:
-        cols[pattern.format(n=n_lb)] = lagged_mean(m, n_lb, w)
+        cols[pattern.format(n=n_lb)] = window_mean(f"_S_{m}", f"_C_{m}", n_lb, True)
     for m, pattern in cfg.short_measures:
-        cols[pattern.format(n=n_sh)] = lagged_mean(m, n_sh, w)
+        cols[pattern.format(n=n_sh)] = window_mean(f"_S_{m}", f"_C_{m}", n_sh, True)
     for side in ("home", "away"):
-        v = F.when(F.col("venue") == F.lit(side), F.col("_lag_win"))
-        cols[f"{side}_win_pct_last_{n_lb}"] = _trailing_mean(v, n_lb, w)
+        cols[f"{side}_win_pct_last_{n_lb}"] = window_mean(f"_S_v{side}", f"_C_v{side}", n_lb, False)
     prev_date = F.lag(date).over(w)
     cols["rest_days"] = F.coalesce(F.datediff(F.col(date), prev_date), F.lit(cfg.rest_default))
     cols["rest_days_in_season"] = F.coalesce(
         F.when(F.lag(season).over(w) == F.col(season), F.datediff(F.col(date), prev_date)),
         F.lit(cfg.rest_default))
-    one = real.cast("int")
-    cols["_loc_rn"] = F.sum(one).over(w.rowsBetween(UNB, 0))
     cols["_loc_le"] = F.sum(one).over(
         Window.partitionBy(*part).orderBy(date).rangeBetween(UNB, 0))
     cols["_same"] = F.sum(one).over(Window.partitionBy(*part, date))
-    before = w.rowsBetween(UNB, -1)
     for m, _ in SEASON_MEASURES:
-        cols[f"_run_s_{m}"] = F.coalesce(F.sum(F.when(real, F.col(m))).over(before), F.lit(0))
-        cols[f"_run_c_{m}"] = F.count(F.when(real, F.col(m))).over(before)
+        cur = F.when(real, F.col(m))
+        cols[f"_run_s_{m}"] = F.coalesce(F.col(f"_RS_{m}"), F.lit(0)) - F.coalesce(cur, F.lit(0))
+        cols[f"_run_c_{m}"] = F.col(f"_RC_{m}") - F.when(cur.isNotNull(), 1).otherwise(0)
     if not whole_group:
         cols = {k: v for k, v in cols.items() if not k.startswith("_")}
         u = u.withColumns(cols).where(real)
