@@ -22,7 +22,7 @@ def odds_stream_consensus(spark, sf_dir):
     docs = derive.odds_documents(spark, sf_dir).select("doc")
     src = shared_dir(spark, "odds_snapshots")
     # both snapshots of each document in one write (the documents are built once)
-    snaps = docs.select(F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("snapshot"), "doc")
+    snaps = docs.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("snapshot"), "doc")
     snaps.write.mode("append").json(src)
     sink, ck = shared_dir(spark, "odds_quotes"), shared_dir(spark, "odds_quotes_ck")
     run_quotes(spark, src, sink, ck, window="1 day", lateness="36500 days", files_per_trigger=4)
