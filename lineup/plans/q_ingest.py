@@ -30,7 +30,9 @@ ODDS_COLS = ["game_id", "commence_time", "home_team", "away_team", "bookmaker",
           "away_prob from odds_rows", doubles=["home_odds", "away_odds", "home_prob", "away_prob"])
 def odds_flatten(spark, sf_dir):
     """S6 + J1-J3 + J6 + P15 + X2: tolerant odds feed flatten (one row per game and bookmaker)."""
-    return flatten_odds(derive.odds_documents(spark, sf_dir)).select(*ODDS_COLS)
+    out = flatten_odds(derive.odds_documents(spark, sf_dir)).select(*ODDS_COLS)
+    # UTC wall-clock time without a zone, as the oracle's TIMESTAMP
+    return out.withColumn("commence_time", F.col("commence_time").cast("timestamp_ntz"))
 
 
 @register("odds_flatten_whitelist", "with " + derive.cte_odds_rows() + " select game_id, bookmaker from odds_rows "

@@ -26,4 +26,5 @@ def odds_stream_consensus(spark, sf_dir):
     snaps.write.mode("append").json(src)
     sink, ck = shared_dir(spark, "odds_quotes"), shared_dir(spark, "odds_quotes_ck")
     run_quotes(spark, src, sink, ck, window="1 day", lateness="36500 days", files_per_trigger=4)
-    return consensus_from_quotes(spark.read.parquet(sink))
+    out = consensus_from_quotes(spark.read.parquet(sink))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
