@@ -23,7 +23,10 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
     if not cols:
         return df
-    return df.withColumns({c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in cols})
+    # round(x * 10^p) / 10^p on the binary value (not on its decimal text),
+    # which is how the SQL oracle rounds doubles; + 0.0 turns -0.0 into 0.0
+    m = float(10 ** places)
+    return df.withColumns({c: F.round(F.col(c).cast("double") * m, 0) / m + F.lit(0.0) for c in cols})
 
 
 def register(name: str, oracle: str | None = None, doubles=()):

@@ -129,6 +129,15 @@ def rest_days(spark, sf_dir):
     return features(spark, sf_dir, whole_group=False).select("game_id", "team_name", "rest_days")
 
 
+@register("rest_days_in_season",
+          "with " + cte_team_games() + " select game_id, team_name, cast(coalesce(date_diff('day', lag(game_date) "
+          "over (partition by team_name, season_id order by game_date, game_id), game_date), 2) as int) as "
+          "rest_days_in_season from tg")
+def rest_days_in_season(spark, sf_dir):
+    """W7 with the Q3 option: the default also applies to each season's first game."""
+    return features(spark, sf_dir, whole_group=False).select("game_id", "team_name", "rest_days_in_season")
+
+
 @register("features_final", FEAT_SQL + "select " + ", ".join(FINAL) + " from feat where games_played >= 3",
           doubles=FINAL_DOUBLES)
 def features_final(spark, sf_dir):
