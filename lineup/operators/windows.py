@@ -131,7 +131,9 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     """
     order = [date, gid]
     n_lb, n_sh = cfg.lookback, cfg.short
-    df = team_games.withColumn("_bkt", F.trunc(date, cfg.split_unit))
+    # _season0 keeps a carried row's own season (the bucket columns of carried
+    # rows are set to the receiving bucket)
+    df = team_games.withColumns({"_bkt": F.trunc(date, cfg.split_unit), "_season0": F.col(season)})
     part = [key, season, "_bkt"]
     carry_n = max(n_lb, n_sh)
     tails = bucket_tails(df, [key], order, [season, "_bkt"], carry_n)
@@ -180,7 +182,7 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     prev_date = F.lag(date).over(w)
     cols["rest_days"] = F.coalesce(F.datediff(F.col(date), prev_date), F.lit(cfg.rest_default))
     cols["rest_days_in_season"] = F.coalesce(
-        F.when(F.lag(season).over(w) == F.col(season), F.datediff(F.col(date), prev_date)),
+        F.when(F.lag("_season0").over(w) == F.col(season), F.datediff(F.col(date), prev_date)),
         F.lit(cfg.rest_default))
     cols["_loc_le"] = F.sum(one).over(
         Window.partitionBy(*part).orderBy(date).rangeBetween(UNB, 0))

@@ -100,7 +100,9 @@ BETS_EXPRS = [
     "event_id as bet_id",
     "cast(ts as date) as bet_date",
     "value as bet_amount",
-    "case when (event_id * 7919) % 100 < 52 then value * 0.9e0 else -value end as profit_loss",
+    # a winning bet returns 0.9 of the stake, in whole cents
+    "case when (event_id * 7919) % 100 < 52 then round(value * 0.9e0 * 100e0) / 100e0 else -value end "
+    "as profit_loss",
 ]
 
 # Prediction log: a game-level prediction joined to its actual result.

@@ -200,8 +200,8 @@ def parquet_partition_roundtrip(spark, sf_dir):
 
 
 TEAM_SEASON_SQL = ("with " + cte_team_games() +
-                   " select team_name, season_id, count(*) as games, sum(cast(win as int)) as wins, "
-                   "sum(pts_for) as points from tg group by team_name, season_id")
+                   " select team_name, season_id, count(*) as games, cast(sum(cast(win as int)) as bigint) as wins, "
+                   "cast(sum(pts_for) as bigint) as points from tg group by team_name, season_id")
 
 
 @register("multi_file_union", "select * from (" + TEAM_SEASON_SQL + ") where season_id in (1996, 1997, 1999)")

@@ -99,8 +99,8 @@ def risk_closed_form(spark, sf_dir):
 
 
 @register("daily_bet_report",
-          "with " + CTE_BETS + " select game_date, count(*) as total_games, sum(cast(recommended_bet as int)) "
-          "as recommended_bets, sum(stake_amount) as total_stake, sum(expected_value) as expected_value "
+          "with " + CTE_BETS + " select game_date, count(*) as total_games, cast(sum(cast(recommended_bet as int)) "
+          "as bigint) as recommended_bets, sum(stake_amount) as total_stake, sum(expected_value) as expected_value "
           "from bets group by game_date", doubles=["total_stake", "expected_value"])
 def daily_bet_report(spark, sf_dir):
     """Games, recommended bets, total stake and expected value per day."""

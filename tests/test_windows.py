@@ -54,6 +54,9 @@ def _expected(pdf: pd.DataFrame, n: int = 10, s: int = 5) -> pd.DataFrame:
     prev = g["game_date"].shift(1)
     out["rest_days"] = (pd.to_datetime(pdf["game_date"]) - pd.to_datetime(prev)).dt.days.fillna(2).astype(int)
     gs = pdf.groupby(["team_name", "season_id"], sort=False)
+    prev_s = gs["game_date"].shift(1)
+    out["rest_days_in_season"] = (pd.to_datetime(pdf["game_date"]) - pd.to_datetime(prev_s)).dt.days \
+        .fillna(2).astype(int)
     out["game_number_in_season"] = gs["game_date"].rank(method="average")
     for m, name in WN.SEASON_MEASURES:
         out[name] = gs[m].transform(lambda x: x.shift(1).mean())
