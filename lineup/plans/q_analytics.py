@@ -13,7 +13,7 @@ FF = FEAT_SQL + ", ff as (select " + ", ".join(FINAL) + " from feat where games_
 
 
 def ff(spark, sf_dir):
-    from lineup.plans.catalog import QUERIES  # noqa: F401  (registered, unrounded source below)
+    """The as-run feature table (unrounded) that the notebook analyses read."""
     return features_final(spark, sf_dir)
 
 
