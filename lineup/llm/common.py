@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 NULL_ID = -(1 << 63)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the workers of a local session import this library from where the driver did.
+    On a cluster the library is installed or shipped with ``--py-files``."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if sc.master.startswith("local") and root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,3 +65,21 @@ def filesystem(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), os.path.abspath(uri)
     return fs.FileSystem.from_uri(uri)
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4_000_000,
+                max_rows: int = 2048) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Like ``slices`` with the texts as UTF-8 bytes."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        batch = batch.set_column(at, column, batch.column(at).cast(pa.large_binary()))
+        col = batch.column(at)
+        size = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        lo, n = 0, batch.num_rows
+        while lo < n:
+            hi, total = lo, 0
+            while hi < n and hi - lo < max_rows and (hi == lo or total + size[hi] <= max_bytes):
+                total += int(size[hi])
+                hi += 1
+            yield batch.slice(lo, hi - lo), col.slice(lo, hi - lo).to_pylist()
+            lo = hi

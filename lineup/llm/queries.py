@@ -37,3 +37,53 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineup.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op6_decontamination", f"""
+with w as (select doc_id, coalesce(regexp_extract_all({_LOWER.format('text')},
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as ws from documents),
+b as (select item_id, regexp_extract_all({_LOWER.format('text')},
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark where text is not null),
+bw as (select distinct item_id, least(10, len(ws)) as m,
+    ws[i:i + least(10, len(ws)) - 1] as win
+    from (select item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0)),
+ms as (select distinct m from bw),
+dw as (select doc_id, i, m, ws[i:i + m - 1] as win
+    from (select doc_id, ws, m, unnest(range(1, cast(len(ws) - m + 2 as bigint))) as i from w, ms
+          where len(ws) >= m)),
+hits as (select distinct d.doc_id, d.i, d.m, b.item_id from dw d join bw b on d.m = b.m and d.win = b.win),
+covered as (select doc_id, count(distinct p) as n_hit from
+    (select doc_id, unnest(range(i, cast(i + m as bigint))) as p from (select distinct doc_id, i, m from hits))
+    group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from
+    (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+    cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 as contaminated
+from w left join covered using (doc_id) left join its using (doc_id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.decontamination import find_contamination
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op9_line_dedup", f"""
+with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+x as (select doc_id, i, ls[i] as line,
+    {_LOWER.format("trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key
+    from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from l)),
+f as (select key from x where key <> '' group by key having count(distinct doc_id) >= 10)
+select doc_id, cast(count(*) as bigint) as n_lines,
+    cast(count(*) filter (where key in (select key from f)) as bigint) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where key not in (select key from f)), ''))
+        as kept_sha256
+from x group by doc_id""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.line_dedup import dedup_lines
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
