@@ -87,3 +87,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineup.llm.line_dedup import dedup_lines
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.secrets import BASE, scan_secrets, span_text
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
