@@ -100,3 +100,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"),
                         span_text(F.col("spans")).alias("spans"))
+
+
+@register("op10_minhash_near_dedup", f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+    '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [ws]
+    else list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) end) as sh from w),
+sh as (select doc_id, hash(sh) as h, sh from s),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as m
+    from sh a join sh b on a.h = b.h and a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n na on na.doc_id = x join n nb on nb.doc_id = y
+    where 100 * m >= 80 * (na.n + nb.n - m)),
+r(doc_id, reach) as (select doc_id, doc_id from w union select r.doc_id, l.y from r join l on l.x = r.reach)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, min(r.reach) as component_id,
+    w.doc_id = min(r.reach) as kept
+from w join r using (doc_id) left join n using (doc_id) group by w.doc_id, n.n""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.near_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("cls")
