@@ -120,3 +120,17 @@ from w join r using (doc_id) left join n using (doc_id) group by w.doc_id, n.n""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineup.llm.near_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("cls")
+
+
+@register("op8_exact_topk", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+    from embeddings where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[]))
+    as bigint) as score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.topk import top_k
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
