@@ -134,3 +134,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineup.llm.topk import top_k
     found = top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@register("op4_substring_dedup", """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+x as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as win
+    from (select doc_id, ws, unnest(range(1, cast(len(ws) - 18 as bigint))) as i from w where len(ws) >= 20)),
+f as (select doc_id, i, row_number() over (partition by win order by doc_id, i) as n from x),
+c as (select distinct doc_id, unnest(range(i, i + 20)) as p from f where n > 1),
+k as (select w.doc_id, p as place, ws[p] as word from
+    (select doc_id, ws, unnest(range(1, cast(len(ws) + 1 as bigint))) as p from w) w
+    where not exists (select 1 from c where c.doc_id = w.doc_id and c.p = w.p)),
+g as (select doc_id, count(*) as n, string_agg(word, ' ' order by place) as kept from k group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed,
+    sha256(coalesce(kept, '')) as kept_sha256
+from w left join g using (doc_id)""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.substring_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
