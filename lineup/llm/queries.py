@@ -153,3 +153,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineup.llm.substring_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.language_id import identify, train
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", (F.pmod(F.crc32(F.coalesce(
+        F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2).alias("held_out"))
+    model = train(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model, reject=False)
