@@ -163,3 +163,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), model, reject=False)
+
+
+@register("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.quality import classify, fit, grade_of
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return classify(docs, fit(docs, ratings)).drop("text")

@@ -64,12 +64,24 @@ class Words:
         power, inverse = _powers(len(buf))
         total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:len(buf)])
         before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
-        self.hash = mix((total[self.end - 1] - before) * inverse[self.start])
+        self._total, self._before, self._undo, self._inverse = total, before, inverse[self.start], inverse
+        self.hash = mix((total[self.end - 1] - before) * self._undo)
         self.count = np.diff(self.first)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of each word (of the whole word if it is shorter)."""
+        last = np.minimum(self.end, self.start + n) - 1
+        return mix((self._total[last] - self._before) * self._undo)
+
+    def suffixes(self, n: int) -> np.ndarray:
+        """Hash of the last ``n`` bytes of each word (of the whole word if it is shorter)."""
+        first = np.maximum(self.start, self.end - n)
+        before = np.where(first > 0, self._total[first - 1], np.uint64(0))
+        return mix((self._total[self.end - 1] - before) * self._inverse[first])
+
     def text(self, lo: int, hi: int) -> bytes:
         """Words ``lo`` to ``hi - 1`` joined by one space."""
         return b" ".join(self.data[self.start[i]:self.end[i]] for i in range(lo, hi))
