@@ -83,3 +83,15 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
                 hi += 1
             yield batch.slice(lo, hi - lo), col.slice(lo, hi - lo).to_pylist()
             lo = hi
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, _rest``: the other columns in one struct, so that no name can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(1).alias("_")).alias("_rest"))
+
+
+def unboxed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The inverse: ``columns`` in their order, whatever else there is left out."""
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c)
+                         for c in columns])

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineup.llm.common import byte_slices
 from lineup.llm.words import ALNUM_LOWER, SPACED, Words, mix
@@ -194,9 +195,6 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_FIT_ROWS,
     return fit_ordinal(np.concatenate(index), first, np.asarray(grade), n_grades)
 
 
-RESULT = "expected_grade double, p_good double, kept boolean"
-
-
 def classify(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5) -> DataFrame:
     """``docs`` (all columns) with ``expected_grade``, ``p_good`` (probability of the
     highest grade) and ``kept`` (``p_good >= least``).
@@ -205,9 +203,10 @@ def classify(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5) ->
     text with a word is kept with NULL grades.  Repeated rows each give a row.
     """
     taken = ("expected_grade", "p_good", "kept")
-    docs = docs.select(*[c for c in docs.columns if c not in taken])
+    docs = docs.select(*[c for c in docs.columns if c not in taken]).withColumn("text", F.col("text").cast("string"))
     fields = docs.schema.fields
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [RESULT])
+    schema = T.StructType(fields + [T.StructField(taken[0], T.DoubleType()), T.StructField(taken[1], T.DoubleType()),
+                                    T.StructField(taken[2], T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**HASH_BITS weights
 
     def rate(batches: Iterable[pa.RecordBatch]):
@@ -228,4 +227,4 @@ def classify(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5) ->
                 [*b.columns, pa.array(grade, pa.float64()), pa.array(good, pa.float64()), pa.array(kept, pa.bool_())],
                 [*b.schema.names, *taken])
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(rate, schema)
+    return docs.mapInArrow(rate, schema)
