@@ -20,8 +20,8 @@ class FeatureConfig:
     min_games: int = 3
     as_of: bool = False
     rest_default: int = 2
-    # Unit used to split one participant's history into window partitions.
-    split_unit: str = "month"
+    # Rows of one participant's history that share a window partition (whole days each).
+    bucket_rows: int = 100_000
     rolling_measures: tuple = (
         ("pts_for", "avg_pts_last_{n}"),
         ("pts_against", "avg_pts_allowed_last_{n}"),
@@ -49,12 +49,6 @@ class StakeConfig:
     max_bet_size: float = 0.1
 
 
-@dataclass(frozen=True)
-class RiskConfig:
-    num_simulations: int = 1000
-    seed: int = 42
-
-
 @dataclass(frozen=True)
 class DriftConfig:
     min_accuracy: float = 0.55

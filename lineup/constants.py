@@ -55,14 +55,6 @@ WIN_RATE_CLAMP = (0.05, 0.95)
 CONFIDENCE_EDGES = [0.0, 0.6, 0.7, 0.8, 1.0]
 CONFIDENCE_LABELS = ["<60%", "60-70%", "70-80%", ">80%"]
 
-# Deterministic odds fill.
-CYCLE_ODDS_BASE = 1.95
-CYCLE_ODDS_STEP = 0.1
-CYCLE_ODDS_PERIOD = 3
-HOME_ODDS_ADVANTAGE = 0.1
-LINEAR_ODDS_LOW = 1.8
-LINEAR_ODDS_HIGH = 2.2
-
 # Season calendar.
 SEASON_LAST_MONTH = 6          # Jan-Jun belong to the season that started the year before
 SEASON_FIRST_MONTH = 10        # in-season: month >= 10 or month <= 6
@@ -71,3 +63,13 @@ GAMES_PER_SEASON = 82
 SEASON_LENGTH_DAYS = 170
 MID_SEASON_GAME = 41
 SCHEDULE_UTC_OFFSET_HOURS = -5
+
+# Words in the names of date columns.
+DATE_KEYWORDS = ("date", "year", "season", "game_date")
+
+# Thresholds of the team tables (form, colour classes, outliers).
+FORM_MARGIN = 0.1
+RATE_CLASSES = (0.4, 0.6)
+DIFF_CLASSES = (-5, 0, 5)
+OUTLIER_DIFF = 8
+OUTLIER_RATES = (0.3, 0.7)

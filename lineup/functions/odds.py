@@ -27,6 +27,13 @@ def american_to_prob(odds, fixed: bool = False) -> Column:
     return out
 
 
+def american_to_decimal(odds) -> Column:
+    """American odds -> decimal odds: ``1 + o / 100`` for ``o > 0``,
+    ``1 + 100 / -o`` for ``o < 0``; NULL, zero and non-numeric prices give NULL."""
+    o = _c(odds).try_cast("double")
+    return F.when(o > 0, 1.0 + o / 100.0).when(o < 0, 1.0 - 100.0 / o)
+
+
 def decimal_to_prob(odds) -> Column:
     """Decimal odds -> implied probability ``1 / o``; NULL unless ``o > 0``."""
     o = _c(odds)
@@ -78,96 +85,3 @@ def bet_return(stake, odds, won) -> Column:
 
 def clamp(x, lo: float, hi: float) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), _c(x)))
-
-
-# ---- reproducible uniforms -------------------------------------------------
-# A 32-bit finalizer (xor-shift / multiply, as in MurmurHash3) written with
-# 64-bit integer arithmetic that never overflows, so any SQL engine with
-# integer xor and shifts computes the same bits.  Independent of
-# partitioning.  The steps are materialised one column at a time, so the
-# expression tree stays small.
-
-_M1, _M2, _GOLD = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B9
-TWO32 = 4294967296
-
-
-def _mul32(h: str, m: int) -> str:
-    return f"(({h} * {m >> 16}) % 65536 * 65536 + {h} * {m & 0xFFFF}) % {TWO32}"
-
-
-def _fmix(steps: list, src: str, tag: str) -> str:
-    steps.append((f"_{tag}1", f"xor({src}, {src} >> 16)"))
-    steps.append((f"_{tag}2", _mul32(f"_{tag}1", _M1)))
-    steps.append((f"_{tag}3", f"xor(_{tag}2, _{tag}2 >> 13)"))
-    steps.append((f"_{tag}4", _mul32(f"_{tag}3", _M2)))
-    steps.append((f"_{tag}5", f"xor(_{tag}4, _{tag}4 >> 16)"))
-    return f"_{tag}5"
-
-
-def uniform_key_steps(b: str, seed: int, out: str) -> list[tuple[str, str]]:
-    """(column, SQL) steps turning the non-negative integer ``b`` and the seed
-    into a 32-bit key; computed once per entity, before any expansion."""
-    steps: list[tuple[str, str]] = [("_ub", f"cast({b} as bigint)")]
-    steps.append(("_uh", f"(cast(floor(_ub / {TWO32}e0) as bigint) + {seed}) % {TWO32}"))
-    hi = _fmix(steps, "_uh", "uh")
-    steps.append(("_ul", f"xor(_ub % {TWO32}, {hi})"))
-    steps.append((out, _fmix(steps, "_ul", "ul")))
-    return steps
-
-
-def uniform_draw_steps(a: str, key: str, out: str) -> list[tuple[str, str]]:
-    """(column, SQL) steps: U[0,1) from a key and the draw number ``a``."""
-    steps: list[tuple[str, str]] = [("_ua", f"cast({a} as bigint) % {TWO32}")]
-    steps.append(("_uz", f"({key} + {_mul32('_ua', _GOLD)}) % {TWO32}"))
-    h = _fmix(steps, "_uz", "uz")
-    steps.append((out, f"cast({h} as double) / {TWO32}e0"))
-    return steps
-
-
-def uniform_steps(a: str, b: str, seed: int, out: str) -> list[tuple[str, str]]:
-    """Both phases: ``out`` = U[0,1) of the integer columns ``a`` and ``b``.
-    Valid Spark SQL and DuckDB text; each step may use earlier columns."""
-    return uniform_key_steps(b, seed, "_ukey") + uniform_draw_steps(a, "_ukey", out)
-
-
-def _spark_sql(expr: str) -> str:
-    # Spark spells integer xor as ``^``; shifts are ``>>`` in both engines.
-    import re
-    while "xor(" in expr:
-        expr = re.sub(r"xor\(([^(),]+), ([^()]+?)\)", r"(\1 ^ (\2))", expr, count=1)
-    return expr
-
-
-def _apply(df, steps, keep: str):
-    tmp = []
-    for name, expr in steps:
-        df = df.withColumn(name, F.expr(_spark_sql(expr)))
-        if name != keep:
-            tmp.append(name)
-    return df.drop(*tmp)
-
-
-def with_uniform_key(df, b: str, seed: int, out: str = "_ukey"):
-    """Add the per-entity hash key of ``b`` (see ``with_uniform_draw``)."""
-    return _apply(df, uniform_key_steps(b, seed, out), out)
-
-
-def with_uniform_draw(df, a: str, key: str, out: str = "u"):
-    """Add ``out`` = U[0,1) for draw ``a`` of the entity with hash ``key``."""
-    return _apply(df, uniform_draw_steps(a, key, out), out)
-
-
-def with_uniform(df, a: str, b: str, seed: int, out: str = "u"):
-    """Add ``out`` = reproducible U[0,1) of (a, b, seed) to a DataFrame."""
-    return with_uniform_draw(with_uniform_key(df, b, seed, "_ukey"), a, "_ukey", out).drop("_ukey")
-
-
-def uniform_sql(source: str, a: str, b: str, seed: int, out: str = "u") -> str:
-    """DuckDB text: ``source`` (a subquery) with ``out`` added by nested selects."""
-    q = source
-    names = []
-    for name, expr in uniform_steps(a, b, seed, out):
-        q = f"select *, {expr} as {name} from ({q}) as _s"
-        if name != out:
-            names.append(name)
-    return f"select * exclude ({', '.join(names)}) from ({q}) as _s"

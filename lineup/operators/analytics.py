@@ -4,10 +4,12 @@ small (one row per participant) and the second-level summaries run on them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from lineup.constants import DIFF_CLASSES, FORM_MARGIN, OUTLIER_DIFF, OUTLIER_RATES, RATE_CLASSES
+
 
 def dataset_profile(features: DataFrame, date: str = "game_date", team: str = "team_name",
                     game: str = "game_id") -> DataFrame:
@@ -36,14 +38,15 @@ TEAM_STATS = [
 ]
 
 
-def team_stats(features: DataFrame, team: str = "team_name", target: str = "target_win") -> DataFrame:
-    """A3: per participant count, win rate and mean measures rounded to 3
-    (half-even, as pandas), differences taken after rounding."""
+def team_stats(features: DataFrame, team="team_name", target: str = "target_win") -> DataFrame:
+    """A3: per participant (or any other columns ``team``) count, win rate and mean
+    measures rounded to 3 (half-even, as pandas), differences taken after rounding."""
     aggs = [F.count(target).alias("games_played"),
             F.bround(F.avg(F.col(target).cast("double")), 3).alias("win_rate")]
     aggs += [F.bround(F.avg(src), 3).alias(dst) for src, dst in TEAM_STATS]
     aggs.append(F.bround(F.avg(F.col("is_home").cast("double")), 3).alias("home_game_pct"))
-    return features.groupBy(team).agg(*aggs).withColumns({
+    keys = [team] if isinstance(team, str) else list(team)
+    return features.groupBy(*keys).agg(*aggs).withColumns({
         "season_point_diff": F.col("season_avg_pts") - F.col("season_avg_pts_allowed"),
         "recent_point_diff": F.col("recent_avg_pts") - F.col("recent_avg_pts_allowed"),
     })
@@ -70,7 +73,7 @@ def _argmin(name: Column, value: Column) -> Column:
     return F.min_by(name, F.struct(value, name))
 
 
-def form_label(recent: Column, season: Column, margin: float = 0.1) -> Column:
+def form_label(recent: Column, season: Column, margin: float = FORM_MARGIN) -> Column:
     """Improving / declining when recent form is more than ``margin`` away."""
     return F.when(recent > season + margin, "improving") \
             .when(recent < season - margin, "declining").otherwise("steady")
@@ -94,12 +97,14 @@ def team_extremes(stats: DataFrame, team: str = "team_name") -> DataFrame:
 
 def rate_class(rate: Column) -> Column:
     """Red below 0.4, orange below 0.6, else green."""
-    return F.when(rate < 0.4, "red").when(rate < 0.6, "orange").otherwise("green")
+    low, high = RATE_CLASSES
+    return F.when(rate < low, "red").when(rate < high, "orange").otherwise("green")
 
 
 def diff_class(diff: Column) -> Column:
     """Red below -5, orange below 0, lightgreen below 5, else green."""
-    return F.when(diff < -5, "red").when(diff < 0, "orange").when(diff < 5, "lightgreen").otherwise("green")
+    low, zero, high = DIFF_CLASSES
+    return F.when(diff < low, "red").when(diff < zero, "orange").when(diff < high, "lightgreen").otherwise("green")
 
 
 def team_rank_classes(stats: DataFrame, team: str = "team_name") -> DataFrame:
@@ -115,7 +120,8 @@ def team_rank_classes(stats: DataFrame, team: str = "team_name") -> DataFrame:
 def team_outliers(stats: DataFrame) -> DataFrame:
     """P20: participants with |difference| > 8 or win rate outside [0.3, 0.7]."""
     d, r = F.col("season_point_diff"), F.col("win_rate")
-    return stats.where((d > 8) | (d < -8) | (r > 0.7) | (r < 0.3))
+    low, high = OUTLIER_RATES
+    return stats.where((F.abs(d) > OUTLIER_DIFF) | (r > high) | (r < low))
 
 
 def top_n(stats: DataFrame, by: str, n: int = 10, ascending: bool = False,
@@ -125,6 +131,19 @@ def top_n(stats: DataFrame, by: str, n: int = 10, ascending: bool = False,
     return stats.orderBy(o, F.col(tie)).limit(n)
 
 
+def team_rankings(stats: DataFrame, n: int = 10, team: str = "team_name") -> DataFrame:
+    """The four ranked lists (win rate, points, fewest allowed, difference), ``n`` rows each."""
+    lists = [("win_rate", False), ("season_avg_pts", False), ("season_avg_pts_allowed", True),
+             ("season_point_diff", False)]
+    out = None
+    for by, ascending in lists:
+        first = top_n(stats.select(team, F.lit(by).alias("list"), F.col(by).alias("value")), "value", n, ascending, team)
+        out = first if out is None else out.unionByName(first)
+    signed = F.when(F.col("list") == "season_avg_pts_allowed", F.col("value")).otherwise(-F.col("value"))
+    w = Window.partitionBy("list").orderBy(signed, team)  # at most n rows per list
+    return out.withColumn("rank", F.row_number().over(w))
+
+
 def games_per_day(games: DataFrame, date: str = "game_date") -> DataFrame:
     """Mean and max games per day (two-level aggregation)."""
     per_day = games.groupBy(F.to_date(date).alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -167,6 +186,37 @@ def target_correlation(features: DataFrame, target: str = "target_win", exclude=
     return row.select(stack)
 
 
+def ranked_correlation(corr: DataFrame, top: int = 15, bottom: int = 10) -> DataFrame:
+    """T4: features by falling |correlation| (``rank`` from 1, an unknown correlation last), with
+    ``part`` 'top' and 'bottom' for the first and last ones.  One row per feature."""
+    w = Window.orderBy(F.abs("correlation").desc_nulls_last(), "feature")
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    r = corr.withColumns({"rank": F.row_number().over(w), "_n": n})
+    part = F.when(F.col("rank") <= top, "top").when(F.col("rank") > F.col("_n") - bottom, "bottom").otherwise("middle")
+    return r.withColumn("part", part).drop("_n")
+
+
+def correlation_matrix(features: DataFrame, target: str = "target_win", exclude=("game_id",)) -> DataFrame:
+    """Pearson correlation of every pair of numeric columns, target included, in
+    one pass: ``feature_a, feature_b, correlation`` with both orders and the diagonal."""
+    cols = sorted(numeric_columns(features, exclude))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    x = {c: F.col(c).cast("double") for c in cols}
+    row = features.agg(*[F.corr(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(p).alias("feature_a"), F.lit(q).alias("feature_b"), F.col(f"c{i}").alias("correlation"))
+                      for i, (a, b) in enumerate(pairs) for p, q in dict.fromkeys([(a, b), (b, a)])])
+    return row.select(F.inline(cells))
+
+
+def top_correlation_matrix(matrix: DataFrame, target: str = "target_win", n: int = 10) -> DataFrame:
+    """The matrix of the ``n`` features with the largest |correlation| with the target, and the target."""
+    own = matrix.where((F.col("feature_b") == target) & (F.col("feature_a") != target))
+    names = top_n(own.select(F.col("feature_a").alias("feature"), F.abs("correlation").alias("_c")), "_c", n, tie="feature")
+    names = names.select("feature").union(matrix.sparkSession.createDataFrame([(target,)], "feature string"))
+    a, b = names.withColumnRenamed("feature", "feature_a"), names.withColumnRenamed("feature", "feature_b")
+    return matrix.join(a, "feature_a", "left_semi").join(b, "feature_b", "left_semi")
+
+
 def correlation_summary(corr: DataFrame) -> DataFrame:
     """A10: how many features correlate above 0.1 / below -0.1, and the strongest of each sign."""
     c = F.col("correlation")

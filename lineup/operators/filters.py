@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-DATE_KEYWORDS = ("date", "year", "season", "game_date")
+from lineup.constants import DATE_KEYWORDS
+
+SEASON_TEXT = r"^\d{4}-\d{2}$"
 
 
 def date_like_columns(df: DataFrame) -> list[str]:
@@ -43,24 +45,30 @@ def date_year(df: DataFrame, col: str, a: int, b: int) -> Column:
     return F.coalesce(F.year(d).between(a, b), F.lit(False))
 
 
-def _kind(df: DataFrame, col: str) -> str | None:
-    """P6: 'year' for numeric columns or text like '2020-21' (first value has '-'
-    and is at most 10 long), 'date' for date columns or text where one of
-    the first 5 values parses as a date, else None.  Reads at most 5 rows."""
-    t = df.schema[col].dataType
-    if isinstance(t, NumericType):
-        return "year"
-    if isinstance(t, (DateType, TimestampType, TimestampNTZType)):
-        return "date"
-    if isinstance(t, StringType):
-        sample = [r[0] for r in df.select(col).limit(5).collect()]
-        first = str(sample[0]) if sample else ""
-        if "-" in first and len(first) <= 10:
-            return "year"
-        parsed = df.sparkSession.createDataFrame([(s,) for s in sample], "s string") \
-            .select(F.count(F.try_to_date("s")).alias("n")).first()["n"] if sample else 0
-        return "date" if parsed > 0 else None
-    return None
+def _kinds(df: DataFrame, cols: list[str], a: int, b: int) -> list[tuple[str, str, int]]:
+    """P6 and P10 in one aggregation over the whole table: (column, kind, rows that
+    its filter keeps).  Numeric columns hold years and date columns dates; a text column holds
+    seasons ('2020-21') or dates, whichever more of its values are (dates on a tie), or neither."""
+    aggs, found = [], []
+    for i, c in enumerate(cols):
+        t = df.schema[c].dataType
+        kinds = {"year": isinstance(t, (NumericType, StringType)),
+                 "date": isinstance(t, (DateType, TimestampType, TimestampNTZType, StringType))}
+        for kind in [k for k, can in kinds.items() if can]:
+            if isinstance(t, StringType):
+                fits = F.regexp(F.col(c), F.lit(SEASON_TEXT)) if kind == "year" else F.try_to_date(c).isNotNull()
+            else:
+                fits = F.lit(True)
+            aggs += [F.count_if(fits).alias(f"_f{i}{kind}"), F.count_if(predicate(df, c, kind, a, b)).alias(f"_k{i}{kind}")]
+            found.append((i, c, kind))
+    counts = df.agg(*aggs).first().asDict() if aggs else {}
+    out = []
+    for i, c in enumerate(cols):
+        own = [(counts[f"_f{i}{k}"], k == "date", k) for j, _, k in found if j == i]
+        best = max(own, default=(0, False, ""))
+        if best[0] > 0:
+            out.append((c, best[2], counts[f"_k{i}{best[2]}"]))
+    return out
 
 
 def predicate(df: DataFrame, col: str, kind: str, a: int, b: int) -> Column:
@@ -73,14 +81,9 @@ def predicate(df: DataFrame, col: str, kind: str, a: int, b: int) -> Column:
 
 def filter_by_year_range(df: DataFrame, a: int, b: int) -> DataFrame:
     """P10: try the date-like columns in order and keep the first one whose
-    filter is non-empty; without any, return everything.  All candidates are
-    counted in a single aggregation pass, then one filter is applied."""
-    cands = [(c, k) for c in date_like_columns(df) if (k := _kind(df, c))]
-    if not cands:
-        return df
-    preds = [predicate(df, c, k, a, b) for c, k in cands]
-    counts = df.agg(*[F.count_if(p).alias(f"_n{i}") for i, p in enumerate(preds)]).first()
-    for i, p in enumerate(preds):
-        if counts[f"_n{i}"] > 0:
-            return df.where(p)
+    filter is non-empty; without any, return everything.  The choice depends on all
+    values of a column, never on the order of the rows."""
+    for col, kind, kept in _kinds(df, date_like_columns(df), a, b):
+        if kept > 0:
+            return df.where(predicate(df, col, kind, a, b))
     return df

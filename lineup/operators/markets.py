@@ -1,17 +1,14 @@
-"""Prices and predictions: winner pick, edges, consensus, odds joins and fills
-(F2-F7, J-1, J-2, J-3, J-4, A23, M12, M13)."""
+"""Prices and predictions: winner pick, edges, consensus and odds joins
+(F2-F7, J-1, J-2, J-3, J-4, A23)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineup.constants import (CYCLE_ODDS_BASE, CYCLE_ODDS_PERIOD, CYCLE_ODDS_STEP,
-                              HOME_ODDS_ADVANTAGE, HOME_POINTS_BOOST, HOME_WIN_SHIFT,
-                              LEAGUE_AVERAGE_PROFILE, LINEAR_ODDS_HIGH, LINEAR_ODDS_LOW,
+from lineup.constants import (HOME_POINTS_BOOST, HOME_WIN_SHIFT, LEAGUE_AVERAGE_PROFILE,
                               TEAM_ABBREVIATIONS, TEAM_PROFILES, WIN_RATE_CLAMP)
 from lineup.functions import odds as O
-from lineup.operators.sequence import row_index
 
 
 def pick_winner(pred: DataFrame) -> DataFrame:
@@ -65,9 +62,15 @@ def betting_edges(pred: DataFrame) -> DataFrame:
     })
 
 
+def decimal_quotes(odds_by_book: DataFrame) -> DataFrame:
+    """The American quotes of ``flatten_odds`` as decimal ones."""
+    return odds_by_book.withColumns({c: O.american_to_decimal(c) for c in ("home_odds", "away_odds")})
+
+
 def odds_consensus(odds_by_book: DataFrame, keys=("game_date", "home_team", "away_team")) -> DataFrame:
-    """Mean price per side across bookmakers; NULL when no book quotes it.
-    One partial aggregation per game (map-side combine)."""
+    """Mean decimal price per side across bookmakers; NULL when no book quotes it.
+    One partial aggregation per game (map-side combine).  Prices must be decimal: a
+    mean of American quotes means nothing (``decimal_quotes`` converts them)."""
     return odds_by_book.groupBy(*keys).agg(F.avg("home_odds").alias("home_odds"),
                                            F.avg("away_odds").alias("away_odds"),
                                            F.count(F.lit(1)).alias("n_books"))
@@ -125,28 +128,3 @@ def team_profile_features(df: DataFrame, team: str = "team", is_home: str = "is_
         "season_avg_pts": pts,
         "season_avg_pts_allowed": pa,
     }).drop("_pt", "_pts", "_pa", "_wp")
-
-
-def impute_odds_cycle(games: DataFrame, missing_only: bool = True, group=("game_date",),
-                      order=("game_id",)) -> DataFrame:
-    """Deterministic fill ``1.95 + (i mod 3) 0.1 -/+ 0.1`` where ``i`` is
-    the game's position in its day; with ``missing_only`` only games without
-    a home price are filled (both sides)."""
-    idx = row_index(games, list(group), list(order), "_i")
-    base = F.lit(CYCLE_ODDS_BASE) + (F.col("_i") % CYCLE_ODDS_PERIOD) * CYCLE_ODDS_STEP
-    fill = F.col("home_odds").isNull() if missing_only else F.lit(True)
-    return idx.withColumns({
-        "home_odds": F.when(fill, base - HOME_ODDS_ADVANTAGE).otherwise(F.col("home_odds")),
-        "away_odds": F.when(fill, base + HOME_ODDS_ADVANTAGE).otherwise(F.col("away_odds")),
-    }).drop("_i")
-
-
-def impute_odds_linear(games: DataFrame, group=("game_date",), order=("game_id",)) -> DataFrame:
-    """Prices evenly spaced from 1.8 to 2.2 over the day's games, -/+ 0.1."""
-    idx = row_index(games, list(group), list(order), "_i")
-    counts = games.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    j = idx.join(counts, list(group), "inner")
-    base = F.lit(LINEAR_ODDS_LOW) + F.lit(LINEAR_ODDS_HIGH - LINEAR_ODDS_LOW) * F.col("_i") / \
-        F.greatest(F.col("_n") - 1, F.lit(1))
-    return j.withColumns({"home_odds": base - HOME_ODDS_ADVANTAGE,
-                          "away_odds": base + HOME_ODDS_ADVANTAGE}).drop("_i", "_n")

@@ -90,8 +90,8 @@ def daily_pnl(bets: DataFrame, date: str = "bet_date", pnl: str = "profit_loss")
 
 def cumulative_pnl(bets: DataFrame, date: str = "bet_date", key: str = "bet_id",
                    pnl: str = "profit_loss") -> DataFrame:
-    """Running P&L in (date, id) order, exact and parallel (range
-    partitioned running sum, no single-task window)."""
+    """Running P&L in (date, id) order, exact and parallel: day totals and
+    their offsets, then a running sum inside each day (a busy day in ranges of ids)."""
     return running_sums(bets, [], [date, key], {"cumulative_pnl": F.col(pnl)})
 
 
@@ -176,10 +176,23 @@ def drift_flags(log: DataFrame, date: str = "date", flag: str = "correct_predict
 def temporal_split(df: DataFrame, date: str = "game_date", train_fraction: float = 0.8) -> DataFrame:
     """W11 (Q5 fixed): the cutoff is the date at position ``int(n * f)`` in
     date order; earlier dates train, the rest test, so a date is never split.
-    Adds ``split`` = 'train' / 'test'."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    vals = df.select(F.unix_date(F.col(date)).alias("_d"))
+    Adds ``split`` = 'train' / 'test' (a NULL date tests).  The cutoff needs one row per day."""
+    days = df.where(F.col(date).isNotNull()).groupBy(F.unix_date(F.to_date(date)).alias("_d")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    days = days.select("_d", F.sum("_c").over(Window.orderBy("_d")).alias("_end"),
+                       F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    cut = days.where(F.col("_end") > F.floor(F.col("_n") * F.lit(train_fraction))).agg(F.min("_d")).scalar()
+    return df.withColumn("split", F.when(F.unix_date(F.to_date(date)) < cut, "train").otherwise("test"))
+
+
+def stratified_split(df: DataFrame, label: str, key: str, train_fraction: float = 0.8, seed: int = 42) -> DataFrame:
+    """M2 without dates: a repeatable random split with the same train share in every
+    label.  Rows are ranked per label by a hash of ``key``; the rank comes from counts per
+    (label, hash range), so a label of half of all rows is not sorted in one task."""
     from lineup.operators.sequence import row_index
-    ranked = row_index(vals, [], ["_d"], "_pos")
-    cut = ranked.where(F.col("_pos") == F.floor(n * F.lit(train_fraction))).agg(F.min("_d")).scalar()
-    return df.withColumn("split", F.when(F.unix_date(F.col(date)) < cut, "train").otherwise("test"))
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30))
+    ranked = row_index(df.withColumn("_h", h), [label], ["_h"], "_pos")
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    out = ranked.join(n, ranked[label].eqNullSafe(n["_label"]))
+    split = F.when(F.col("_pos") < F.floor(F.col("_n") * train_fraction), "train").otherwise("test")
+    return out.withColumn("split", split).drop("_h", "_pos", "_n", "_label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineup.constants import TEAM_ABBREVIATIONS
+
 
 def _row(df: DataFrame, check: str, value, status) -> DataFrame:
     return df.select(F.lit(check).alias("check"), value.cast("string").alias("value"), status.alias("status"))
@@ -13,10 +15,12 @@ def _row(df: DataFrame, check: str, value, status) -> DataFrame:
 def data_quality(games: DataFrame, features: DataFrame | None, odds: DataFrame | None,
                  teams: DataFrame, game_key: str = "game_id", date: str = "game_date",
                  team_cols=("team_abbreviation_home", "team_abbreviation_away"),
+                 name_cols=("team_name_home", "team_name_away"),
                  odds_range=(1.01, 50.0)) -> DataFrame:
     """A26 + A27: record counts ("missing" when a source is absent), latest
     date, duplicate game ids, prices outside a plausible decimal range, and
-    expected participants never seen.  Each check is one aggregation."""
+    expected participants never seen, and pairs of name and abbreviation that differ from the
+    fixed table.  Each check is one aggregation."""
     parts = []
     g = games.agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("lo"), F.max(date).alias("hi"))
     parts.append(_row(g, "games_records", F.col("n"), F.when(F.col("n") > 0, "ok").otherwise("empty")))
@@ -28,6 +32,12 @@ def data_quality(games: DataFrame, features: DataFrame | None, odds: DataFrame |
     seen = games.select(F.explode(F.array(*[F.col(c) for c in team_cols])).alias("team")).distinct()
     missing = teams.join(seen, teams["team"] == seen["team"], "left_anti").agg(F.count(F.lit(1)).alias("n"))
     parts.append(_row(missing, "teams_missing", F.col("n"), F.when(F.col("n") == 0, "ok").otherwise("warn")))
+    full, short = zip(*TEAM_ABBREVIATIONS)
+    named = games.select(F.explode(F.array(*[F.struct(F.col(n).alias("name"), F.col(a).alias("abbr"))
+                                             for n, a in zip(name_cols, team_cols)])).alias("t")).select("t.*").distinct()
+    known = F.element_at(F.map_from_arrays(F.array(*map(F.lit, full)), F.array(*map(F.lit, short))), F.col("name"))
+    odd = named.agg(F.count_if(~F.coalesce(known == F.col("abbr"), F.lit(False))).alias("n"))
+    parts.append(_row(odd, "team_names_inconsistent", F.col("n"), F.when(F.col("n") == 0, "ok").otherwise("warn")))
     if features is not None:
         f = features.agg(F.count(F.lit(1)).alias("n"), F.max(date).alias("hi"))
         parts.append(_row(f, "feature_records", F.col("n"), F.lit("ok")))

@@ -1,12 +1,11 @@
-"""Stake sizing and risk (F8-F11, F14, J-6, A22, M10, M11)."""
+"""Stake sizing and risk."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegralType
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineup.config import RiskConfig, StakeConfig
+from lineup.config import StakeConfig
 from lineup.functions import odds as O
 
 REQUIRED = ("best_bet_prob", "best_bet_odds", "best_bet_edge")
@@ -36,87 +35,31 @@ def bet_sizes(edges: DataFrame, bankroll, cfg: StakeConfig = StakeConfig()) -> D
     })
 
 
-def rank_bets(bets: DataFrame, tie: str = "game_id") -> DataFrame:
-    """Highest expected value first (a total order with ``tie``)."""
-    return bets.orderBy(F.desc("expected_value"), F.col(tie))
-
-
-def simulate_returns(bets: DataFrame, group=(), bet_key: str = "game_id",
-                     cfg: RiskConfig = RiskConfig(), bets_per_task: int = 20000) -> DataFrame:
-    """M10 + F14: total return of each simulation of the recommended bets.
-
-    Each recommended bet expands to ``num_simulations`` draws (a generator,
-    not a join).  The bets are first spread by (group, salt) where the salt
-    splits a group into chunks of about ``bets_per_task`` bets, so a group
-    with a huge number of bets is simulated by many tasks; the per-task
-    partial sums per (group, sim) are then combined.  Draws are a
-    reproducible hash of (sim, bet, seed), so the result does not depend on
-    the partitioning.
-    """
-    rec = bets.where(F.col("recommended_bet")).select(
-        *group, bet_key, "stake_amount", "best_bet_prob", "best_bet_odds")
-    if not group:
-        rec = rec.repartition(2 * rec.sparkSession.sparkContext.defaultParallelism)
-    else:
-        sizes = rec.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        rec = rec.join(sizes, list(group))
-        salt = F.pmod(F.xxhash64(bet_key), F.greatest(F.lit(1), F.ceil(F.col("_n") / bets_per_task)))
-        # An explicit partition count: the bets are small, and AQE would
-        # otherwise coalesce them into one task right before a 1000x expansion.
-        n = 2 * rec.sparkSession.sparkContext.defaultParallelism
-        rec = rec.withColumn("_salt", salt).repartition(n, *group, "_salt").drop("_n", "_salt")
-    key = bet_key
-    if not isinstance(rec.schema[bet_key].dataType, IntegralType):
-        # non-integer keys are hashed to a non-negative integer first
-        rec = rec.withColumn("_bk", F.xxhash64(bet_key).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
-        key = "_bk"
-    # the per-bet half of the hash is computed once per bet, before expanding
-    rec = O.with_uniform_key(rec, key, cfg.seed, "_ukey")
-    draws = rec.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_simulations - 1))).alias("sim"))
-    draws = O.with_uniform_draw(draws, "sim", "_ukey", "_u")
-    ret = O.bet_return("stake_amount", "best_bet_odds", F.col("_u") < F.col("best_bet_prob"))
-    # Returns are summed as whole cents (each bet's return floored to a cent):
-    # integer sums are exact, so the totals, their signs and the summary
-    # statistics do not depend on the order in which partial sums combine.
-    cents = F.sum(F.floor(ret * 100)).alias("total_cents")
-    return draws.groupBy(*group, "sim").agg(cents).withColumn(
-        "total_return", F.col("total_cents") / 100.0)
-
-
-def summarize_returns(sims: DataFrame, group=()) -> DataFrame:
-    """Mean, population std (to the cent), P(profit), 5th/95th
-    percentile (linear), min, max of the simulated totals."""
-    x, c = F.col("total_return"), F.col("total_cents")
-    q = F.percentile(x, F.array(F.lit(0.05), F.lit(0.95)))
-    return sims.groupBy(*group).agg(
-        (F.avg(c) / 100.0).alias("mean_return"), F.round(F.stddev_pop(c) / 100.0, 2).alias("std_return"),
-        F.avg((c > 0).cast("double")).alias("prob_profit"),
-        q.alias("_q"), F.min(x).alias("max_loss"), F.max(x).alias("max_gain"),
-    ).withColumns({"percentile_5": F.col("_q")[0], "percentile_95": F.col("_q")[1]}).drop("_q")
-
-
-def risk_distribution(bets: DataFrame, group=("game_date",), bet_key: str = "game_id",
-                      cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """Risk summary of each group's recommended bets; a group without any
-    recommended bet gets mean, std and P(profit) of 0 and NULL elsewhere."""
-    stats = summarize_returns(simulate_returns(bets, group, bet_key, cfg), group)
-    if not group:
-        return stats
-    groups = bets.select(*group).distinct()
-    j = groups.join(stats, list(group), "left")
-    return j.withColumns({c: F.coalesce(F.col(c), F.lit(0.0))
-                          for c in ("mean_return", "std_return", "prob_profit")})
+def rank_bets(bets: DataFrame, group=("game_date",), tie: str = "game_id") -> DataFrame:
+    """A day's bets with the highest expected value first: rows of a day share a
+    partition and are sorted there (a total order with ``tie``)."""
+    return bets.repartition(*group).sortWithinPartitions(*group, F.desc("expected_value"), F.col(tie))
+
+
+def return_distribution(totals: DataFrame, value: str, group=()) -> DataFrame:
+    """A22 on real totals (a day's profit and loss, say): mean, population std,
+    P(profit), 5th and 95th percentile (linear), min and max of ``value`` per group."""
+    x = F.col(value)
+    return totals.where(x.isNotNull()).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_days"), F.avg(x).alias("mean_return"), F.stddev_pop(x).alias("std_return"),
+        F.avg((x > 0).cast("double")).alias("prob_profit"), F.percentile(x, F.lit(0.05)).alias("percentile_5"),
+        F.percentile(x, F.lit(0.95)).alias("percentile_95"), F.min(x).alias("max_loss"), F.max(x).alias("max_gain"))
 
 
 def risk_closed_form(bets: DataFrame, group=("game_date",)) -> DataFrame:
     """Exact mean and std of the total return of independent bets:
-    mean = sum s (p b - q), var = sum s^2 (b + 1)^2 p q."""
+    mean = sum (p win + q loss), var = sum (win - loss)^2 p q (F14)."""
     rec = bets.where(F.col("recommended_bet"))
     s, p, o = F.col("stake_amount"), F.col("best_bet_prob"), F.col("best_bet_odds")
-    b = o - 1.0
+    win, loss = O.bet_return(s, o, F.lit(True)), O.bet_return(s, o, F.lit(False))
     return rec.groupBy(*group).agg(
-        F.sum(s * (p * b - (1.0 - p))).alias("mean_return_exact"),
-        F.sqrt(F.sum(s * s * o * o * p * (1.0 - p))).alias("std_return_exact"),
+        F.sum(p * win + (1.0 - p) * loss).alias("mean_return_exact"),
+        F.sqrt(F.sum((win - loss) * (win - loss) * p * (1.0 - p))).alias("std_return_exact"),
         F.count(F.lit(1)).alias("n_bets"))
 
 
@@ -129,26 +72,11 @@ def daily_totals(bets: DataFrame, group=("game_date",)) -> DataFrame:
         F.sum("expected_value").alias("expected_value"))
 
 
-def daily_report(bets: DataFrame, bankroll: float, group=("game_date",), top_k: int = 10,
-                 key: str = "game_id") -> DataFrame:
-    """A21 + J7 + X13: one report row per day: totals, the ``top_k``
-    recommended bets by expected value as nested JSON records, and a summary
-    line.  ``row_number <= top_k`` is planned as a per-partition top-k before
-    the shuffle, so the list stays bounded even for a very busy day."""
-    from pyspark.sql import Window
-    from lineup.functions.text import currency
-    totals = daily_totals(bets, group)
+def daily_report(bets: DataFrame, group=("game_date",), key: str = "game_id") -> DataFrame:
+    """Every game of a day as a record, best expected value first (``rank``
+    from 1).  One row per game, so no list grows inside a day; ``daily_totals`` has the
+    day's sums."""
     w = Window.partitionBy(*group).orderBy(F.desc("expected_value"), F.col(key))
-    top = (bets.where("recommended_bet").withColumn("_rank", F.row_number().over(w))
-           .where(F.col("_rank") <= top_k))
-    rec = F.struct(F.col("_rank").alias("rank"), F.col(key).alias(key), "best_bet_team", "best_bet_odds",
-                   "stake_amount", "expected_value")
-    lists = top.groupBy(*group).agg(F.to_json(F.array_sort(F.collect_list(rec))).alias("games"))
-    out = totals.join(lists, list(group), "left")
-    return out.withColumns({
-        "bankroll": F.lit(float(bankroll)),
-        "games": F.coalesce(F.col("games"), F.lit("[]")),
-        "summary": F.concat(F.col("recommended_bets").cast("string"), F.lit(" bets of "),
-                            F.col("total_games").cast("string"), F.lit(" games, stake "),
-                            currency("total_stake"), F.lit(", expected value "), currency("expected_value")),
-    })
+    return bets.withColumn("rank", F.row_number().over(w)).select(
+        *group, "rank", key, "home_team", "away_team", "best_bet_team", "best_bet_odds", "best_bet_edge",
+        "recommended_bet", "stake_amount", "expected_value")

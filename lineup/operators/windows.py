@@ -2,13 +2,16 @@
 
 A participant (team, user, strategy) can hold a large share of all rows, so
 partitioning a window by the participant alone would put that share into a
-single task.  Instead each participant's history is cut into
-``(participant, season, time-bucket)`` partitions, and every partition gets a
-copy of the ``n`` rows that precede it (``with_carry``).  Row-frame windows of
-at most ``n`` preceding rows are then exact inside each partition.  Whole-group
-quantities (season means, ranks, counts) come from a small per-bucket aggregate
-table whose running offsets are joined back on the same keys, so the big side
-is never re-shuffled.
+single task.  Instead each participant's history is cut into buckets of about
+``bucket_rows`` rows, whole days each.  The cut comes from one small table, the
+rows per (participant, day): it names for every day its bucket and the later
+buckets whose first rows still look back at it.  Rows are joined to that table, copied to
+those buckets (about ``n`` rows per bucket) and shuffled once by (participant, bucket);
+row-frame windows of up to ``n`` preceding rows are then exact inside each bucket.
+
+Whole-group quantities (season means, ranks, counts) are running sums over the same
+day table and arrive with the same join.  Joins match NULLs: a row with a NULL participant,
+season or date is kept.
 """
 
 from __future__ import annotations
@@ -21,56 +24,47 @@ from lineup.config import FeatureConfig
 UNB = Window.unboundedPreceding
 
 
-def bucket_tails(df: DataFrame, keys: list[str], order: list[str], bucket_cols: list[str],
-                 n: int) -> DataFrame:
-    """The last ``n`` rows of every ``(keys, bucket)`` partition, with ``_rd``
-    = 1 for the last row.  ``row_number <= n`` is planned as a per-partition
-    group limit before the shuffle, so only about ``n`` rows per bucket and
-    input split move."""
-    desc = Window.partitionBy(*keys, *bucket_cols).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_rd", F.row_number().over(desc)).where(F.col("_rd") <= n)
+def _match(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on ``cols``, NULLs equal; the right side gives its other columns."""
+    right = right.withColumnsRenamed({c: f"_j_{c}" for c in cols})
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[c].eqNullSafe(right[f"_j_{c}"])
+    return left.join(right, cond).drop(*[f"_j_{c}" for c in cols])
 
 
-def with_carry(df: DataFrame, keys: list[str], order: list[str], bucket_cols: list[str],
-               n: int, tails: DataFrame | None = None) -> DataFrame:
-    """Union ``df`` (``_carry = false``) with, for each ``(keys, bucket)``
-    partition, the ``n`` rows that precede it in ``order`` within ``keys``
-    (``_carry = true``, bucket columns set to the receiving bucket).
+def day_buckets(counts: DataFrame, keys: list[str], date: str, n: int, bucket_rows: int) -> DataFrame:
+    """From rows per (keys, date) in ``_n``: ``_before`` (rows of earlier days), ``_bkt``,
+    ``_start`` (rows before the bucket) and ``_to``, the bucket and those later ones whose first
+    rows have some of this day's rows among their ``n`` predecessors.
 
-    Only the last ``n`` rows of a bucket can precede a later bucket, so the
-    carry lists are built on the bucket tails, whose size is ``n`` per bucket
-    and independent of the data volume.
+    A day is never cut, so a bucket holds at least one day.  Of the following days only ``n``
+    can start within ``n`` rows, so the look-ahead is a frame of ``n`` rows of this table.
     """
-    if tails is None:
-        tails = bucket_tails(df, keys, order, bucket_cols, n)
-    tails = tails.drop("_rd")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    bucket = F.struct(*bucket_cols)
-    row = F.struct(*[F.col(c) for c in df.columns])
-    lists = (tails
-             .withColumn("_pb", F.lag(bucket).over(w))
-             .withColumn("_rows", F.collect_list(row).over(w.rowsBetween(-n, -1)))
-             .where(F.col("_pb").isNotNull() & (F.col("_pb") != bucket))
-             .select(*[F.col(c).alias(f"_to_{c}") for c in bucket_cols],
-                     F.explode("_rows").alias("_r")))
-    carried = lists.select(
-        *[(F.col(f"_to_{c}") if c in bucket_cols else F.col(f"_r.{c}")).alias(c) for c in df.columns],
-        F.lit(True).alias("_carry"))
-    return df.withColumn("_carry", F.lit(False)).unionByName(carried)
+    w = Window.partitionBy(*keys).orderBy(date)
+    days = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(UNB, -1)), F.lit(0)))
+    days = days.withColumn("_bkt", F.floor(F.col("_before") / bucket_rows).cast("long"))
+    days = days.withColumn("_first", F.coalesce(F.lag("_bkt").over(w) != F.col("_bkt"), F.lit(True)))
+    days = days.withColumn("_start", F.max(F.when(F.col("_first"), F.col("_before"))).over(w.rowsBetween(UNB, 0)))
+    ahead = F.collect_list(F.struct("_first", "_before", "_bkt")).over(w.rowsBetween(1, n))
+    near = F.filter(ahead, lambda d: d["_first"] & (d["_before"] < F.col("_before") + F.col("_n") + n))
+    return days.withColumn("_to", F.concat(F.array("_bkt"), F.transform(near, lambda d: d["_bkt"]))).drop("_first")
+
+
+def to_buckets(rows: DataFrame) -> DataFrame:
+    """One row per target bucket ``_w``; ``_carry`` marks the copies."""
+    out = rows.withColumn("_w", F.explode("_to")).drop("_to")
+    return out.withColumn("_carry", F.col("_w") != F.col("_bkt"))
 
 
 def lagged_mean(c: str, n: int, w) -> Column:
     """Mean of the ``n`` previous values; NULL unless all ``n`` are non-null
-    (rolling mean of a shifted column with ``min_samples = n``)."""
+    (rolling mean of a shifted column with ``min_samples = n``).  The frame is computed on its own
+    rows, so a NaN or a huge value reaches the ``n`` following rows and no others."""
     frame = w.rowsBetween(-n, -1)
     return F.when(F.count(c).over(frame) == n, F.avg(c).over(frame))
 
 
-def _trailing_mean(v: Column, n: int, w) -> Column:
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(v).over(frame) == n, F.avg(v).over(frame))
-
-
 SEASON_MEASURES = (
     ("win_numeric", "season_win_pct"),
     ("pts_for", "season_avg_pts"),
@@ -78,36 +72,23 @@ SEASON_MEASURES = (
 )
 
 
-def _bucket_stats(df: DataFrame, tails: DataFrame, key: str, season: str) -> DataFrame:
-    """Per (participant, season, bucket): counts and sums (plain partial
-    aggregation), the values of the bucket's last row (from the tails), and
-    running offsets over earlier buckets.  Its size is bounded by the number
-    of participant-buckets, not by rows."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+def _season_days(df: DataFrame, key: str, season: str, date: str, gid: str) -> DataFrame:
+    """Per (participant, season, day): rows, sums and counts of the season measures before
+    the day and over the season, and the measures of the season's last row."""
+    aggs = [F.count(F.lit(1)).alias("_n"),
+            F.max_by(F.struct(*[m for m, _ in SEASON_MEASURES]), gid).alias("_last")]
     for m, _ in SEASON_MEASURES:
         aggs += [F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_c_{m}")]
-    bs = df.groupBy(key, season, "_bkt").agg(*aggs)
-    last = tails.where(F.col("_rd") == 1).select(
-        key, season, "_bkt", F.struct(*[F.col(m) for m, _ in SEASON_MEASURES]).alias("_last"))
-    bs = bs.join(last, [key, season, "_bkt"], "left")
-    ws = Window.partitionBy(key, season).orderBy("_bkt")
-    prev = ws.rowsBetween(UNB, -1)
-    whole = Window.partitionBy(key, season)
-    cols = {
-        "_off_n": F.coalesce(F.sum("_n").over(prev), F.lit(0)),
-        "_team_off_n": F.coalesce(F.sum("_n").over(
-            Window.partitionBy(key).orderBy("_bkt", season).rowsBetween(UNB, -1)), F.lit(0)),
-        "_team_n": F.sum("_n").over(Window.partitionBy(key)),
-        "_season_last": F.max_by("_last", "_bkt").over(whole),
-    }
+    days = df.groupBy(key, season, date).agg(*aggs)
+    whole = Window.partitionBy(key, season).orderBy(date)
+    prev, every = whole.rowsBetween(UNB, -1), whole.rowsBetween(UNB, Window.unboundedFollowing)
+    cols = {"_off_n": F.coalesce(F.sum("_n").over(prev), F.lit(0)),
+            "_season_last": F.last("_last").over(every)}
     for m, _ in SEASON_MEASURES:
-        cols[f"_off_s_{m}"] = F.coalesce(F.sum(f"_s_{m}").over(prev), F.lit(0))
-        cols[f"_off_c_{m}"] = F.coalesce(F.sum(f"_c_{m}").over(prev), F.lit(0))
-        cols[f"_tot_s_{m}"] = F.sum(f"_s_{m}").over(whole)
-        cols[f"_tot_c_{m}"] = F.sum(f"_c_{m}").over(whole)
-    return bs.withColumns(cols).drop("_n", "_last",
-                                     *[f"_s_{m}" for m, _ in SEASON_MEASURES],
-                                     *[f"_c_{m}" for m, _ in SEASON_MEASURES])
+        for kind in ("s", "c"):
+            cols[f"_off_{kind}_{m}"] = F.coalesce(F.sum(f"_{kind}_{m}").over(prev), F.lit(0))
+            cols[f"_tot_{kind}_{m}"] = F.sum(f"_{kind}_{m}").over(every)
+    return days.withColumns(cols).drop("_last", *[f"_{k}_{m}" for m, _ in SEASON_MEASURES for k in ("s", "c")])
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -126,108 +107,78 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     ``game_number_in_season`` (average rank of the date), and the season means
     both as-run (``season_*``: all but the season's last game) and leak-free
     (``season_*_asof``: previous games only).  Ties on the date are broken by
-    ``gid``.  ``whole_group=False`` skips the whole-group values (and their
-    aggregate and join) when only the row-frame features are needed.
+    ``gid``.  ``whole_group=False`` skips the whole-group values when only the
+    row-frame features are needed.
     """
-    order = [date, gid]
     n_lb, n_sh = cfg.lookback, cfg.short
-    # _season0 keeps a carried row's own season (the bucket columns of carried
-    # rows are set to the receiving bucket)
-    df = team_games.withColumns({"_bkt": F.trunc(date, cfg.split_unit), "_season0": F.col(season)})
-    part = [key, season, "_bkt"]
-    carry_n = max(n_lb, n_sh)
-    tails = bucket_tails(df, [key], order, [season, "_bkt"], carry_n)
-    u = with_carry(df, [key], order, [season, "_bkt"], carry_n, tails)
-    w = Window.partitionBy(*part).orderBy(*order)
-    real = ~F.col("_carry")
-    u = u.withColumn("_lag_win", F.lag("win_numeric").over(w))
-
-    # Rolling means come from running sums and counts (one incremental
-    # unbounded-preceding frame) and their lags, so each row costs O(1) per
-    # measure instead of re-aggregating an N-row sliding frame.
-    run = w.rowsBetween(UNB, 0)
-    one = real.cast("int")
-    measures = sorted({m for m, _ in cfg.rolling_measures} | {m for m, _ in cfg.short_measures})
-    venue_vals = {side: F.when(F.col("venue") == F.lit(side), F.col("_lag_win")) for side in ("home", "away")}
-    p1: dict[str, Column] = {}
-    for m in measures:
-        p1[f"_S_{m}"] = F.sum(m).over(run)
-        p1[f"_C_{m}"] = F.count(m).over(run)
-    for side, v in venue_vals.items():
-        p1[f"_S_v{side}"] = F.sum(v).over(run)
-        p1[f"_C_v{side}"] = F.count(v).over(run)
-    p1["_loc_rn"] = F.sum(one).over(run)
-    for m, _ in SEASON_MEASURES:
-        p1[f"_RS_{m}"] = F.sum(F.when(real, F.col(m))).over(run)
-        p1[f"_RC_{m}"] = F.count(F.when(real, F.col(m))).over(run)
-    u = u.withColumns(p1)
-
-    def window_mean(s_col: str, c_col: str, n: int, lagged: bool) -> Column:
-        # sum and count over rows (p-n, p-1] when lagged, else (p-n+1, p]
-        hi_s = F.lag(s_col, 1).over(w) if lagged else F.col(s_col)
-        hi_c = F.lag(c_col, 1).over(w) if lagged else F.col(c_col)
-        off = n + 1 if lagged else n
-        lo_s = F.coalesce(F.lag(s_col, off).over(w), F.lit(0))
-        lo_c = F.coalesce(F.lag(c_col, off).over(w), F.lit(0))
-        cnt = hi_c - lo_c
-        return F.when(cnt == n, (hi_s - lo_s) / F.lit(float(n)))
+    df = team_games
+    if whole_group:
+        days = _season_days(df, key, season, date, gid)
+        counts = days.groupBy(key, date).agg(F.sum("_n").alias("_n"))
+    else:
+        counts = df.groupBy(key, date).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = day_buckets(counts, [key], date, max(n_lb, n_sh), cfg.bucket_rows)
+    if whole_group:
+        # the whole history of a participant: rows of its last day and of all before
+        total = F.max(F.col("_before") + F.col("_n")).over(Window.partitionBy(key))
+        info = _match(days, buckets.withColumn("_team_n", total).withColumnRenamed("_n", "_day_n"), [key, date])
+        u = to_buckets(_match(df, info, [key, season, date]))
+    else:
+        u = to_buckets(_match(df, buckets, [key, date]))
 
+    w = Window.partitionBy(key, "_w").orderBy(date, gid)
+    u = u.withColumn("_lag_win", F.lag("win_numeric").over(w))
+    for side in ("home", "away"):
+        u = u.withColumn(f"_v_{side}", F.when(F.col("venue") == F.lit(side), F.col("_lag_win")))
     cols: dict[str, Column] = {}
     for m, pattern in cfg.rolling_measures:
-        cols[pattern.format(n=n_lb)] = window_mean(f"_S_{m}", f"_C_{m}", n_lb, True)
+        cols[pattern.format(n=n_lb)] = lagged_mean(m, n_lb, w)
     for m, pattern in cfg.short_measures:
-        cols[pattern.format(n=n_sh)] = window_mean(f"_S_{m}", f"_C_{m}", n_sh, True)
+        cols[pattern.format(n=n_sh)] = lagged_mean(m, n_sh, w)
+    frame = w.rowsBetween(-(n_lb - 1), 0)
     for side in ("home", "away"):
-        cols[f"{side}_win_pct_last_{n_lb}"] = window_mean(f"_S_v{side}", f"_C_v{side}", n_lb, False)
-    prev_date = F.lag(date).over(w)
-    cols["rest_days"] = F.coalesce(F.datediff(F.col(date), prev_date), F.lit(cfg.rest_default))
-    cols["rest_days_in_season"] = F.coalesce(
-        F.when(F.lag("_season0").over(w) == F.col(season), F.datediff(F.col(date), prev_date)),
-        F.lit(cfg.rest_default))
-    cols["_loc_le"] = F.sum(one).over(
-        Window.partitionBy(*part).orderBy(date).rangeBetween(UNB, 0))
-    cols["_same"] = F.sum(one).over(Window.partitionBy(*part, date))
-    for m, _ in SEASON_MEASURES:
-        cur = F.when(real, F.col(m))
-        cols[f"_run_s_{m}"] = F.coalesce(F.col(f"_RS_{m}"), F.lit(0)) - F.coalesce(cur, F.lit(0))
-        cols[f"_run_c_{m}"] = F.col(f"_RC_{m}") - F.when(cur.isNotNull(), 1).otherwise(0)
-    if not whole_group:
-        cols = {k: v for k, v in cols.items() if not k.startswith("_")}
-        u = u.withColumns(cols).where(real)
-        return u.drop(*[c for c in u.columns if c.startswith("_")])
-    u = u.withColumns(cols).where(real)
-
-    bs = _bucket_stats(df, tails, key, season)
-    out = u.join(bs, part, "inner")
-    fin = {
-        "games_played": F.col("_team_n") - 1,
-        "games_played_asof": F.col("_team_off_n") + F.col("_loc_rn") - 1,
-        "game_number_in_season": (F.col("_off_n") + F.col("_loc_le") - F.col("_same")
-                                  + (F.col("_same") + 1) / 2.0),
-    }
-    for m, name in SEASON_MEASURES:
-        last = F.col(f"_season_last.{m}")
-        fin[name] = _safe_div(
-            F.col(f"_tot_s_{m}") - F.coalesce(last, F.lit(0)),
-            F.col(f"_tot_c_{m}") - F.when(last.isNotNull(), 1).otherwise(0))
-        fin[f"{name}_asof"] = _safe_div(
-            F.col(f"_off_s_{m}") + F.col(f"_run_s_{m}"),
-            F.col(f"_off_c_{m}") + F.col(f"_run_c_{m}"))
-    out = out.withColumns(fin)
+        v = f"_v_{side}"
+        cols[f"{side}_win_pct_last_{n_lb}"] = F.when(F.count(v).over(frame) == n_lb, F.avg(v).over(frame))
+    prev_date, prev_season = F.lag(date).over(w), F.lag(season).over(w)
+    gap = F.datediff(F.col(date), prev_date)
+    cols["rest_days"] = F.coalesce(gap, F.lit(cfg.rest_default))
+    cols["rest_days_in_season"] = F.coalesce(F.when(prev_season == F.col(season), gap), F.lit(cfg.rest_default))
+    if whole_group:
+        cols["_rank"] = F.sum((~F.col("_carry")).cast("int")).over(w.rowsBetween(UNB, 0))
+        today = Window.partitionBy(key, "_w", season, date).orderBy(gid).rowsBetween(UNB, -1)
+        for m, _ in SEASON_MEASURES:
+            cols[f"_run_s_{m}"] = F.coalesce(F.sum(m).over(today), F.lit(0))
+            cols[f"_run_c_{m}"] = F.count(m).over(today)
+    out = u.withColumns(cols).where(~F.col("_carry"))
+    if whole_group:
+        fin = {
+            "games_played": F.col("_team_n") - 1,
+            "games_played_asof": F.col("_start") + F.col("_rank") - 1,
+            "game_number_in_season": F.col("_off_n") + (F.col("_n") + 1) / 2.0,
+        }
+        for m, name in SEASON_MEASURES:
+            last = F.col(f"_season_last.{m}")
+            fin[name] = _safe_div(
+                F.col(f"_tot_s_{m}") - F.coalesce(last, F.lit(0)),
+                F.col(f"_tot_c_{m}") - F.when(last.isNotNull(), 1).otherwise(0))
+            fin[f"{name}_asof"] = _safe_div(
+                F.col(f"_off_s_{m}") + F.col(f"_run_s_{m}"),
+                F.col(f"_off_c_{m}") + F.col(f"_run_c_{m}"))
+        out = out.withColumns(fin)
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def venue_form(team_games: DataFrame, n: int = 10, key: str = "team_name",
-               date: str = "game_date", gid: str = "game_id", split_unit: str = "month",
+               date: str = "game_date", gid: str = "game_id", bucket_rows: int = FeatureConfig.bucket_rows,
                measure: str = "win_numeric") -> DataFrame:
     """Win rate over the previous ``n`` games at the same venue: the useful
     form of the home/away split, partitioned by (participant, venue)."""
-    order = [date, gid]
-    df = team_games.withColumn("_bkt", F.trunc(date, split_unit))
-    u = with_carry(df, [key, "venue"], order, ["_bkt"], n)
-    w = Window.partitionBy(key, "venue", "_bkt").orderBy(*order)
-    return (u.withColumn("venue_win_pct_last_n", lagged_mean(measure, n, w))
-             .where(~F.col("_carry")).drop("_carry", "_bkt"))
+    keys = [key, "venue"]
+    counts = team_games.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_n"))
+    u = to_buckets(_match(team_games, day_buckets(counts, keys, date, n, bucket_rows), [*keys, date]))
+    w = Window.partitionBy(*keys, "_w").orderBy(date, gid)
+    out = u.withColumn("venue_win_pct_last_n", lagged_mean(measure, n, w)).where(~F.col("_carry"))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 FINAL_COLUMNS = [
@@ -239,8 +190,8 @@ FINAL_COLUMNS = [
 ]
 
 
-def final_features(features: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """History filter + model column list.
+def final_features(features: DataFrame, cfg: FeatureConfig = FeatureConfig(), keep=()) -> DataFrame:
+    """History filter + model column list (P11, P12); ``keep`` names further columns to carry.
 
     As-run (``cfg.as_of=False``): ``games_played`` is a per-participant
     constant, so whole participants with too few games drop out and the season
@@ -254,4 +205,4 @@ def final_features(features: DataFrame, cfg: FeatureConfig = FeatureConfig()) ->
         gp = F.col("games_played")
     kept = features.where(gp >= cfg.min_games).withColumn("target_win", F.col("win"))
     wanted = [c.format(n=cfg.lookback, s=cfg.short) for c in FINAL_COLUMNS]
-    return kept.select(*[c for c in wanted if c in kept.columns])
+    return kept.select(*[c for c in [*wanted, *keep] if c in kept.columns])

@@ -16,11 +16,11 @@ from lineup.constants import TEAM_ABBREVIATIONS
 N_TEAMS = len(TEAM_ABBREVIATIONS)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    """A driver table; spread over the parallelism when the scan has fewer splits."""
-    from lineup.sources.files import spread
+def read(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+    """A driver table.  ``spread_rows`` deals the rows out once over the session's shuffle
+    partitions, for a scan that heavy work on each row follows."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if spread_rows else df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread_rows else df
 
 
 def _pick(values, index_sql: str, dialect: str) -> str:
@@ -139,10 +139,15 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions beside the actual winners, from one scan (``prediction_outcomes``
+    has the join of two tables)."""
     from lineup.operators.markets import pick_winner
-    pred = pick_winner(predictions(spark, sf_dir))
-    res = results(spark, sf_dir).withColumnRenamed("winner", "actual_winner")
-    return pred.join(res, "game_id", "left").selectExpr(*PREDICTION_LOG_EXPRS)
+    measures = dict(GAME_MEASURES)
+    both = read(spark, sf_dir, "orders").selectExpr(
+        *predictions_exprs("spark"), f"{measures['pts_home']} as pts_home", f"{measures['pts_away']} as pts_away")
+    both = both.selectExpr("*", "case when pts_home > pts_away then home_team "
+                           "when pts_away > pts_home then away_team end as actual_winner")
+    return pick_winner(both).selectExpr(*PREDICTION_LOG_EXPRS)
 
 
 # ---- DuckDB side: the same derivations as CTE text -------------------------
@@ -177,14 +182,14 @@ BOOKS = ["draftkings", "fanduel", "betmgm"]
 G = "o_orderkey"
 
 
-def home_price_sql(k: int) -> str:
-    return (f"case when ({G} + {k}) % 2 = 0 then -(100 + ({G} * 7 + {13 * k}) % 200) "
-            f"else 100 + ({G} * 11 + {17 * k}) % 200 end")
+def home_price_sql(k: int, move: int = 0) -> str:
+    return (f"case when ({G} + {k}) % 2 = 0 then -(100 + ({G} * 7 + {13 * k + move}) % 200) "
+            f"else 100 + ({G} * 11 + {17 * k + move}) % 200 end")
 
 
-def away_price_sql(k: int) -> str:
-    return (f"case when ({G} + {k}) % 2 = 1 then -(100 + ({G} * 3 + {19 * k}) % 200) "
-            f"else 100 + ({G} * 5 + {23 * k}) % 200 end")
+def away_price_sql(k: int, move: int = 0) -> str:
+    return (f"case when ({G} + {k}) % 2 = 1 then -(100 + ({G} * 3 + {19 * k + move}) % 200) "
+            f"else 100 + ({G} * 5 + {23 * k + move}) % 200 end")
 
 
 # Defects, by game id g and book number k (1..3); each is skipped on its own.
@@ -197,11 +202,13 @@ DEFECT_OUTCOMES_OBJECT = (2, f"{G} % 19 = 0")  # outcomes is an object
 DEFECT_PRICE_TEXT = (1, f"{G} % 23 = 0")      # home price is text
 DEFECT_PRICE_NULL = (3, f"{G} % 29 = 0")      # home price is null
 DEFECT_DUPLICATE = (1, f"{G} % 31 = 0")       # home outcome repeated, +5 (last wins)
+DEFECT_ONE_SIDED = (3, f"{G} % 41 = 0")       # the book quotes the home side only
+DEFECT_NO_OUTCOMES = (2, f"{G} % 43 = 0")     # outcomes is an empty list
 DEFECT_BAD_TIME = f"{G} % 37 = 0"             # commence_time is not a time
 
 
-def _book_json(k: int, home: str, away: str) -> str:
-    hp = home_price_sql(k)
+def _book_json(k: int, home: str, away: str, move: int = 0) -> str:
+    hp = home_price_sql(k, move)
     hp_json = f"cast({hp} as string)"
     if k == DEFECT_PRICE_TEXT[0]:
         hp_json = f"case when {DEFECT_PRICE_TEXT[1]} then '\"even\"' else {hp_json} end"
@@ -211,8 +218,12 @@ def _book_json(k: int, home: str, away: str) -> str:
     if k == DEFECT_DUPLICATE[0]:
         dup = (f"case when {DEFECT_DUPLICATE[1]} then concat(',{{\"name\":\"', {home}, "
                f"'\",\"price\":', cast({hp} + 5 as string), '}}') else '' end")
-    outcomes = (f"concat('[{{\"name\":\"', {home}, '\",\"price\":', {hp_json}, '}},{{\"name\":\"', {away}, "
-                f"'\",\"price\":', cast({away_price_sql(k)} as string), '}}', {dup}, ']')")
+    other = (f"concat(',{{\"name\":\"', {away}, '\",\"price\":', cast({away_price_sql(k, move)} as string), '}}')")
+    if k == DEFECT_ONE_SIDED[0]:
+        other = f"case when {DEFECT_ONE_SIDED[1]} then '' else {other} end"
+    outcomes = f"concat('[{{\"name\":\"', {home}, '\",\"price\":', {hp_json}, '}}', {other}, {dup}, ']')"
+    if k == DEFECT_NO_OUTCOMES[0]:
+        outcomes = f"case when {DEFECT_NO_OUTCOMES[1]} then '[]' else {outcomes} end"
     if k == DEFECT_OUTCOMES_OBJECT[0]:
         outcomes = f"case when {DEFECT_OUTCOMES_OBJECT[1]} then '{{\"name\":\"x\"}}' else {outcomes} end"
     market_key = "'h2h'"
@@ -231,32 +242,41 @@ def _book_json(k: int, home: str, away: str) -> str:
 COMMENCE_TS = f"timestampadd(HOUR, 16 + {G} % 12, cast(cast(o_orderdate as date) as timestamp))"
 
 
-def odds_doc_sql() -> str:
+#: In later snapshots of the feed these games start a day later.
+MOVED_START = f"{G} % 9 = 0"
+
+
+def odds_doc_sql(move: int = 0) -> str:
+    """JSON text of a game's feed document; ``move`` shifts all prices and, if not 0, some starts."""
     home = team_name_sql(HOME_ID, "spark")
     away = team_name_sql(AWAY_ID, "spark")
+    start = f"case when {MOVED_START} then {COMMENCE_TS} + interval 1 day else {COMMENCE_TS} end" if move else COMMENCE_TS
     ct = (f"case when {DEFECT_BAD_TIME} then 'not-a-date' else "
-          f"date_format({COMMENCE_TS}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end")
+          f"date_format({start}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end")
     away_field = f"case when {DEFECT_NO_AWAY} then '' else concat('\"away_team\":\"', {away}, '\",') end"
-    books = ", ',', ".join(_book_json(k, home, away) for k in (1, 2, 3))
+    books = ", ',', ".join(_book_json(k, home, away, move) for k in (1, 2, 3))
     game = (f"concat('{{\"id\":\"', cast({G} as string), '\",\"commence_time\":\"', {ct}, "
             f"'\",\"home_team\":\"', {home}, '\",', {away_field}, '\"bookmakers\":[', {books}, ']}}')")
     return f"concat('[', {game}, case when {DEFECT_JUNK_ELEMENT} then ',17' else '' end, ']')"
 
 
-def odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def odds_documents(spark: SparkSession, sf_dir: str, move: int = 0) -> DataFrame:
     """One odds feed document per game (JSON text) built from ``orders``."""
-    return read(spark, sf_dir, "orders").selectExpr(f"{G} as doc_id", f"{odds_doc_sql()} as doc")
+    return read(spark, sf_dir, "orders", spread_rows=True).selectExpr(f"{G} as doc_id", f"{odds_doc_sql(move)} as doc")
 
 
-def cte_odds_rows() -> str:
+def cte_odds_rows(move: int = 0) -> str:
     """DuckDB: the (game, book) rows the flatten must produce, from the same rules."""
     conds = []
     for (k, c) in (DEFECT_BOOK_NOT_OBJECT, DEFECT_BOOK_NO_KEY, DEFECT_NO_H2H, DEFECT_OUTCOMES_OBJECT):
         conds.append(f"not (k = {k} and {c})")
-    hp = "case " + " ".join(f"when k = {k} then {home_price_sql(k)}" for k in (1, 2, 3)) + " end"
-    ap = "case " + " ".join(f"when k = {k} then {away_price_sql(k)}" for k in (1, 2, 3)) + " end"
+    hp = "case " + " ".join(f"when k = {k} then {home_price_sql(k, move)}" for k in (1, 2, 3)) + " end"
+    ap = "case " + " ".join(f"when k = {k} then {away_price_sql(k, move)}" for k in (1, 2, 3)) + " end"
+    empty = f"k = {DEFECT_NO_OUTCOMES[0]} and {DEFECT_NO_OUTCOMES[1]}"
+    ap = f"case when {empty} or k = {DEFECT_ONE_SIDED[0]} and {DEFECT_ONE_SIDED[1]} then null else {ap} end"
+    days = f"case when {MOVED_START} then 1 else 0 end" if move else "0"
     # the appended duplicate is the last outcome, so it wins over a text price
-    home_odds = (f"case when k = {DEFECT_DUPLICATE[0]} and {DEFECT_DUPLICATE[1]} then {hp} + 5 "
+    home_odds = (f"case when {empty} then null when k = {DEFECT_DUPLICATE[0]} and {DEFECT_DUPLICATE[1]} then {hp} + 5 "
                  f"when k = {DEFECT_PRICE_TEXT[0]} and {DEFECT_PRICE_TEXT[1]} then null "
                  f"when k = {DEFECT_PRICE_NULL[0]} and {DEFECT_PRICE_NULL[1]} then null else {hp} end")
     books = ", ".join(f"'{b}'" for b in BOOKS)
@@ -265,7 +285,7 @@ def cte_odds_rows() -> str:
         + " and ".join(conds) + "), "
         "odds_rows as (select cast(" + G + " as varchar) as game_id, "
         "case when " + DEFECT_BAD_TIME + " then null else cast(cast(o_orderdate as date) as timestamp) "
-        "+ to_hours(cast(16 + " + G + " % 12 as integer)) end as commence_time, "
+        "+ to_hours(cast(16 + " + G + " % 12 + 24 * (" + days + ") as integer)) end as commence_time, "
         + team_name_sql(HOME_ID, "duckdb") + " as home_team, " + team_name_sql(AWAY_ID, "duckdb") +
         " as away_team, ([" + books + "])[k] as bookmaker, cast(" + home_odds + " as double) as home_odds, "
         "cast(" + ap + " as double) as away_odds from ob)"
@@ -294,5 +314,5 @@ def scoreboard_doc_sql() -> str:
 
 
 def scoreboard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(
+    return read(spark, sf_dir, "orders", spread_rows=True).selectExpr(
         f"{G} as doc_id", f"{G} % 2 = 0 as shape_a", f"{scoreboard_doc_sql()} as doc")

@@ -92,11 +92,29 @@ def team_rank_classes(spark, sf_dir):
     return A.team_rank_classes(ts(spark, sf_dir))
 
 
-@register("team_outliers", TS_SQL + "select * from ts where season_point_diff > 8 or season_point_diff < -8 "
+MONTH_SQL = TS_SQL.replace("ts0 as (select team_name,", "ts0 as (select team_name, cast(date_trunc('month', "
+                           "game_date) as date) as month,").replace("group by team_name)", "group by all)")
+
+
+@register("team_outliers", MONTH_SQL + "select * from ts where season_point_diff > 8 or season_point_diff < -8 "
           "or win_rate > 0.7 or win_rate < 0.3", doubles=TS_DOUBLES)
 def team_outliers(spark, sf_dir):
-    """P20: participants with extreme difference or win rate."""
-    return A.team_outliers(ts(spark, sf_dir))
+    """P20: participants with extreme difference or win rate, by month (over whole seasons
+    the derived games have none)."""
+    monthly = ff(spark, sf_dir).withColumn("month", F.trunc("game_date", "month"))
+    return A.team_outliers(A.team_stats(monthly, ("team_name", "month")))
+
+
+RANK_LISTS = [("win_rate", "desc"), ("season_avg_pts", "desc"), ("season_avg_pts_allowed", "asc"),
+              ("season_point_diff", "desc")]
+
+
+@register("team_rankings", TS_SQL + "select * from (" + " union all ".join(
+    f"select team_name, '{c}' as list, {c} as value, cast(row_number() over (order by {c} {o}, team_name) as int) "
+    f"as rank from ts" for c, o in RANK_LISTS) + ") where rank <= 10", doubles=["value"])
+def team_rankings(spark, sf_dir):
+    """Ten best by win rate, points, fewest points allowed and difference (limits are the feature)."""
+    return A.team_rankings(ts(spark, sf_dir), 10)
 
 
 @register("top_teams", TS_SQL + "select * from ts order by win_rate desc, team_name limit 10", doubles=TS_DOUBLES)
@@ -145,6 +163,36 @@ def target_correlation(spark, sf_dir):
     return A.target_correlation(ff(spark, sf_dir), exclude=("game_id",))
 
 
+@register("correlation_ranked", CORR_SQL + "select *, cast(row_number() over (order by abs(correlation) desc nulls "
+          "last, feature) as int) as rank, case when row_number() over (order by abs(correlation) desc nulls last, "
+          "feature) <= 5 then 'top' when row_number() over (order by abs(correlation) desc nulls last, feature) > "
+          "count(*) over () - 3 then 'bottom' else 'middle' end as part from corr_t", doubles=["correlation"])
+def correlation_ranked(spark, sf_dir):
+    """T4: features by falling |correlation|; top 5 and bottom 3 of the 12 here (15 and 10 by default)."""
+    return A.ranked_correlation(A.target_correlation(ff(spark, sf_dir), exclude=("game_id",)), 5, 3)
+
+
+MATRIX_COLS = sorted([*CORR_COLS, "target_win"])
+MATRIX_SQL = (FF + ", m as (select unnest([" + ", ".join(
+    f"{{'feature_a': '{a}', 'feature_b': '{b}', 'correlation': corr(cast({a} as double), cast({b} as double))}}"
+    for a in MATRIX_COLS for b in MATRIX_COLS) + "], recursive := true) from ff) ")
+
+
+@register("correlation_matrix", MATRIX_SQL + "select * from m", doubles=["correlation"])
+def correlation_matrix(spark, sf_dir):
+    """The full correlation matrix with the target, one pass."""
+    return A.correlation_matrix(ff(spark, sf_dir))
+
+
+@register("correlation_matrix_top", MATRIX_SQL + ", t as (select feature_a as f from m where feature_b = "
+          "'target_win' and feature_a <> 'target_win' order by abs(correlation) desc, feature_a limit 10), n as "
+          "(select f from t union all select 'target_win') select m.* from m where feature_a in (select f from n) "
+          "and feature_b in (select f from n)", doubles=["correlation"])
+def correlation_matrix_top(spark, sf_dir):
+    """The matrix of the ten features most correlated with the target, and the target."""
+    return A.top_correlation_matrix(A.correlation_matrix(ff(spark, sf_dir)))
+
+
 @register("correlation_summary", CORR_SQL + "select count(*) filter (where correlation > 0.1) as n_positive, "
           "count(*) filter (where correlation < -0.1) as n_negative, arg_max(feature, correlation) as "
           "strongest_positive, arg_min(feature, correlation) as strongest_negative, max(correlation) as "

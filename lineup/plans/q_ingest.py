@@ -3,6 +3,8 @@ J1-J6, X2, X3, X7-X13, A26, A27)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lineup.functions import calendar as C
@@ -15,9 +17,9 @@ from lineup.operators.staking import daily_totals
 from lineup.plans import derive
 from lineup.plans.catalog import register
 from lineup.plans.oracle import cte_team_games
+from lineup.plans.q_features import FEAT_SQL, features_final
 from lineup.session import shared_dir
 from lineup.sources import files as FS
-from lineup.sources.html_table import extract_tables
 from lineup.sources.odds_json import flatten_odds
 from lineup.sources.schedule_json import flatten_events, flatten_scoreboard
 
@@ -126,8 +128,7 @@ DATE_TEXT = ("case when o_orderkey % 43 = 0 then 'bad-date' else cast(cast(o_ord
 
 
 def _year_src(spark, sf_dir):
-    # kept in file order: the automatic filter inspects the first values
-    return derive.read(spark, sf_dir, "orders", spread_rows=False).selectExpr(
+    return derive.read(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as game_id", f"{SEASON_TEXT} as season", f"{DATE_TEXT} as game_date_text",
         "cast(o_orderdate as date) as game_date", "cast(year(o_orderdate) as int) as season_year")
 
@@ -161,10 +162,9 @@ def year_filter_date(spark, sf_dir):
               .select("game_id", "game_date", "game_date_text")
 
 
-# The first season value is 'n/a' (no '-') and no sampled value parses as a
-# date, so the season column is not usable and the date text column is used.
+# The first date-like column, ``season``, mostly holds season text and is used.
 @register("year_filter_auto", YEAR_SRC_SQL + "select game_id, season, game_date_text from ys where "
-          "year(try_cast(game_date_text as date)) between 1996 and 1998")
+          "try_cast(split_part(season, '-', 1) as int) between 1996 and 1998")
 def year_filter_auto(spark, sf_dir):
     """P5 + P6 + P10: first date-like column (by name, then kind) whose filter is non-empty."""
     src = _year_src(spark, sf_dir).select("game_id", "season", "game_date_text")
@@ -219,12 +219,16 @@ def multi_file_union(spark, sf_dir):
     return back.withColumn("season_id", season).select("team_name", "season_id", "games", "wins", "points")
 
 
-@register("fresh_files", "with " + derive.cte_bets() + " select bet_id, bet_date from bets")
+@register("fresh_files", "with " + derive.cte_bets() + " select 'now' as seen_from, bet_id, bet_date from bets")
 def fresh_files(spark, sf_dir):
-    """Only rows of files modified within the last 7 days (all, just written)."""
+    """Only rows of files modified within the last 7 days: all of them seen from
+    now, none seen from a month ahead."""
     path = shared_dir(spark, "bets_parquet")
     FS.write_parquet(derive.bets(spark, sf_dir).select("bet_id", "bet_date"), path)
-    return FS.fresh_only(spark.read.parquet(path), 7).select("bet_id", "bet_date")
+    written = spark.read.parquet(path)
+    ahead = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=30)
+    seen = FS.fresh_only(written, 7).select(F.lit("now").alias("seen_from"), "bet_id", "bet_date")
+    return seen.unionByName(FS.fresh_only(written, 7, ahead).select(F.lit("ahead").alias("seen_from"), "bet_id", "bet_date"))
 
 
 @register("dataset_metadata", "with " + derive.cte_games() + " select count(*) as rows, cast(min(game_date) as "
@@ -235,17 +239,13 @@ def dataset_metadata(spark, sf_dir):
     return m.select("rows", "min_game_date", "max_game_date", "n_columns")
 
 
-@register("html_tables")
-def html_tables(spark, sf_dir):
-    """Cells of every HTML table in ``pages`` (the driver pages hold none; see tests for a fixture)."""
-    return extract_tables(derive.read(spark, sf_dir, "pages"))
-
-
 def _quality_sql() -> str:
     from lineup.constants import TEAM_ABBREVIATIONS
     teams = ", ".join(f"('{a}')" for _, a in TEAM_ABBREVIATIONS)
     return (
-        "with " + derive.cte_games() + ", " + derive.cte_predictions() + ", teams(team) as (values " + teams + "), "
+        FEAT_SQL + ", " + derive.cte_predictions() + ", feats as (select count(*) as n, max(game_date) as hi "
+        "from feat where games_played >= 3), odd as (select count(distinct team_abbreviation_home) as n from games "
+        "where game_id % 101 = 0), teams(team) as (values " + teams + "), "
         "g as (select count(*) as n, min(game_date) as lo, max(game_date) as hi from games), "
         "dup as (select count(*) as n from (select game_id from games group by 1 having count(*) > 1)), "
         "seen as (select distinct unnest([team_abbreviation_home, team_abbreviation_away]) as team from games), "
@@ -256,14 +256,18 @@ def _quality_sql() -> str:
         "end as status from g union all select 'games_date_range', cast(lo as varchar) || ' .. ' || cast(hi as "
         "varchar), 'ok' from g union all select 'duplicate_games', cast(n as varchar), case when n = 0 then 'ok' "
         "else 'warn' end from dup union all select 'teams_missing', cast(n as varchar), case when n = 0 then 'ok' "
-        "else 'warn' end from miss union all select 'feature_records', 'missing', 'missing' union all select "
-        "'latest_date', 'missing', 'missing' union all select 'odds_out_of_range', cast(n as varchar), case when "
+        "else 'warn' end from miss union all select 'team_names_inconsistent', "
+        "cast(n as varchar), case when n = 0 then 'ok' else 'warn' end from odd union all select 'feature_records', "
+        "cast(n as varchar), 'ok' from feats union all select 'latest_date', cast(hi as varchar), 'ok' from feats union all select 'odds_out_of_range', cast(n as varchar), case when "
         "n = 0 then 'ok' else 'warn' end from bad union all select 'odds_missing', cast(m as varchar), case when "
         "m = 0 then 'ok' else 'warn' end from bad")
 
 
 @register("data_quality", _quality_sql())
 def data_quality(spark, sf_dir):
-    """A26 + A27: counts, date range, duplicates, missing participants, price range and gaps."""
+    """A26 + A27: counts, date range, duplicates, missing participants, names that do not
+    fit their abbreviation (some are planted), features, price range and gaps."""
     teams = M.team_dimension(spark).select(F.col("team_abbr").alias("team"))
-    return Q.data_quality(derive.games(spark, sf_dir), None, derive.predictions(spark, sf_dir), teams)
+    games = derive.games(spark, sf_dir).withColumn("team_name_home", F.when(
+        F.col("game_id") % 101 == 0, F.upper("team_name_home")).otherwise(F.col("team_name_home")))
+    return Q.data_quality(games, features_final(spark, sf_dir), derive.predictions(spark, sf_dir), teams)

@@ -1,4 +1,4 @@
-"""Queries over predictions and prices (F1-F7, J-1, J-2, J-3, J-4, A23, M12, M13)."""
+"""Queries over predictions and prices (F1-F7, J-1, J-2, J-3, J-4, A23)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineup.constants import TEAM_ABBREVIATIONS
 from lineup.functions import odds as O
+from lineup.functions.calendar import local_game_date
 from lineup.operators import games as G
 from lineup.operators import markets as M
 from lineup.plans import derive
@@ -88,17 +89,23 @@ def _abbr_sql(col: str) -> str:
     return f"coalesce(case {col} {cases} end, upper(substr({col}, 1, 3)))"
 
 
+def _decimal_sql(col: str) -> str:
+    return f"case when {col} > 0 then 1 + {col} / 100e0 when {col} < 0 then 1 + 100e0 / -{col} end"
+
+
+# Prices are averaged as decimal ones; a game belongs to its local day (UTC less five hours).
 CTE_CONSENSUS = (
-    derive.cte_odds_rows() + ", cons as (select cast(commence_time as date) as game_date, "
-    + _abbr_sql("home_team") + " as home_team, " + _abbr_sql("away_team") + " as away_team, "
-    "avg(home_odds) as home_odds, avg(away_odds) as away_odds, count(*) as n_books from odds_rows "
-    "where commence_time is not null group by all)"
+    derive.cte_odds_rows() + ", cons as (select cast(commence_time - interval 5 hour as date) as game_date, "
+    + _abbr_sql("home_team") + " as home_team, " + _abbr_sql("away_team") + " as away_team, avg("
+    + _decimal_sql("home_odds") + ") as home_odds, avg(" + _decimal_sql("away_odds") + ") as away_odds, "
+    "count(*) as n_books from odds_rows where commence_time is not null group by all)"
 )
 
 
 def consensus(spark, sf_dir):
     rows = flatten_odds(derive.odds_documents(spark, sf_dir))
-    rows = rows.withColumn("game_date", F.to_date("commence_time")).where(F.col("game_date").isNotNull())
+    rows = M.decimal_quotes(rows).withColumn("game_date", local_game_date("commence_time"))
+    rows = rows.where(F.col("game_date").isNotNull())
     rows = M.normalize_team(rows, "home_team", "_h")
     rows = M.normalize_team(rows, "away_team", "_a")
     rows = rows.drop("home_team", "away_team").withColumnsRenamed({"_h": "home_team", "_a": "away_team"})
@@ -108,7 +115,7 @@ def consensus(spark, sf_dir):
 @register("odds_consensus", "with " + CTE_CONSENSUS + " select * from cons",
           doubles=["home_odds", "away_odds"])
 def odds_consensus(spark, sf_dir):
-    """A23 + J4 + J-2 + X3: mean price per side over bookmakers for each dated matchup."""
+    """A23 + J4 + J-2 + X7: mean decimal price per side over bookmakers for each matchup of a local day."""
     return consensus(spark, sf_dir)
 
 
@@ -173,27 +180,3 @@ def team_profile_features(spark, sf_dir):
     tg = G.team_games(derive.games(spark, sf_dir)).select(
         "game_id", F.col("team_abbrev").alias("team"), "is_home")
     return M.team_profile_features(tg).select(*PROFILE_COLS)
-
-
-@register("odds_impute_cycle",
-          "with " + CTE_EDGES + ", r as (select game_id, game_date, home_odds, away_odds, row_number() over "
-          "(partition by game_date order by game_id) - 1 as i from preds) select game_id, game_date, case when "
-          "home_odds is null then 1.95e0 + (i % 3) * 0.1e0 - 0.1e0 else home_odds end as home_odds, case when "
-          "home_odds is null then 1.95e0 + (i % 3) * 0.1e0 + 0.1e0 else away_odds end as away_odds from r",
-          doubles=["home_odds", "away_odds"])
-def odds_impute_cycle(spark, sf_dir):
-    """M12 + W10: cyclic deterministic prices where the home price is missing."""
-    p = derive.predictions(spark, sf_dir).select("game_id", "game_date", "home_odds", "away_odds")
-    return M.impute_odds_cycle(p).select("game_id", "game_date", "home_odds", "away_odds")
-
-
-@register("odds_impute_linear",
-          "with " + derive.cte_predictions() + ", r as (select game_id, game_date, row_number() over (partition "
-          "by game_date order by game_id) - 1 as i, count(*) over (partition by game_date) as n from preds) "
-          "select game_id, game_date, 1.8e0 + 0.4e0 * i / greatest(n - 1, 1) - 0.1e0 as home_odds, "
-          "1.8e0 + 0.4e0 * i / greatest(n - 1, 1) + 0.1e0 as away_odds from r",
-          doubles=["home_odds", "away_odds"])
-def odds_impute_linear(spark, sf_dir):
-    """M13 + W10: evenly spaced prices over each day's games."""
-    p = derive.predictions(spark, sf_dir).select("game_id", "game_date")
-    return M.impute_odds_linear(p).select("game_id", "game_date", "home_odds", "away_odds")

@@ -1,4 +1,4 @@
-"""Queries over stakes and risk (F8-F11, F14, J-6, A21, A22, M10, M11, T2)."""
+"""Queries over stakes and risk."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lineup.config import StakeConfig
 from lineup.functions import odds as O
-from lineup.functions.odds import uniform_sql
 from lineup.operators import staking as ST
+from lineup.operators.performance import daily_pnl
+from lineup.plans import derive
 from lineup.plans.catalog import register
 from lineup.plans.q_markets import CTE_EDGES, edges
 
@@ -65,26 +66,19 @@ def bet_sizes(spark, sf_dir):
     return ST.rank_bets(bets(spark, sf_dir)).select(*BET_COLS)
 
 
-DRAWS = uniform_sql("select game_date, game_id, stake_amount, best_bet_prob, best_bet_odds, sim from bets, "
-                    "range(0, 1000) t(sim) where recommended_bet", "sim", "game_id", 42, "u")
-RISK_COLS = ["game_date", "mean_return", "std_return", "prob_profit", "percentile_5", "percentile_95",
-             "max_loss", "max_gain"]
+RISK_COLS = ["mean_return", "std_return", "prob_profit", "percentile_5", "percentile_95", "max_loss", "max_gain"]
 
 
 @register("risk_distribution",
-          "with " + CTE_BETS + ", d0 as (select game_date, sim, sum(floor(case when u < best_bet_prob then "
-          "stake_amount * (best_bet_odds - 1) else -stake_amount end * 100)) as total_cents from (" + DRAWS + ") "
-          "group by game_date, sim), d as (select *, total_cents / 100e0 as total_return from d0), s as (select "
-          "game_date, avg(total_cents) / 100e0 as mean_return, round(stddev_pop(total_cents) / 100e0, 2) as "
-          "std_return, avg(case when total_cents > 0 then 1e0 else 0e0 end) as prob_profit, "
-          "quantile_cont(total_return, 0.05) as percentile_5, quantile_cont(total_return, 0.95) as percentile_95, "
-          "min(total_return) as max_loss, max(total_return) as max_gain from d group by game_date), g as (select distinct game_date from bets) "
-          "select g.game_date, coalesce(mean_return, 0e0) as mean_return, coalesce(std_return, 0e0) as "
-          "std_return, coalesce(prob_profit, 0e0) as prob_profit, percentile_5, percentile_95, max_loss, "
-          "max_gain from g left join s using (game_date)", doubles=RISK_COLS[1:])
+          "with " + derive.cte_bets() + ", d as (select bet_date, sum(profit_loss) as total from bets group by 1) "
+          "select cast(isodow(bet_date) as int) as weekday, count(*) as n_days, avg(total) as mean_return, "
+          "stddev_pop(total) as std_return, avg(case when total > 0 then 1e0 else 0e0 end) as prob_profit, "
+          "quantile_cont(total, 0.05) as percentile_5, quantile_cont(total, 0.95) as percentile_95, "
+          "min(total) as max_loss, max(total) as max_gain from d group by 1", doubles=RISK_COLS)
 def risk_distribution(spark, sf_dir):
-    """M10 + J-6 + F14 + A22: Monte-Carlo (1000 runs, seed 42) of each day's recommended bets."""
-    return ST.risk_distribution(bets(spark, sf_dir), ("game_date",), "game_id").select(*RISK_COLS)
+    """Distribution of the days' real profit and loss, per weekday (1 = Monday)."""
+    days = daily_pnl(derive.bets(spark, sf_dir)).withColumn("weekday", (F.weekday("day") + 1).cast("int"))
+    return ST.return_distribution(days, "daily_pnl", ("weekday",))
 
 
 @register("risk_closed_form",
@@ -94,7 +88,7 @@ def risk_distribution(spark, sf_dir):
           "from bets where recommended_bet group by game_date",
           doubles=["mean_return_exact", "std_return_exact"])
 def risk_closed_form(spark, sf_dir):
-    """Exact mean and std of each day's total return (cross-check for the simulation)."""
+    """Exact mean and std of each day's total return."""
     return ST.risk_closed_form(bets(spark, sf_dir), ("game_date",))
 
 
@@ -108,9 +102,15 @@ def daily_bet_report(spark, sf_dir):
         "recommended_bets", F.col("recommended_bets").cast("bigint"))
 
 
-@register("daily_report")
+REPORT = ["game_date", "rank", "game_id", "home_team", "away_team", "best_bet_team", "best_bet_odds",
+          "best_bet_edge", "recommended_bet", "stake_amount", "expected_value"]
+REPORT_DOUBLES = ["best_bet_odds", "best_bet_edge", "stake_amount", "expected_value"]
+
+
+@register("daily_report",
+          "with " + CTE_BETS + " select " + ", ".join(c for c in REPORT if c != "rank") + ", cast(row_number() "
+          "over (partition by game_date order by expected_value desc, game_id) as int) as rank from bets",
+          doubles=REPORT_DOUBLES)
 def daily_report(spark, sf_dir):
-    """J7 + A21 + X13: per-day report with the top 10 recommended bets as JSON records."""
-    return ST.daily_report(bets(spark, sf_dir), BANKROLL, ("game_date",), 10).select(
-        "game_date", "bankroll", "total_games", "recommended_bets", "total_stake", "expected_value", "games",
-        "summary")
+    """Every game of every day as a report record."""
+    return ST.daily_report(bets(spark, sf_dir)).select(*REPORT)

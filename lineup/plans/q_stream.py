@@ -6,25 +6,26 @@ from pyspark.sql import functions as F
 
 from lineup.plans import derive
 from lineup.plans.catalog import register
+from lineup.plans.q_markets import _decimal_sql
 from lineup.session import shared_dir
 from lineup.streaming.odds_stream import consensus_from_quotes, run_quotes
 
+#: The snapshots of the fixture: time and price movement; the second also moves some starts.
+SNAPSHOTS = [("2024-01-01 12:00:00", 0), ("2024-01-01 12:10:00", 29)]
+
 
 @register("odds_stream_consensus",
-          "with " + derive.cte_odds_rows() + " select date_trunc('day', commence_time) as window_start, game_id, "
-          "avg(home_odds) as home_odds, avg(away_odds) as away_odds, count(*) as n_books from odds_rows where "
-          "commence_time is not null group by all", doubles=["home_odds", "away_odds"])
+          "with " + derive.cte_odds_rows(SNAPSHOTS[-1][1]) + " select game_id, max(commence_time) as commence_time, "
+          "avg(" + _decimal_sql("home_odds") + ") as home_odds, avg(" + _decimal_sql("away_odds") + ") as away_odds, "
+          "count(*) as n_books from odds_rows group by game_id", doubles=["home_odds", "away_odds"])
 def odds_stream_consensus(spark, sf_dir):
-    """Two snapshots of every feed document arrive as files; the stream keeps
-    the latest quote per (day, game, bookmaker) and the consensus is read from
-    its output.  The feed files are not in event-time order, so the allowed
-    lateness covers the whole history of the fixture."""
-    docs = derive.odds_documents(spark, sf_dir).select("doc")
+    """Two snapshots of every feed document arrive as files, the second with other
+    prices and some moved starts; the consensus read from the stream's output is that of the last."""
     src = shared_dir(spark, "odds_snapshots")
-    # both snapshots of each document in one write (the documents are built once)
-    snaps = docs.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("snapshot"), "doc")
-    snaps.write.mode("append").json(src)
+    for time, move in SNAPSHOTS:
+        docs = derive.odds_documents(spark, sf_dir, move)
+        docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src)
     sink, ck = shared_dir(spark, "odds_quotes"), shared_dir(spark, "odds_quotes_ck")
-    run_quotes(spark, src, sink, ck, window="1 day", lateness="36500 days", files_per_trigger=4)
+    run_quotes(spark, src, sink, ck, lateness="1 hour", files_per_trigger=64)
     out = consensus_from_quotes(spark.read.parquet(sink))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return out.withColumn("commence_time", F.col("commence_time").cast("timestamp_ntz"))

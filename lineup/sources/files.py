@@ -7,20 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Make sure per-row work after a scan runs in parallel.  A scan splits
-    Parquet by row group, so a small file written as one row group is one
-    task; in that case the rows are spread round-robin over the cluster's
-    parallelism.  A large input already has many splits and is returned
-    unchanged (no extra shuffle)."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target) if splits < target else df
-
-
 def read_csv(spark: SparkSession, path, schema: StructType | str, date_format: str = "yyyy-MM-dd",
              mode: str = "PERMISSIVE") -> DataFrame:
     """S1 + S5: CSV with an explicit schema (no inference pass over the data).
@@ -106,6 +92,12 @@ def dataset_metadata(df: DataFrame, date_cols=()) -> DataFrame:
     })
 
 
+def files_size(df: DataFrame) -> DataFrame:
+    """Number and total bytes of the files that a file-based DataFrame reads."""
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, num_partitions: int = 8,
               properties: dict | None = None) -> DataFrame:

@@ -21,7 +21,8 @@ def _get(v: str, path: str, typ: str) -> Column:
 def _price(outcomes: str, team: str) -> Column:
     # last outcome with the team's name wins (a dict built in order would keep the last)
     return F.expr(
-        f"element_at(transform(filter({outcomes}, o -> try_variant_get(o, '$.name', 'string') = {team}),"
+        # a side that the book does not quote is NULL
+        f"try_element_at(transform(filter({outcomes}, o -> try_variant_get(o, '$.name', 'string') = {team}),"
         f" o -> try_variant_get(o, '$.price', 'double')), -1)")
 
 
@@ -67,8 +68,9 @@ def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
     Skipped, each on its own: a game element that is not an object, a game
     without both team names, a bookmaker that is not an object or has no key,
     a bookmaker without an ``h2h`` market, ``outcomes`` that is not a list.
-    A price that is NULL, text or not positive gives a NULL probability; of
-    duplicate outcome names the last wins.  ``bookmakers`` keeps only the
+    A price that is NULL, text or not positive gives a NULL probability, a side
+    that is not quoted (or an empty list) a NULL price; of duplicate outcome names
+    the last wins.  ``bookmakers`` keeps only the
     listed keys (blank entries ignored); ``keep`` carries document columns.
     """
     v = parse_documents(docs, doc_col, strict)

@@ -19,13 +19,14 @@ def flatten_scoreboard(docs: DataFrame, doc_col: str = "doc", target_date=None,
                        fixed_date: bool = False) -> DataFrame:
     """Shape A: ``scoreboard.games[]``.  The game date is the local date of
     the UTC start (-5 h as the reference does; ``fixed_date`` uses the real
-    zone).  ``target_date`` keeps only that date; a missing arena is ''."""
+    zone).  ``target_date`` keeps only that date; a missing arena is ''; a start that is
+    not a time gives a NULL game date and keeps its row."""
     v = docs.select(F.try_parse_json(F.col(doc_col)).alias("_v"))
     g = v.select(F.explode(_get("_v", "$.scoreboard.games", "array<variant>")).alias("_g"))
     t = _get("_g", "$.gameTimeUTC")
     out = g.select(
         _get("_g", "$.gameId").alias("game_id"),
-        local_game_date(F.to_timestamp(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), fixed_date).alias("game_date"),
+        local_game_date(F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), fixed_date).alias("game_date"),
         _get("_g", "$.homeTeam.teamTricode").alias("home_team"),
         _get("_g", "$.awayTeam.teamTricode").alias("away_team"),
         t.alias("game_time"),

@@ -1,10 +1,14 @@
 """Odds snapshots as a stream.
 
-File source of feed snapshots -> the batch flatten (S6) -> per (event-time
-window, game, bookmaker) the latest quote, kept in watermarked state and
-written per micro-batch.  The consensus over bookmakers (A23) is computed
-from the written quotes, so a re-quoted bookmaker replaces its old price
-instead of being counted twice.
+File source of feed snapshots -> the batch flatten (S6) -> per (day of the
+snapshot, game, bookmaker) the latest quote, kept in watermarked state and
+written per micro-batch.  Event time is the time of the snapshot, when the
+prices were quoted, not the start of the game: a quote for a game next week does
+not make tonight's quotes late, and a moved start replaces the old one.  State of a
+day goes once the watermark has passed it.
+
+The consensus over bookmakers (A23) is computed from the written quotes: the
+latest version of a (game, bookmaker) replaces the earlier ones.
 """
 
 from __future__ import annotations
@@ -12,41 +16,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineup.operators.markets import decimal_quotes
 from lineup.sources.odds_json import flatten_odds
 
-SNAPSHOT_SCHEMA = "snapshot long, doc string"
+SNAPSHOT_SCHEMA = "snapshot_ts timestamp, doc string"
+QUOTE = ("snapshot_ts", "commence_time", "home_odds", "away_odds")
 
 
-def quotes_stream(spark: SparkSession, source: str, window: str = "1 day", lateness: str = "2 days",
+def quotes_stream(spark: SparkSession, source: str, lateness: str = "2 hours",
                   files_per_trigger: int = 4) -> DataFrame:
-    """Streaming DataFrame of the latest quote per (window, game, bookmaker)."""
+    """Streaming DataFrame of the latest quote per (snapshot day, game, bookmaker).
+    Snapshots older than the newest seen by more than ``lateness`` are late and dropped."""
     snaps = (spark.readStream.schema(SNAPSHOT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
              .json(source))
-    rows = flatten_odds(snaps, "doc", keep=("snapshot",)).where(F.col("commence_time").isNotNull())
-    return (rows.withWatermark("commence_time", lateness)
-            .groupBy(F.window("commence_time", window).alias("w"), "game_id", "bookmaker")
-            .agg(F.max_by(F.struct("home_odds", "away_odds"), "snapshot").alias("q"),
-                 F.max("snapshot").alias("snapshot"))
-            .select(F.col("w.start").alias("window_start"), "game_id", "bookmaker",
-                    F.col("q.home_odds").alias("home_odds"), F.col("q.away_odds").alias("away_odds"),
-                    "snapshot"))
+    rows = flatten_odds(snaps, "doc", keep=("snapshot_ts",)).withWatermark("snapshot_ts", lateness)
+    # the struct orders by snapshot time first; the other fields only break ties
+    return (rows.groupBy(F.window("snapshot_ts", "1 day").alias("w"), "game_id", "bookmaker")
+            .agg(F.max(F.struct(*QUOTE)).alias("q"))
+            .select("game_id", "bookmaker", *[F.col(f"q.{c}").alias(c) for c in QUOTE]))
 
 
 def run_quotes(spark: SparkSession, source: str, sink: str, checkpoint: str, **kw) -> None:
-    """Run the quote stream to completion (``availableNow``) in update mode;
-    each micro-batch appends its updated keys with the batch id."""
+    """Run the quote stream to completion (``availableNow``) in update mode; each
+    micro-batch writes its updated keys to a folder of its own, so a repeated batch
+    replaces its rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     q = (quotes_stream(spark, source, **kw).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def latest_quotes(quotes: DataFrame) -> DataFrame:
+    """One row per (game, bookmaker): the latest written version.  Writing this table anew
+    compacts a long-running sink."""
+    return (quotes.groupBy("game_id", "bookmaker").agg(F.max(F.struct(*QUOTE)).alias("q"))
+            .select("game_id", "bookmaker", *[F.col(f"q.{c}").alias(c) for c in QUOTE]))
+
+
 def consensus_from_quotes(quotes: DataFrame) -> DataFrame:
-    """Latest written version of every quote, then the mean price per game and window."""
-    key = ["window_start", "game_id", "bookmaker"]
-    latest = quotes.groupBy(*key).agg(F.max_by(F.struct("home_odds", "away_odds"), "batch_id").alias("q"))
-    return latest.groupBy("window_start", "game_id").agg(
-        F.avg("q.home_odds").alias("home_odds"), F.avg("q.away_odds").alias("away_odds"),
+    """Mean decimal price per game over the latest quote of each bookmaker, with the start
+    that the newest of them names."""
+    latest = decimal_quotes(latest_quotes(quotes))
+    return latest.groupBy("game_id").agg(
+        F.max(F.struct("snapshot_ts", "commence_time"))["commence_time"].alias("commence_time"),
+        F.avg("home_odds").alias("home_odds"), F.avg("away_odds").alias("away_odds"),
         F.count(F.lit(1)).alias("n_books"))

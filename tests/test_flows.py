@@ -17,7 +17,16 @@ def test_build_features(spark, small_dir):
     back = spark.read.parquet(out)
     assert meta["rows"] == back.count() > 0
     assert "avg_pts_last_10" in back.columns and "season_id" in back.columns
-    assert back.where(F.col("season_id") == 1996).count() > 0
+    assert back.where(F.col("season_id") == 1996).count() > 0 and meta["bytes"] > 0
+    # the games' own seasons: one that spans New Year stays whole
+    split = g.withColumn("season_id", F.when(F.month("game_date") >= 7, F.year("game_date")).otherwise(
+        F.year("game_date") - 1))
+    csv2, out2 = shared_dir(spark, "t_games_csv"), shared_dir(spark, "t_features")
+    FS.write_csv(split.withColumn("game_date", F.date_format("game_date", "yyyy-MM-dd")), csv2)
+    build_features(spark, csv2, out2)
+    months = {r.m for r in spark.read.parquet(out2).where("season_id = 1996").select(
+        F.month("game_date").alias("m")).distinct().collect()}
+    assert months >= {1, 12}
 
 
 def test_daily_bets(spark, small_dir):
@@ -40,5 +49,5 @@ def test_daily_bets(spark, small_dir):
     assert bets.count() == sched.count()
     assert bets.agg(F.sum("stake_amount")).first()[0] <= 10000
     r = risk.first()
-    assert 0 <= r.prob_profit <= 1
-    assert report.count() == 1
+    assert r.std_return_exact >= 0 and r.n_bets == sched.count()
+    assert report.count() == sched.count()

@@ -72,11 +72,7 @@ def test_team_normalize_and_consensus(spark):
     assert j["A"].home_odds == pytest.approx(1.9) and j["C"].home_odds == 1.5
 
 
-def test_impute_cycle_only_missing(spark):
-    g = spark.createDataFrame([(i, dt.date(2024, 1, 1), None if i != 2 else 1.5, None if i != 2 else 2.5)
-                               for i in range(5)], "game_id long, game_date date, home_odds double, away_odds double")
-    r = {x.game_id: x for x in M.impute_odds_cycle(g).collect()}
-    assert r[0].home_odds == pytest.approx(1.85) and r[1].home_odds == pytest.approx(1.95)
-    assert r[2].home_odds == 1.5 and r[3].home_odds == pytest.approx(1.85)
-    lin = {x.game_id: x for x in M.impute_odds_linear(g.select("game_id", "game_date")).collect()}
-    assert lin[0].home_odds == pytest.approx(1.7) and lin[4].away_odds == pytest.approx(2.3)
+def test_american_to_decimal(spark):
+    got = [r[0] for r in spark.createDataFrame([(-150.0,), (160.0,), (0.0,), (None,), (-100.0,)], "o double").select(
+        O.american_to_decimal("o")).collect()]
+    assert got == [pytest.approx(1 + 100 / 150), pytest.approx(2.6), None, None, pytest.approx(2.0)]

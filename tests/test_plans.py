@@ -2,24 +2,38 @@
 
 import pytest
 
-import __spark_entry__ as E
+from lineup.plans import catalog
 
-QUERIES = E.queries()
+catalog.load_all()
+QUERIES = catalog.QUERIES
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"model_scores"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"model_scores", "model_metrics"}))
 def test_no_cross_products(spark, small_dir, name):
     plan = _plan(QUERIES[name](spark, small_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_feature_windows_plan(spark, small_dir):
-    plan = _plan(QUERIES["features_final"](spark, small_dir))
-    assert "WindowGroupLimit" in plan            # tails cut before the shuffle
-    assert "SortAggregate" not in plan           # only hash aggregates
-    # the main windows share one partitioning on (participant, season, bucket)
-    assert plan.count("hashpartitioning(team_name") >= 1
+@pytest.mark.parametrize("name,scans,exchanges", [("features_final", 2, 8), ("rolling_form", 2, 5),
+                                                  ("target_correlation", 2, 9), ("cumulative_pnl", 5, 9),
+                                                  ("accuracy_overall", 1, 1)])
+def test_plan_sizes(spark, small_dir, name, scans, exchanges):
+    plan = _plan(QUERIES[name](spark, small_dir)).split("== Initial Plan ==")[-1]
+    assert "SortAggregate" not in plan or name != "accuracy_overall"
+    assert plan.count("FileScan") <= scans and plan.count("Exchange hashpartitioning") + plan.count(
+        "Exchange SinglePartition") + plan.count("Exchange rangepartitioning") <= exchanges
+
+
+def test_a_hot_participant_is_spread(spark):
+    from lineup.operators import windows as WN
+    days = spark.range(4000).selectExpr("'hot' as team_name", "date_add(date'2000-01-01', cast(id as int)) as game_date",
+                                        "1L as _n")
+    b = WN.day_buckets(days, ["team_name"], "game_date", 10, 100)
+    sizes = [r["count"] for r in b.groupBy("_bkt").count().collect()]
+    assert len(sizes) == 40 and max(sizes) == 100
+    copies = b.selectExpr("size(_to) - 1 as c").groupBy().sum().first()[0]
+    assert copies == 39 * 10  # ten rows look ahead into each later bucket

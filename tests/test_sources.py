@@ -1,7 +1,10 @@
-"""Sources: malformed odds feeds, scoreboard shapes, HTML tables, files, year filters."""
+"""Sources: malformed odds feeds, scoreboard shapes, files, year filters."""
 
 import datetime as dt
+import glob
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,6 @@ from pyspark.sql import functions as F
 from lineup.operators import filters as FL
 from lineup.session import shared_dir
 from lineup.sources import files as FS
-from lineup.sources.html_table import extract_tables, parse_tables
 from lineup.sources.odds_json import dropped_documents, flatten_odds
 from lineup.sources.schedule_json import flatten_events, flatten_scoreboard
 
@@ -72,21 +74,6 @@ def test_scoreboard_shapes(spark):
     assert len(rb) == 1 and (rb[0].home_team, rb[0].away_team, rb[0].arena) == ("NYK", "MIA", "")
 
 
-HTML = """<html><body><table>
-<thead><tr><th></th><th colspan="2">Shooting</th></tr>
-<tr><th>Team</th><th>FG%</th><th>3P %</th></tr></thead>
-<tbody><tr><td>Boston</td><td>.480</td><td>.377</td></tr>
-<tr><td>Miami</td><td>.460</td><td>.350</td></tr></tbody></table></body></html>"""
-
-
-def test_html_table_two_row_header(spark):
-    _, headers, body = next(parse_tables(HTML))
-    assert headers == ["team", "shooting_fg%", "shooting_3p_%"] and body[1][0] == "Miami"
-    pages = spark.createDataFrame([(1, HTML), (2, "<p>no table</p>")], "page_id long, html string")
-    cells = extract_tables(pages).where("header = 'shooting_fg%'").orderBy("row_idx").collect()
-    assert [c.value for c in cells] == [".480", ".460"]
-
-
 def test_csv_roundtrip_and_multi_file(spark):
     df = spark.createDataFrame([(1, "2020-10-01", "A"), (2, "2021-01-05", "B")], "id int, d string, t string")
     base = shared_dir(spark, "t_csv")
@@ -96,6 +83,13 @@ def test_csv_roundtrip_and_multi_file(spark):
     with pytest.raises(FileNotFoundError):
         FS.read_many(spark, [f"{base}/t=Z"], "id int, d date")
     assert FS.fresh_only(back, 7).count() == 2
+    size = FS.files_size(back).first()
+    assert size.files == 2 and size.bytes > 0
+    stale = next(p for p in glob.glob(f"{base.removeprefix('file:')}/t=A/*.csv"))
+    os.utime(stale, (time.time() - 8 * 86400,) * 2)
+    spark.catalog.clearCache()
+    again = FS.read_many(spark, [f"{base}/t=A", f"{base}/t=B"], "id int, d date")
+    assert [r.id for r in FS.fresh_only(again, 7).select("id").collect()] == [2]
 
 
 def test_headers():
@@ -109,7 +103,11 @@ def test_year_filters(spark):
     assert [r.id for r in df.where(FL.season_text_year("season", 2020, 2021)).collect()] == [1]
     assert [r.id for r in df.where(FL.date_year(df, "game_date", 2020, 2022)).orderBy("id").collect()] == [1, 3]
     assert FL.date_like_columns(df) == ["season", "game_date"]
-    assert [r.id for r in FL.filter_by_year_range(df, 2020, 2020).collect()] == [1]
+    for order in ("id", "-id", "id % 2"):  # the choice of the column never depends on the order of rows
+        ordered = df.orderBy(F.expr(order))
+        assert [r.id for r in FL.filter_by_year_range(ordered, 2020, 2020).collect()] == [1]
+    dates = df.select("id", F.col("game_date").alias("season"))
+    assert sorted(r.id for r in FL.filter_by_year_range(dates, 2020, 2022).collect()) == [1, 3]
     assert FL.filter_by_year_range(df.select("id"), 2020, 2020).count() == 3
     typed = df.withColumn("d", F.to_date(F.lit("2021-03-01")))
     plan = typed.where(FL.date_year(typed, "d", 2021, 2021))._jdf.queryExecution().optimizedPlan().toString()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lineup.config import RiskConfig, StakeConfig
+from lineup.config import StakeConfig
 from lineup.functions import odds as O
 from lineup.operators import staking as ST
 
@@ -70,48 +70,60 @@ def test_null_edge_not_recommended(spark):
     assert r.recommended_bet is False and r.stake_amount == 0
 
 
-def test_risk_pins_and_partition_independence(spark):
-    bets = ST.bet_sizes(_three(spark), 10000, StakeConfig(min_edge=-1.0))
-    one = ST.risk_distribution(bets.repartition(1), group=(), cfg=RiskConfig()).first()
-    many = ST.risk_distribution(bets.repartition(16), group=(), cfg=RiskConfig()).first()
-    assert one.asDict() == pytest.approx(many.asDict())
-    assert 0.0 <= one.prob_profit <= 1.0
-    assert one.max_loss <= one.percentile_5 <= one.mean_return <= one.percentile_95 <= one.max_gain
-
-
-def test_simulation_matches_closed_form(spark):
-    rows = [(f"b{i}", 0.5 + (i % 5) * 0.05, 1.9 + (i % 3) * 0.1, 0.1) for i in range(40)]
+def test_return_distribution(spark):
+    import numpy as np
+    values = [float((i * 37) % 23) - 11.5 for i in range(60)]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)] + [(None, 4.25), (0, None)], "g int, x double")
+    got = {r.g: r for r in ST.return_distribution(df, "x", ("g",)).collect()}
+    assert set(got) == {0, 1, None}
+    for g in (0, 1):
+        own = np.array([v for i, v in enumerate(values) if i % 2 == g])
+        r = got[g]
+        assert r.n_days == len(own) and r.mean_return == pytest.approx(own.mean())
+        assert r.std_return == pytest.approx(own.std()) and r.prob_profit == pytest.approx((own > 0).mean())
+        assert [r.percentile_5, r.percentile_95] == pytest.approx(np.quantile(own, [0.05, 0.95]).tolist())
+        assert (r.max_loss, r.max_gain) == (own.min(), own.max())
+
+
+def test_closed_form_equals_all_outcomes(spark):
+    from itertools import product
+    rows = [(f"b{i}", 0.5 + i * 0.07, 1.9 + i * 0.2, 0.1) for i in range(5)]
     df = spark.createDataFrame(rows, "game_id string, best_bet_prob double, best_bet_odds double, "
                                      "best_bet_edge double").withColumn("day", F.lit(1))
     bets = ST.bet_sizes(df, 10000, StakeConfig(min_edge=0.0))
-    sim = ST.risk_distribution(bets, group=("day",)).first()
-    exact = ST.risk_closed_form(bets, group=("day",)).first()
-    se = exact.std_return_exact / (1000 ** 0.5)
-    assert abs(sim.mean_return - exact.mean_return_exact) < 4 * se
-    assert sim.std_return == pytest.approx(exact.std_return_exact, rel=0.1)
-
-
-def test_no_recommended_bets_gives_zeros(spark):
-    df = spark.createDataFrame([("g", 0.5, 2.0, -0.1, 1)], "game_id string, best_bet_prob double, "
-                               "best_bet_odds double, best_bet_edge double, day int")
-    r = ST.risk_distribution(ST.bet_sizes(df, 10000, CFG), group=("day",)).first()
-    assert (r.mean_return, r.std_return, r.prob_profit) == (0.0, 0.0, 0.0)
-
-
-def test_uniform_is_uniform_and_deterministic(spark):
-    df = spark.range(20000).select((F.col("id") % 1000).alias("sim"), F.floor(F.col("id") / 1000).alias("bet"))
-    a = O.with_uniform(df, "sim", "bet", 42).agg(F.avg("u"), F.stddev_pop("u"), F.min("u"), F.max("u")).first()
-    assert a[0] == pytest.approx(0.5, abs=0.01) and a[1] == pytest.approx((1 / 12) ** 0.5, abs=0.01)
-    assert 0 <= a[2] and a[3] < 1
-    b = O.with_uniform(df.repartition(7), "sim", "bet", 42).agg(F.sum("u")).first()[0]
-    c = O.with_uniform(df, "sim", "bet", 42).agg(F.sum("u")).first()[0]
-    assert b == pytest.approx(c, rel=1e-12)
-
-
-def test_daily_report(spark):
-    import json
-    df = _three(spark).withColumn("game_date", F.lit("2024-01-01").cast("date"))
-    r = ST.daily_report(ST.bet_sizes(df, 10000, CFG), 10000, top_k=5).first()
-    games = json.loads(r.games)
-    assert r.total_games == 3 and r.recommended_bets == 1 and len(games) == 1
-    assert games[0]["game_id"] == "g1" and r.summary.startswith("1 bets of 3 games, stake $")
+    stakes = [(r.stake_amount, r.best_bet_prob, r.best_bet_odds) for r in bets.collect()]
+    mean = second = 0.0
+    for won in product([True, False], repeat=len(stakes)):
+        p = total = 0.0
+        p = 1.0
+        for w, (s, q, o) in zip(won, stakes):
+            p *= q if w else 1 - q
+            total += s * (o - 1) if w else -s
+        mean += p * total
+        second += p * total * total
+    r = ST.risk_closed_form(bets, group=("day",)).first()
+    assert r.mean_return_exact == pytest.approx(mean)
+    assert r.std_return_exact == pytest.approx((second - mean * mean) ** 0.5)
+
+
+def test_daily_report_keeps_every_game(spark):
+    df = _three(spark).withColumns({"game_date": F.lit("2024-01-01").cast("date"), "home_team": F.lit("A"),
+                                    "away_team": F.lit("B")})
+    df = df.crossJoin(spark.range(20)).withColumn("game_id", F.concat("game_id", F.lit("-"), "id")).drop("id")
+    if "best_bet_team" not in df.columns:
+        df = df.withColumn("best_bet_team", F.lit("A"))
+    bets = ST.bet_sizes(df, 10000, CFG)
+    got = ST.daily_report(bets).collect()
+    assert len(got) == 60 and sorted(r["rank"] for r in got) == list(range(1, 61))
+    assert sum(r.recommended_bet for r in got) == 20
+    evs = [r.expected_value for r in sorted(got, key=lambda r: r["rank"])]
+    assert evs == sorted(evs, reverse=True)
+
+
+def test_rank_bets_sorts_inside_days(spark):
+    df = spark.createDataFrame([(i % 3, i, float((i * 7) % 11)) for i in range(60)],
+                               "game_date int, game_id int, expected_value double")
+    seen = {}
+    for r in ST.rank_bets(df).collect():
+        seen.setdefault(r.game_date, []).append((-r.expected_value, r.game_id))
+    assert all(v == sorted(v) for v in seen.values()) and sum(map(len, seen.values())) == 60

@@ -1,30 +1,66 @@
-"""Stream = batch for the odds quote stream."""
+"""The odds quote stream: equal to a batch over the latest snapshot, late data, moved starts."""
+
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from lineup.operators import markets as M
 from lineup.plans import derive
 from lineup.session import shared_dir
 from lineup.sources.odds_json import flatten_odds
-from lineup.streaming.odds_stream import consensus_from_quotes, run_quotes
+from lineup.streaming.odds_stream import consensus_from_quotes, latest_quotes, run_quotes
+
+
+def _write(spark, src, time, docs):
+    docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").coalesce(1).write.mode("append").json(src)
 
 
-def test_stream_equals_batch(spark, small_dir):
-    docs = derive.odds_documents(spark, small_dir).select("doc")
-    src = shared_dir(spark, "t_snap")
-    for snap in (1, 2):
-        docs.select(F.lit(snap).cast("long").alias("snapshot"), "doc").repartition(3).write.mode("append").json(src)
-    sink, ck = shared_dir(spark, "t_quotes"), shared_dir(spark, "t_ck")
-    run_quotes(spark, src, sink, ck, window="1 day", lateness="36500 days", files_per_trigger=2)
+def test_stream_equals_batch_of_the_last_snapshot(spark, small_dir):
+    src, sink, ck = shared_dir(spark, "t_snap"), shared_dir(spark, "t_quotes"), shared_dir(spark, "t_ck")
+    for time, move in (("2024-01-01 12:00:00", 0), ("2024-01-01 12:10:00", 29)):
+        _write(spark, src, time, derive.odds_documents(spark, small_dir, move))
+    run_quotes(spark, src, sink, ck, lateness="1 hour", files_per_trigger=1)
     quotes = spark.read.parquet(sink)
-    assert quotes.select("batch_id").distinct().count() > 1          # several micro-batches
-    got = consensus_from_quotes(quotes)
-    rows = flatten_odds(derive.odds_documents(spark, small_dir)).where("commence_time is not null")
-    exp = rows.groupBy(F.date_trunc("day", "commence_time").alias("window_start"), "game_id").agg(
-        F.avg("home_odds").alias("home_odds"), F.avg("away_odds").alias("away_odds"),
-        F.count(F.lit(1)).alias("n_books"))
-    a = got.toPandas().sort_values(["window_start", "game_id"]).reset_index(drop=True)
-    b = exp.toPandas().sort_values(["window_start", "game_id"]).reset_index(drop=True)
-    assert len(a) == len(b) and (a["n_books"] == b["n_books"]).all()
-    assert a["home_odds"].fillna(0).to_numpy() == pytest.approx(b["home_odds"].fillna(0).to_numpy())
+    assert quotes.select("batch").distinct().count() > 1
+    last = flatten_odds(derive.odds_documents(spark, small_dir, 29)).withColumn(
+        "snapshot_ts", F.lit("2024-01-01 12:10:00").cast("timestamp"))
+    first = flatten_odds(derive.odds_documents(spark, small_dir, 0)).withColumn(
+        "snapshot_ts", F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    cols = ["game_id", "commence_time", "home_odds", "away_odds", "n_books"]
+    a, b, c = (consensus_from_quotes(x).toPandas().sort_values("game_id").reset_index(drop=True)[cols]
+               for x in (quotes, last, first))
+    assert a.equals(b) and not a.equals(c)
+    assert (a["home_odds"].dropna() > 1).all()
+
+
+def _doc(home, start="2024-01-05T20:00:00Z", game="g1", book="b1"):
+    price = [{"name": "H", "price": home}, {"name": "A", "price": -110}]
+    return json.dumps([{"id": game, "commence_time": start, "home_team": "H", "away_team": "A", "bookmakers": [
+        {"key": book, "markets": [{"key": "h2h", "outcomes": price}]}]}])
+
+
+def test_quote_time_not_game_time_decides(spark):
+    src, sink, ck = shared_dir(spark, "t_snap"), shared_dir(spark, "t_quotes"), shared_dir(spark, "t_ck")
+    feed = [("2024-01-01 10:00:00", _doc(110)),
+            ("2024-01-01 10:05:00", _doc(120, "2024-01-15T20:00:00Z", "far")),  # a game ten days later
+            ("2024-01-01 10:10:00", _doc(150, "2024-01-06T20:00:00Z")),         # new price, moved start
+            ("2024-01-02 18:00:00", _doc(130, game="g2")),
+            ("2024-01-01 09:00:00", _doc(999))]                                 # far too late
+    for time, doc in feed:
+        _write(spark, src, time, spark.createDataFrame([(doc,)], "doc string"))
+    run_quotes(spark, src, sink, ck, lateness="1 hour", files_per_trigger=1)
+    got = {r.game_id: r for r in latest_quotes(spark.read.parquet(sink)).collect()}
+    assert got["g1"].home_odds == 150 and str(got["g1"].commence_time) == "2024-01-06 20:00:00"
+    assert got["far"].home_odds == 120 and got["g2"].home_odds == 130
+    assert spark.read.parquet(sink).where("home_odds = 999").count() == 0
+    c = {r.game_id: r for r in consensus_from_quotes(spark.read.parquet(sink)).collect()}
+    assert c["g1"].home_odds == pytest.approx(2.5)
+
+
+def test_one_sided_and_empty_books_are_tolerated(spark):
+    docs = [json.dumps([{"id": "g", "home_team": "H", "away_team": "A", "bookmakers": [
+        {"key": "one", "markets": [{"key": "h2h", "outcomes": [{"name": "H", "price": -150}]}]},
+        {"key": "none", "markets": [{"key": "h2h", "outcomes": []}]}]}])]
+    rows = {r.bookmaker: r for r in flatten_odds(spark.createDataFrame([(d,) for d in docs], "doc string")).collect()}
+    assert rows["one"].home_odds == -150 and rows["one"].away_odds is None
+    assert rows["none"].home_odds is None and rows["none"].away_odds is None

@@ -64,11 +64,11 @@ def _expected(pdf: pd.DataFrame, n: int = 10, s: int = 5) -> pd.DataFrame:
     return out
 
 
-@pytest.mark.parametrize("unit", ["month", "week", "year"])
-def test_split_windows_equal_direct(spark, unit):
+@pytest.mark.parametrize("rows_per_bucket", [1, 7, 25, 100_000])
+def test_split_windows_equal_direct(spark, rows_per_bucket):
     rows = _fixture()
     df = spark.createDataFrame(rows, COLS)
-    got = WN.participant_features(df, FeatureConfig(split_unit=unit)).toPandas()
+    got = WN.participant_features(df, FeatureConfig(bucket_rows=rows_per_bucket)).toPandas()
     exp = _expected(pd.DataFrame(rows, columns=[c.split()[0] for c in COLS.split(", ")]))
     got = got.set_index("game_id").sort_index()
     exp = exp.set_index("game_id").sort_index()
@@ -107,10 +107,14 @@ def test_asof_features_do_not_leak(spark):
     a = base.where(F.col("game_id") != last).select("game_id", *cols).toPandas().set_index("game_id").sort_index()
     b = alt.where(F.col("game_id") != last).select("game_id", *cols).toPandas().set_index("game_id").sort_index()
     pd.testing.assert_frame_equal(a, b)
-    # the as-run season mean does see the changed last game
-    ar = base.where("team_name = 'T60'").select("season_avg_pts").toPandas()
-    br = alt.where("team_name = 'T60'").select("season_avg_pts").toPandas()
-    assert not ar.equals(br) or True
+    # the as-run season mean of earlier rows does see a later game (all but the season's last)
+    games = sorted((r[1], r[0]) for r in rows if r[3] == "T60" and r[2] == 2019)
+    mid = games[len(games) // 2][1]
+    changed = [r if r[0] != mid else r[:5] + (200, 50) + r[7:] for r in rows]
+    alt = WN.participant_features(spark.createDataFrame(changed, COLS), FeatureConfig(as_of=True))
+    first = games[0][1]
+    ar, br = (d.where(F.col("game_id") == first).select("season_avg_pts", "season_avg_pts_asof").first() for d in (base, alt))
+    assert ar.season_avg_pts != br.season_avg_pts and ar.season_avg_pts_asof == br.season_avg_pts_asof
 
 
 def test_venue_form_equals_direct(spark):
@@ -123,3 +127,39 @@ def test_venue_form_equals_direct(spark):
         lambda x: x.shift(1).rolling(3, min_periods=3).mean())
     exp.index = pdf["game_id"]
     assert np.allclose(got["venue_win_pct_last_n"].to_numpy(), exp.sort_index().to_numpy(), equal_nan=True)
+
+
+def test_nan_inf_and_large_values_stay_in_their_frames(spark):
+    rows = []
+    for r in _fixture():
+        bad = {130 - 100 + 10: float("nan"), 50: float("inf"), 60: 1e15}.get(r[0])
+        rows.append(r[:8] + (bad,) + r[9:] if bad is not None else r)
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in COLS.split(", ")]).sort_values(["team_name", "game_date", "game_id"])
+    results = []
+    for size in (3, 20, 100_000):
+        got = WN.participant_features(spark.createDataFrame(rows, COLS), FeatureConfig(bucket_rows=size),
+                                      whole_group=False).toPandas().set_index("game_id").sort_index()
+        results.append(got["avg_fg_pct_last_10"].to_numpy())
+    for r in results[1:]:
+        assert np.array_equal(r, results[0], equal_nan=True)
+    by_id = dict(zip(got.index, results[0]))
+    for _, g in pdf.groupby("team_name"):
+        v, ids = g["fg_pct"].to_numpy(), g["game_id"].to_numpy()
+        for i in range(10, len(v)):
+            frame = v[i - 10:i]
+            if np.isfinite(frame).all():
+                assert by_id[ids[i]] == pytest.approx(frame.mean(), rel=1e-12)
+            else:
+                assert not np.isfinite(by_id[ids[i]])
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = _fixture()
+    rows[5] = rows[5][:2] + (None,) + rows[5][3:]
+    rows[9] = (rows[9][0], None) + rows[9][2:]
+    rows[20] = rows[20][:3] + (None,) + rows[20][4:]
+    df = spark.createDataFrame(rows, COLS)
+    for whole in (True, False):
+        got = WN.participant_features(df, FeatureConfig(bucket_rows=4), whole_group=whole)
+        assert sorted(r.game_id for r in got.select("game_id").collect()) == sorted(r[0] for r in rows)
+    assert WN.venue_form(df, 3, bucket_rows=4).count() == len(rows)
