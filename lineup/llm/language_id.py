@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineup.llm.common import slices
 
@@ -258,8 +259,8 @@ def _predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (its ``text`` left out) with ``best, entropy, margin, n_events``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS and MAX_LANGUAGES
     keep = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep]
-                       + ["best string, entropy double, margin double, n_events long"])
+    schema = T.StructType(keep + [T.StructField("best", T.StringType()), T.StructField("entropy", T.DoubleType()),
+                                  T.StructField("margin", T.DoubleType()), T.StructField("n_events", T.LongType())])
 
     def predict(batches: Iterable[pa.RecordBatch]):
         m = shared.value
@@ -333,18 +334,19 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = True) -> DataF
     A NULL text, or one without a letter, is ``und`` with score 0, as is everything
     without a model.  ``rejected`` marks texts less like their best language than nearly all
     known ones, or more likely wrong than right; with ``reject`` these are ``und`` too.
-    Repeated rows each give a row; other columns pass through.
+    Repeated rows each give a row; other columns pass through (but for those of the result's names).
     """
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "rejected")]
     if model is None:
-        return docs.drop("text").withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0),
-                                              "rejected": F.lit(True)})
-    found = _predict(docs, model)
+        return docs.select(*rest, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
+                           F.lit(True).alias("rejected"))
+    boxed = docs.select(F.struct(*rest, F.lit(1).alias("_")).alias("_rest"), F.col("text").cast("string").alias("text"))
+    found = _predict(boxed, model)
     right = F.element_at(F.array(*[F.lit(float(x)) for x in model.right]), _bin(F.col("margin")) + 1)
     limit = F.create_map(*[F.lit(v) for i, x in enumerate(model.languages) for v in (x, float(model.limits[i]))])
     some = F.col("n_events") > 0
     rejected = ~some | (F.col("entropy") > F.element_at(limit, F.col("best"))) | (right < 0.5)
     pred = F.when(some & (~rejected if reject else F.lit(True)), F.col("best")).otherwise(F.lit(UNDETERMINED))
-    return found.select(*[c for c in docs.columns if c != "text"], pred.alias("lang_pred"),
+    return found.select(*[F.col("_rest").getField(c).alias(c) for c in rest], pred.alias("lang_pred"),
                         F.when(some, right).otherwise(F.lit(0.0)).alias("score"),
                         F.coalesce(rejected, F.lit(True)).alias("rejected"))

@@ -148,7 +148,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     ties to the smaller id.
 
     NULL ids and vectors, and vectors with NULL or non-finite components, take no part; an
-    empty vector scores 0.  Rows that repeat an id are candidates each; a repeated query id is
+    empty vector scores 0; scores must fit a long.  Rows that repeat an id are candidates each; a repeated query id is
     asked once, with its smallest vector.  An empty table gives an empty result.
     """
     spark = rows.sparkSession
