@@ -117,10 +117,11 @@ def stake_quantiles(bets: DataFrame, amount: str = "bet_amount", pnl: str = "pro
     edges = exact_quantiles(bets, amount, probs).agg(
         F.array_sort(F.collect_set("value")).alias("e")).scalar()
     x = F.col(amount)
-    below = sum(F.when(F.get(edges, i) < x, 1).otherwise(0) for i in range(q + 1))
+    bets = bets.where(x.isNotNull()).withColumn("_edges", edges)
+    below = sum(F.when(F.get("_edges", F.lit(i)) < x, 1).otherwise(0) for i in range(q + 1))
     bucket = F.greatest(F.lit(0), below - 1)
     p = F.col(pnl)
-    return bets.where(x.isNotNull()).groupBy(bucket.alias("bet_size_bucket")).agg(
+    return bets.groupBy(bucket.alias("bet_size_bucket")).agg(
         F.count(F.lit(1)).alias("bet_count"), F.avg((p > 0).cast("double")).alias("win_rate"),
         F.avg(p).alias("avg_pnl"), F.avg(x).alias("avg_bet_size"))
 

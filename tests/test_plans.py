@@ -18,8 +18,9 @@ def test_no_cross_products(spark, small_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name,scans,exchanges", [("features_final", 2, 8), ("rolling_form", 2, 5),
-                                                  ("target_correlation", 2, 9), ("cumulative_pnl", 5, 9),
+@pytest.mark.parametrize("name,scans,exchanges", [("features_final", 3, 6), ("rolling_form", 2, 3),
+                                                  ("target_correlation", 3, 7), ("temporal_split", 6, 11),
+                                                  ("cumulative_pnl", 4, 7), ("stake_quantiles", 5, 12),
                                                   ("accuracy_overall", 1, 1)])
 def test_plan_sizes(spark, small_dir, name, scans, exchanges):
     plan = _plan(QUERIES[name](spark, small_dir)).split("== Initial Plan ==")[-1]
