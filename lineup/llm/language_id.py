@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineup.llm.common import slices
+from lineup.llm.words import mix, range_hash
 
 ORDER = 5
 MAX_GRAMS = 200_000
@@ -61,11 +62,6 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    from lineup.llm.words import mix
-    return mix(h)
-
-
 class LetterWords:
     """Distinct letter words of some texts: ``padded`` symbols, and for each text its words."""
 
@@ -87,15 +83,10 @@ class LetterWords:
         first = np.searchsorted(start, begin)
         self.count = np.diff(first)
         n = end - start
-        # word hash by length classes of a rolling sum: equal words have equal hashes
-        power = np.multiply.accumulate(np.full(len(code) + 1, _BASE, np.uint64))
-        total = np.concatenate([[np.uint64(0)], np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        undo = np.multiply.accumulate(np.full(len(code) + 1, inverse, np.uint64))
-        h = _mix((total[end] - total[start]) * undo[start])
+        h = mix(range_hash(code, start, end))
         owner = np.repeat(np.arange(len(texts)), self.count)
         if group is not None:
-            h = _mix(h + np.asarray(group, np.uint64)[owner])
+            h = mix(h + np.asarray(group, np.uint64)[owner])
         _, at, self.inverse = np.unique(h, return_index=True, return_inverse=True)
         self.first = first
         self.owner = owner[at]
@@ -121,7 +112,7 @@ def gram_hash(symbols: np.ndarray, events: np.ndarray, order: int, skip: int = 0
     h = np.zeros(len(events), np.uint64)
     for j in range(order - 1 + skip, skip - 1, -1):
         h = h * _BASE + symbols[events - j].astype(np.uint64) + np.uint64(1)
-    return _mix(h + np.uint64(order))
+    return mix(h + np.uint64(order))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -144,7 +135,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             weight = np.bincount(words.inverse, minlength=len(words.n_events))[words.event_word]
             lang = np.asarray(group)[words.owner][words.event_word]
             h = gram_hash(words.padded, words.events, ORDER)
-            _, at, back = np.unique(_mix(h + lang.astype(np.uint64)), return_index=True, return_inverse=True)
+            _, at, back = np.unique(mix(h + lang.astype(np.uint64)), return_index=True, return_inverse=True)
             n = np.bincount(back, weights=weight).astype(np.int64)
             symbols = words.padded[words.events[at][:, None] + np.arange(1 - ORDER, 1)]
             text = symbols.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")

@@ -36,6 +36,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes that are hashed at once; bounds the memory for a very long text.
+CHUNK = 1 << 20
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(20, int(n - 1).bit_length())
@@ -47,6 +51,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def range_hash(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Polynomial of the values of each range, the same wherever a range lies; ``lo`` and ``hi`` ascend."""
+    out = np.empty(len(lo), np.uint64)
+    at = 0
+    while at < len(lo):
+        base = lo[at]
+        stop = max(at + 1, int(np.searchsorted(hi, base + CHUNK, side="right")))
+        part = values[base:hi[stop - 1]]
+        power, inverse = _powers(len(part))
+        total = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:len(part)])
+        a, b = lo[at:stop] - base, hi[at:stop] - base
+        before = np.where(a > 0, total[a - 1], np.uint64(0))
+        out[at:stop] = (total[b - 1] - before) * inverse[a]
+        at = stop
+    return out
+
+
 class Words:
     """Words of a list of texts: ``start``/``end`` in ``data``, ``first`` word of each text, ``hash``."""
 
@@ -61,11 +82,8 @@ class Words:
         self.start, self.end = change[0::2], change[1::2]
         begin = np.cumsum([0] + [len(p) + 1 for p in parts])
         self.first = np.searchsorted(self.start, begin)
-        power, inverse = _powers(len(buf))
-        total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:len(buf)])
-        before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
-        self._total, self._before, self._undo, self._inverse = total, before, inverse[self.start], inverse
-        self.hash = mix((total[self.end - 1] - before) * self._undo)
+        self._buf = buf
+        self.hash = mix(range_hash(buf, self.start, self.end))
         self.count = np.diff(self.first)
 
     def __len__(self) -> int:
@@ -73,14 +91,11 @@ class Words:
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hash of the first ``n`` bytes of each word (of the whole word if it is shorter)."""
-        last = np.minimum(self.end, self.start + n) - 1
-        return mix((self._total[last] - self._before) * self._undo)
+        return mix(range_hash(self._buf, self.start, np.minimum(self.end, self.start + n)))
 
     def suffixes(self, n: int) -> np.ndarray:
         """Hash of the last ``n`` bytes of each word (of the whole word if it is shorter)."""
-        first = np.maximum(self.start, self.end - n)
-        before = np.where(first > 0, self._total[first - 1], np.uint64(0))
-        return mix((self._total[self.end - 1] - before) * self._inverse[first])
+        return mix(range_hash(self._buf, np.maximum(self.start, self.end - n), self.end))
 
     def text(self, lo: int, hi: int) -> bytes:
         """Words ``lo`` to ``hi - 1`` joined by one space."""
