@@ -11,16 +11,19 @@ a depth of ``length`` words or more.  It is split into subtrees that fit a task:
    first ``length`` words the one with the least hash (the leftmost of equals).  Equal windows
    have equal anchors, so each deep node lies in one group whole.  Neighbouring suffixes
    mostly share their anchor and travel as one segment of text.
-2. Anchors are counted over all documents first; those met once hold no repeat, and
-   their text is never shuffled.
+2. Anchors (a hash and a place, no text) are sorted by hash, document and position over range
+   partitions, so even one anchor of a third of all documents spans many.  Those met
+   once hold no repeat; the text of the others is cut from the documents.
 3. In a group a suffix array with common-prefix lengths stands for the subtree; adjacent suffixes
    that share ``length`` words are the leaves below a deep node.  All but its first
    occurrence are repeats.
-4. *Long prefixes.*  An anchor with more than ``GROUP`` segments is split by document
-   first.  Each part resolves its own repeats and sends on the first occurrence of each
+4. *Long prefixes.*  An anchor with more than ``GROUP`` segments, or one at the border of a
+   range, is split.  Each part resolves its own repeats and sends on the first occurrence of each
    deep prefix only; those meet by the hash of all ``length`` words.  A passage in a third of all
    documents shrinks by a factor of ``GROUP`` before its occurrences meet.
 
+Both joins by document read one exchange of the texts.
+
 Defined cases.  A NULL, empty or blank text has no words; a NULL doc_id is smaller
 than any other; rows with equal doc_id and text are one document, and each gets its result; rows with
 one doc_id and different texts are ordered by a hash of the text; an empty table gives an
@@ -33,13 +36,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineup.llm.common import NULL_ID, byte_slices
+from lineup.llm.common import NULL_ID, byte_slices, partitions
 from lineup.llm.words import SPACED, Words
-from lineup.session import shared_dir
 
 ANCHOR = 6
 GROUP = 500
@@ -47,7 +48,7 @@ GROUP = 500
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "t": F.xxhash64(text)})
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(text).alias("t"), "text")
 
 
 def anchors(keyed: DataFrame, length: int) -> DataFrame:
@@ -77,7 +78,57 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
                 rows.column(1).take(pa.array(doc)), pa.array((first - words.first[doc]).astype(np.int32)),
                 pa.array(np.diff(np.concatenate([new, [len(start)]])).astype(np.int32))], ["h", "k", "t", "s", "m"])
 
-    return keyed.select("k", "t", "text").mapInArrow(find, "h long, k long, t long, s int, m int")
+    return keyed.select("k", "t", "text").mapInArrow(find, "h long, k long, t int, s int, m int")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Of anchors sorted by ``h, k, t, s`` over range partitions those that may be repeated:
+    ``k, t, s, m, h, salt``.  Anchors of one partition share a ``salt`` of 0; those that are split
+    (very many, or perhaps continued in the next range) get one salt per part, above 0."""
+    def pick(batches: Iterable[pa.RecordBatch]):
+        from pyspark import TaskContext
+        part = (TaskContext.get().partitionId() + 1) << 32
+        held: list[np.ndarray] | None = None  # the last run so far
+        chunk, first = 0, True
+
+        def out(cols: list[np.ndarray], salt: np.ndarray | int) -> pa.RecordBatch:
+            h, k, t, s, m = cols
+            salt = np.full(len(h), salt, np.int64) if np.isscalar(salt) else salt
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (k, t, s, m, h, salt)],
+                                              ["k", "t", "s", "m", "h", "salt"])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+            h = cols[0]
+            if not len(h):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            if len(start) > 1:
+                # the first run ends here: it may continue a former partition, or chunks already sent
+                if first or chunk:
+                    yield out([c[:start[1]] for c in cols], part + chunk)
+                    chunk, first = 0, False
+                    cols, start = [c[start[1]:] for c in cols], start[1:] - start[1]
+                last = start[-1]
+                size = np.diff(start)
+                row_size = np.repeat(size, size)
+                keep = np.flatnonzero(row_size > 1)
+                if len(keep):
+                    place = np.arange(last) - np.repeat(start[:-1], size)
+                    salt = np.where(row_size > GROUP, part + place // GROUP, 0)
+                    yield out([c[keep] for c in cols], salt[keep])
+                cols = [c[last:] for c in cols]
+            while len(cols[0]) > GROUP:
+                yield out([c[:GROUP] for c in cols], part + chunk)
+                cols = [c[GROUP:] for c in cols]
+                chunk += 1
+            held = cols
+        if held is not None:
+            yield out(held, part + chunk)
+
+    return rows.mapInArrow(pick, "k long, t int, s int, m int, h long, salt long")
 
 
 def _segments(docs_and_anchors: DataFrame, length: int) -> DataFrame:
@@ -91,14 +142,14 @@ def _segments(docs_and_anchors: DataFrame, length: int) -> DataFrame:
                 at = int(words.first[d])
                 for a in own:
                     lo = at + a["s"]
-                    out.append((a["h"], a["c"], k[d], t[d], a["s"], a["m"],
+                    out.append((a["h"], a["salt"], k[d], t[d], a["s"], a["m"],
                                 b"\n".join(words.list(lo, lo + a["m"] + length - 1)) + b"\n"))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, q) for c, q in zip(zip(*out) if out else [[]] * 7, kinds)],
-                                             ["h", "c", "k", "t", "s", "m", "segment"])
+                                             ["h", "salt", "k", "t", "s", "m", "segment"])
 
     return docs_and_anchors.select("k", "t", "text", "found").mapInArrow(
-        cut, "h long, c long, k long, t long, s int, m int, segment binary")
+        cut, "h long, salt long, k long, t int, s int, m int, segment binary")
 
 
 def deep_nodes(suffixes: list[tuple[bytes, int]], depth: list[int]) -> Iterator[list[int]]:
@@ -155,7 +206,7 @@ def _subtrees(segments: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, q) for c, q in zip(zip(*found) if found else [[]] * 5, kinds)],
                 ["k", "t", "lo", "hi", "prefix"])
@@ -174,11 +225,11 @@ def _subtrees(segments: DataFrame, length: int) -> DataFrame:
         at, split = None, False
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for h, salt, c, k, t, s, m, text in zip(*cols):
+            for h, salt, k, t, s, m, text in zip(*cols):
                 if (h, salt) != at:
                     if group:
                         found += finish(group, split)
-                    group, at, split = [], (h, salt), c > GROUP
+                    group, at, split = [], (h, salt), salt > 0
                 group.append((k, t, s, m, text))
                 if len(found) > 20_000:
                     yield rows(found)
@@ -187,40 +238,33 @@ def _subtrees(segments: DataFrame, length: int) -> DataFrame:
             found += finish(group, split)
         yield rows(found)
 
-    parts = F.ceil(F.col("c") / GROUP).cast("long")
-    keyed = segments.withColumn("salt", F.pmod(F.xxhash64("k", "t"), parts))
-    keyed = keyed.select("h", "salt", "c", "k", "t", "s", "m", "segment").repartition("h", "salt")
-    return keyed.sortWithinPartitions("h", "salt").mapInArrow(walk, "k long, t long, lo int, hi int, prefix binary")
+    keyed = segments.select("h", "salt", "k", "t", "s", "m", "segment").repartition("h", "salt")
+    return keyed.sortWithinPartitions("h", "salt").mapInArrow(walk, "k long, t int, lo int, hi int, prefix binary")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 20) -> DataFrame:
+def _ranges(keyed: DataFrame, length: int) -> DataFrame:
     """``k, t, ranges``: for each document with repeats, the word ranges ``lo, hi`` to remove."""
     if length < ANCHOR + 1:
         raise ValueError(f"windows need more than {ANCHOR} words")
-    spark = docs.sparkSession
-    keyed = _keyed(docs).select("k", "t", "text")
-    path = shared_dir(spark, "anchors")
-    anchors(keyed, length).write.parquet(path)
-    every = spark.read.parquet(path)
-    counts = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    found = (every.join(counts, "h").groupBy("k", "t")
-             .agg(F.sort_array(F.collect_set(F.struct("s", "m", "h", "c"))).alias("found")))
-    segments = _segments(keyed.join(found, ["k", "t"]), length)
-    walked = _subtrees(segments, length)
+    order = ["h", "k", "t", "s"]
+    rows = anchors(keyed, length).repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order)
+    # copies of a row give the same anchors: a set keeps one
+    found = _repeated(rows).groupBy("k", "t").agg(
+        F.array_sort(F.collect_set(F.struct("s", "m", "h", "salt"))).alias("found"))
+    walked = _subtrees(_segments(keyed.join(found, ["k", "t"]), length), length)
     # the first occurrences of split anchors meet by all their words; the other rows only pass
     here = F.struct("k", "t", "lo")
-    meet = W.partitionBy("_by")
-    walked = (walked.withColumn("_by", F.coalesce("prefix", F.concat(F.lit("-").cast("binary"), F.unhex(F.hex(
-                  F.xxhash64("k", "lo"))))))
-              .withColumn("_first", F.min(here).over(meet))
+    alone = F.concat(F.lit("-").cast("binary"), F.unhex(F.hex(F.xxhash64("k", "t", "lo"))))
+    walked = (walked.withColumn("_by", F.coalesce("prefix", alone))
+              .withColumn("_first", F.min(here).over(Window.partitionBy("_by")))
               .where(F.col("prefix").isNull() | (here != F.col("_first"))))
     return walked.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     """``doc_id, text, n_words, n_removed`` per row: the kept words joined by one space."""
-    keyed = _keyed(docs).select("k", "t", "text")
-    joined = keyed.join(repeated_ranges(docs, length), ["k", "t"], "left")
+    keyed = _keyed(docs)
+    joined = keyed.join(_ranges(keyed, length), ["k", "t"], "left")
 
     def apply(batches: Iterable[pa.RecordBatch]):
         for rows, texts in byte_slices(batches):
