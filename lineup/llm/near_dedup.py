@@ -11,9 +11,9 @@
    near copies of one text that is the text itself): linear in the bucket.
 4. Pairs are estimated from the packed signatures by bit counts, corrected for chance
    collisions; those clearly below the threshold go.  The rest are confirmed on full sets.
-5. Links give components.  In large buckets that still hold several components, all
-   pairs across components (in blocks, by bit counts) are confirmed as well, so
-   that no link between different components is lost, and the components are taken anew.
+5. Links give components.  In large buckets that still hold several components, the
+   pairs across components are estimated and confirmed as well, in blocks, so that no
+   link between different components is lost, and the components are taken anew.
 
 Pairs inside one component need no confirmation: the result is the class of each
 document, not the list of links.
@@ -34,7 +34,8 @@ from lineup.session import shared_dir
 
 PERMS, BANDS, BITS = 128, 32, 8
 SMALL = 12
-BLOCK = 1024
+#: Most classes and shingles in a block of a large bucket; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 #: Estimates have a deviation of 0.035 at 0.8; pairs this far below the threshold are not confirmed.
 SLACK = 0.15
 
@@ -162,50 +163,71 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components of the large buckets, by bit counts in blocks of members."""
+def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame,
+                 similarity: float) -> DataFrame:
+    """Confirmed links ``a, b`` across components of the large buckets.
+
+    A bucket is cut into blocks of bounded size and every pair of blocks is one group of rows.
+    In a group a pair is looked at only in the first bucket that its classes share, so once
+    in all; pairs of one component are skipped, also when a link of this group has just joined
+    them, and bit counts leave the likely pairs to be confirmed.  The result has fewer links than classes.
+    """
     known = members.where(F.col("n") > SMALL).join(labels, "cls", "left").withColumn(
         "root", F.coalesce("root", "cls"))
-    open_keys = (known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                 .where("lo <> hi").select("key"))
+    open_keys = (known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                          F.sum("n_shingles").alias("total"))
+                 .where("lo <> hi").select("key", "total"))
     rows = known.join(open_keys, "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    # block i meets every block j >= i; a bucket of at most BLOCK members meets only itself
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "key", F.least("i", "other").alias("p"), F.greatest("i", "other").alias("q"), "i", "cls", "root", "sig")
+    rows = rows.join(classes.select("cls", "bands"), "cls").join(sets, "cls")
+    percent, floor = round(similarity * 100), similarity - SLACK
 
     def compare(batches: Iterable[pa.RecordBatch]):
-        def pairs(group: list[dict]) -> Iterable[pa.RecordBatch]:
-            sig = np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1)
-            root = np.array([r["root"] for r in group], object)
-            _, root = np.unique(root, return_inverse=True)
-            side = np.array([r["i"] for r in group])
+        def links(group: list[tuple], key: int) -> list[tuple[bytes, bytes]]:
+            side, cls, root, sig, bands, hashes = zip(*group)
+            sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(group), -1)
+            bands, side = np.array(bands, np.int64), np.array(side)
+            comp = np.unique(np.array(root, object), return_inverse=True)[1]
+            sets_ = [np.frombuffer(h, np.uint64) for h in hashes]
+            size = np.array([len(x) for x in sets_])
             mixed = side.min() != side.max()
+            out = []
             for x in range(len(group) - 1):
-                ok = root[x + 1:] != root[x]
+                y = x + 1 + np.flatnonzero(comp[x + 1:] != comp[x])
                 if mixed:
-                    ok &= side[x + 1:] != side[x]
-                y = x + 1 + np.flatnonzero(ok)
-                y = y[_estimate(sig[x], sig[y]) >= threshold]
-                if len(y):
-                    a = group[x]["cls"]
-                    b = [group[k]["cls"] for k in y.tolist()]
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([min(a, z) for z in b], pa.binary()),
-                                                      "b": pa.array([max(a, z) for z in b], pa.binary())})
-
-        group, at = [], None
+                    y = y[side[y] != side[x]]
+                y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+                first = (bands[y] == bands[x]).argmax(1)
+                y = y[bands[x][first] == key]
+                alike = _estimate(sig[x], sig[y])
+                for v in y[np.argsort(-alike, kind="stable")][:np.count_nonzero(alike >= floor)].tolist():
+                    if comp[v] != comp[x]:
+                        both = len(np.intersect1d(sets_[x], sets_[v], assume_unique=True))
+                        if 100 * both >= percent * (size[x] + size[v] - both):
+                            out.append((cls[x], cls[v]))
+                            comp[comp == comp[v]] = comp[x]
+            return out
+
+        def rows_of(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        group, at, found = [], None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["key"], r["p"], r["q"]) != at:
-                    yield from pairs(group) if group else ()
-                    group, at = [], (r["key"], r["p"], r["q"])
-                group.append(r)
-        yield from pairs(group) if group else ()
+            for key, p, q, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, p, q) != at:
+                    found += links(group, at[0]) if len(group) > 1 else []
+                    group, at = [], (key, p, q)
+                group.append(row)
+        found += links(group, at[0]) if len(group) > 1 else []
+        yield rows_of(found)
 
     spark = members.sparkSession
-    rows = (rows.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "cls"))
-    return rows.mapInArrow(compare, "a binary, b binary").distinct()
+    rows = rows.select("key", "p", "q", "i", "cls", "root", "sig", "bands", "hashes")
+    rows = rows.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "cls")
+    return rows.mapInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -221,11 +243,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     signed = _save(signatures(docs, k), "signatures")
     own = F.coalesce("doc_id", F.lit(NULL_ID))
     classes = signed.where("cls is not null").groupBy("cls").agg(
-        F.min(own).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        F.min(own).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+        F.first("bands").alias("bands"))
     classes = _save(classes, "classes")
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = _save(keyed.join(buckets, "key").join(classes.select("cls", "sig"), "cls"), "members")
+    members = _save(keyed.join(buckets, "key").join(classes.select("cls", "n_shingles", "sig"), "cls"), "members")
 
     # full sets of the classes that share any bucket
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("_rep"))
@@ -257,7 +280,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
 
     links = _save(confirm(estimated(_hub_pairs(members)), sets, similarity), "confirmed")
     labels = components(links)
-    more = _save(confirm(_cross_pairs(members, labels, floor), sets, similarity), "confirmed")
+    more = _save(_cross_links(members, labels, classes, sets, similarity), "confirmed")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
