@@ -7,6 +7,7 @@ left) is removed; windows are judged on the input.
 The suffixes of all documents would make one suffix tree; what matters are its nodes at
 a depth of ``length`` words or more.  It is split into subtrees that fit a task:
 
+0. A later copy of a whole text repeats all its windows; it takes no part in what follows.
 1. *Short prefixes.*  A suffix is routed by its anchor: of the ``ANCHOR``-word sequences in its
    first ``length`` words the one with the least hash (the leftmost of equals).  Equal windows
    have equal anchors, so each deep node lies in one group whole.  Neighbouring suffixes
@@ -44,11 +45,14 @@ from lineup.llm.words import SPACED, Words
 
 ANCHOR = 6
 GROUP = 500
+#: End of the range that stands for a whole document.
+WHOLE = (1 << 31) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(text).alias("t"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(text).alias("t"),
+                       F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def anchors(keyed: DataFrame, length: int) -> DataFrame:
@@ -242,12 +246,23 @@ def _subtrees(segments: DataFrame, length: int) -> DataFrame:
     return keyed.sortWithinPartitions("h", "salt").mapInArrow(walk, "k long, t int, lo int, hi int, prefix binary")
 
 
+def _later_copies(keyed: DataFrame) -> DataFrame:
+    """``k, t`` of the documents whose whole text a smaller document has as well."""
+    text = F.coalesce("text", F.lit("").cast("binary"))
+    names = keyed.select("k", "t", F.xxhash64("text").alias("x"), F.crc32(text).alias("y"), F.length(text).alias("z"))
+    me, same = F.struct("k", "t"), ["x", "y", "z"]
+    # per text one row, reduced before the shuffle; only texts with several documents meet their documents again
+    first = names.groupBy(*same).agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last")
+    return names.join(first.drop("last"), same).where(me != F.col("first")).select("k", "t").distinct()
+
+
 def _ranges(keyed: DataFrame, length: int) -> DataFrame:
     """``k, t, ranges``: for each document with repeats, the word ranges ``lo, hi`` to remove."""
     if length < ANCHOR + 1:
         raise ValueError(f"windows need more than {ANCHOR} words")
     order = ["h", "k", "t", "s"]
-    rows = anchors(keyed, length).repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order)
+    copies = _later_copies(keyed)
+    rows = anchors(keyed.join(copies, ["k", "t"], "left_anti"), length).repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order)
     # copies of a row give the same anchors: a set keeps one
     found = _repeated(rows).groupBy("k", "t").agg(
         F.array_sort(F.collect_set(F.struct("s", "m", "h", "salt"))).alias("found"))
@@ -258,7 +273,9 @@ def _ranges(keyed: DataFrame, length: int) -> DataFrame:
     walked = (walked.withColumn("_by", F.coalesce("prefix", alone))
               .withColumn("_first", F.min(here).over(Window.partitionBy("_by")))
               .where(F.col("prefix").isNull() | (here != F.col("_first"))))
-    return walked.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    whole = copies.select("k", "t", F.lit(0).alias("lo"), F.lit(WHOLE).alias("hi"))
+    found = walked.select("k", "t", "lo", "hi").unionByName(whole)
+    return found.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -275,7 +292,8 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                 own = words.list(lo, hi)
                 gone = np.zeros(hi - lo, bool)
                 for r in ranges or ():
-                    gone[r["lo"]:r["hi"]] = True
+                    if r["hi"] < WHOLE or hi - lo >= length:  # a copy without a window repeats none
+                        gone[r["lo"]:r["hi"]] = True
                 kept.append(b" ".join([w for w, g in zip(own, gone.tolist()) if not g] if gone.any() else own))
                 removed.append(int(gone.sum()))
             yield pa.RecordBatch.from_pydict({
