@@ -54,8 +54,8 @@ def _shape(data: bytes, words: Words) -> np.ndarray:
     same[1:] = (words.hash[1:] == words.hash[:-1]) & (owner[1:] == owner[:-1])
     repeats = np.bincount(owner[same], minlength=len(n))
     length = np.bincount(owner, weights=words.end - words.start, minlength=len(n))
-    pairs = np.unique(np.stack([owner.astype(np.uint64), words.hash]), axis=1)[0] if len(words) else owner
-    distinct = np.bincount(pairs.astype(np.int64), minlength=len(n))
+    pairs = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (words.hash >> np.uint64(32)))
+    distinct = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(n))
     shares = np.stack([symbols / n, repeats / n, distinct / n, length / n / 12, np.log2(n) / 16], axis=1)
     return np.clip(np.floor(shares * STEPS), 0, STEPS).astype(np.int64)
 
