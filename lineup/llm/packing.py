@@ -35,7 +35,7 @@ from lineup.llm.tokens import WORD_BPE, encoder
 from lineup.session import shared_dir
 
 #: Rows of one length that share a salt, on average; a length gets as many salts as it needs.
-RANK_GROUP = 2000
+RANK_GROUP = 200
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
