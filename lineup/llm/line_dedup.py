@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineup.llm.common import NULL_ID, partitions
+from lineup.session import shared_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -51,6 +52,12 @@ def line_rows(docs: DataFrame) -> DataFrame:
                        (F.crc32("key") * F.lit(1 << 31) + F.char_length("key")).alias("c"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """Compressed keep bitmaps: ``_k, _t, drop_runs`` (array of ``lo, n``) for each
     document that loses lines.
@@ -64,6 +71,9 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_firs
         rows = rows.where(F.pmod("c", F.lit(1 << 31)) >= min_chars)
     rows = (rows.repartitionByRange(partitions(docs.sparkSession), "h", "c", "_k", "_t", "pos")
             .sortWithinPartitions("h", "c", "_k", "_t", "pos"))
+    # written once: the keys and the marks both read them, and two plain scans can be joined
+    # with one very common key dealt to many tasks (an aggregate below the join could not)
+    rows = _written(rows, "lines")
     # one row per (key, document) first, then per key: both reduce inside a partition before the shuffle
     where = F.struct("_k", "_t", "pos")
     per_doc = rows.groupBy("h", "c", *_KEY).agg(F.min("pos").alias("pos"), F.count("*").alias("n_lines"))
@@ -71,7 +81,7 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_firs
     per_doc = per_doc.join(copies, _KEY, "left")
     keys = (per_doc.groupBy("h", "c").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n_docs"),
                                           F.min(where).alias("first")).where(F.col("n_docs") >= min_docs))
-    marked = rows.join(keys, ["h", "c"])
+    marked = rows.join(_written(keys, "line-keys"), ["h", "c"])
     if keep_first:
         marked = marked.where(where != F.col("first"))
     marked = marked.select(*_KEY, "pos").distinct()  # copies of a document give the same rows
