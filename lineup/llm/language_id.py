@@ -9,9 +9,12 @@ n-gram met in any language with the finished log-probability in every language,
 context with its back-off weight.  A text's language is the one with the lowest cross-entropy per
 letter; the words of many texts are scored together, each distinct word once.
 
-The tables hold at most ``MAX_GRAMS`` n-grams per language: beyond that the rarest go, by a cutoff on
-their count over all documents.  At most ``MAX_LANGUAGES`` languages (those with most documents) are
-learned.  Both bound what is broadcast.
+Every n-gram of every language is kept.  Up to ``MAX_CELLS`` highest-order n-grams x languages the tables
+are made on the driver and broadcast.  Larger models never leave Spark: ``score_rows`` derives the
+same probabilities by groupBys, as rows ``key, lang, value`` whose sum over an event's n-grams and
+contexts is its log-probability; distinct words are joined with them, then the texts with the words.
+
+At most ``MAX_LANGUAGES`` languages (those with most n-grams) are learned.
 
 *Calibration.*  One training document in 16 is left out of the counts.  Over all of those the
 share of right answers is taken per bin of the log-likelihood margin between the best two
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,11 @@ from pyspark.sql import types as T
 
 from lineup.llm.common import slices
 from lineup.llm.words import mix, range_hash
+from lineup.session import shared_dir
 
 ORDER = 5
-MAX_GRAMS = 200_000
+#: Highest-order n-grams x languages of a model that is broadcast; larger ones are joined.
+MAX_CELLS = 4_000_000
 MAX_LANGUAGES = 64
 #: Distinct n-grams that a task adds up before it hands them on.
 FLUSH = 400_000
@@ -159,6 +165,7 @@ class Model:
     unseen: np.ndarray | None = None
     limits: np.ndarray | None = None
     right: list[float] = field(default_factory=lambda: [0.5] * (len(MARGINS) + 1))
+    path: str | None = None  # of the written score rows, where the model is too large to be broadcast
 
     def event_scores(self, symbols: np.ndarray, events: np.ndarray) -> np.ndarray:
         """Log-probabilities [events, languages]: the longest n-gram met, with back-off weights."""
@@ -246,9 +253,130 @@ def _levels(langs: np.ndarray, grams: list[str], counts: np.ndarray, languages:
     return model
 
 
+def score_rows(counted: DataFrame) -> DataFrame:
+    """``key, lang, value`` from ``counted(lang, gram, n)``: the model of ``_levels``, one language a row.
+
+    An event's log-probability in a language is the sum of the values of the empty key (the unseen
+    symbol), of its n-grams of every order (``g`` and the symbols) and of their contexts (``c`` and
+    the symbols), as far as the language has them: a context gives its back-off weight, an
+    n-gram what it is likelier than by backing off.
+    """
+    tables = {ORDER: counted.select("lang", "gram", F.col("n").cast("double").alias("c"))}
+    for order in range(ORDER, 1, -1):
+        tables[order - 1] = _save(tables[order].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(
+            F.count("*").cast("double").alias("c")), "continuations")
+    alphabet = tables[1].select("gram").distinct().count() + 1
+    out, below = [], None
+    for order in range(1, ORDER + 1):
+        n1, n2 = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+        discount = F.when(n1 + n2 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5)
+        discounts = tables[order].groupBy("lang").agg(
+            F.greatest(F.lit(0.1), F.least(F.lit(0.95), discount)).alias("d"))  # one row a language
+        rows = tables[order].withColumn("context", F.substring("gram", 1, order - 1))
+        contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+        contexts = contexts.join(F.broadcast(discounts), "lang").select(
+            "lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("weight"))
+        contexts = _save(contexts, "contexts")
+        rows = rows.join(contexts, ["lang", "context"])
+        if order == 1:
+            rows = rows.withColumn("low", F.lit(1 / alphabet))
+            backoff = contexts.select(F.lit("").alias("key"), "lang", F.log(F.col("weight") / alphabet).alias("value"))
+        else:
+            lower = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, order)).join(lower, ["lang", "suffix"])
+            backoff = contexts.select(F.concat(F.lit("c"), "context").alias("key"), "lang", F.log("weight").alias("value"))
+        own = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+        backed = F.col("weight") * F.col("low")
+        below = _save(rows.select("lang", "gram", (own + backed).alias("p"), F.log((own + backed) / backed).alias("value")),
+                      "levels")
+        out += [backoff, below.select(F.concat(F.lit("g"), "gram").alias("key"), "lang", "value")]
+    return reduce(DataFrame.unionAll, out)
+
+
+def _save(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _spell(docs: DataFrame) -> DataFrame:
+    """``docs`` (its ``text`` left out) with ``n_events`` and its distinct ``words`` with their numbers."""
+    at = docs.columns.index("text")
+    keep = [f for f in docs.schema.fields if f.name != "text"]
+    word = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    schema = T.StructType(keep + [T.StructField("n_events", T.LongType()), T.StructField("words", T.ArrayType(word))])
+    arrow = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    def spell(batches: Iterable[pa.RecordBatch]):
+        for rows, texts in slices(batches, max_chars=3_000_000):
+            words = LetterWords(texts)
+            ends = np.cumsum(words.n_events + ORDER - 1)
+            begin = ends - words.n_events
+            found, events = [], []
+            for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                own, n = np.unique(words.inverse[lo:hi], return_counts=True)
+                events.append(int((words.n_events[own] * n).sum()))
+                found.append([{"word": words.padded[begin[i]:ends[i] - 1].astype("<u4").tobytes().decode("utf-32-le"),
+                               "n": c} for i, c in zip(own.tolist(), n.tolist())])
+            cols = [c for i, c in enumerate(rows.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(events, pa.int64()), pa.array(found, arrow)], schema.names)
+
+    return docs.mapInArrow(spell, schema)
+
+
+def _word_keys(batches: Iterable[pa.RecordBatch]):
+    """Rows ``w, key, n`` of words ``w, word``: the keys of ``score_rows`` that a word's events look up."""
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        w, key, n = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(key, pa.string()), pa.array(n, pa.int64())],
+                                          ["w", "key", "n"])
+
+    out: list[tuple] = []
+    for batch in batches:
+        for w, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            padded = START * (ORDER - 1) + word + END
+            found: dict[str, int] = {}
+            for end in range(ORDER, len(padded) + 1):
+                for m in range(1, ORDER + 1):
+                    keys = ("g" + padded[end - m:end], "c" + padded[end - m:end - 1]) if m > 1 else ("g" + padded[end - 1], "")
+                    for key in keys:
+                        found[key] = found.get(key, 0) + 1
+            out += [(w, key, n) for key, n in found.items()]
+            if len(out) > 50_000:
+                yield rows(out)
+                out = []
+    if out:
+        yield rows(out)
+
+
+def _predict_joined(docs: DataFrame, model: Model) -> DataFrame:
+    """``_predict`` with a model of any size: words are joined with its rows, texts with the words.
+    The texts' words are written once, with the row number that the last join is on."""
+    keep = [c for c in docs.columns if c != "text"]
+    spelled = _save(_spell(docs).withColumn("_row", F.monotonically_increasing_id()), "spelled")
+    pairs = spelled.select("_row", F.inline("words")).withColumn("w", F.xxhash64("word"))
+    keys = pairs.select("w", "word").dropDuplicates(["w"]).mapInArrow(_word_keys, "w long, key string, n long")
+    scores = keys.join(docs.sparkSession.read.parquet(model.path), "key").groupBy("w", "lang").agg(
+        F.sum(F.col("n") * F.col("value")).alias("value"))
+    total = pairs.select("_row", "w", "n").join(_save(scores, "words"), "w").groupBy("_row", "lang").agg(
+        F.sum(F.col("n") * F.col("value")).alias("total"))
+    # every language has the context of a word's first letter, and so a row for each text with a word
+    best = total.groupBy("_row").agg(F.slice(F.array_sort(F.collect_list(F.struct(
+        (-F.col("total")).alias("loss"), "lang"))), 1, 2).alias("best"))
+    out = spelled.drop("words").join(best, "_row", "left")
+    low, second = F.get("best", F.lit(0))["loss"], F.get("best", F.lit(1))["loss"]
+    n = F.greatest("n_events", F.lit(1))
+    margin = F.coalesce(second - low, F.log(F.lit(2.0)) * n)
+    # rounded, as Spark adds in any order
+    return out.select(*keep, F.get("best", F.lit(0))["lang"].alias("best"), F.round(low / n, 9).alias("entropy"),
+                      F.round(margin, 6).alias("margin"), "n_events")
+
+
 def _predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (its ``text`` left out) with ``best, entropy, margin, n_events``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS and MAX_LANGUAGES
+    if model.path is not None:
+        return _predict_joined(docs, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CELLS
     keep = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType(keep + [T.StructField("best", T.StringType()), T.StructField("entropy", T.DoubleType()),
                                   T.StructField("margin", T.DoubleType()), T.StructField("n_events", T.LongType())])
@@ -277,32 +405,34 @@ def _bin(margin) -> F.Column:
     return out
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+def _build(counted: DataFrame, max_cells: int, max_languages: int) -> Model | None:
+    """The model of written counts ``lang, gram, n``, every n-gram in it."""
+    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).orderBy(
+        F.desc("n"), "lang").limit(max_languages).collect()
+    languages = sorted(r["lang"] for r in sizes)
+    if not languages:
+        return None
+    counted = counted.where(F.col("lang").isin(languages))
+    if sum(r["grams"] for r in sizes) * len(languages) > max_cells:
+        path = shared_dir(counted.sparkSession, "model")
+        score_rows(counted).write.parquet(path)
+        return Model(languages, path=path)
+    table = counted.select("lang", "gram", "n").toArrow()
+    index = {x: i for i, x in enumerate(languages)}
+    return _levels(np.array([index[x] for x in table.column("lang").to_pylist()]), table.column("gram").to_pylist(),
+                   table.column("n").to_numpy(), languages)
+
+
+def train(docs: DataFrame, max_cells: int = MAX_CELLS, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """A model from ``docs(doc_id, text, lang)``; rows with a NULL text or language teach nothing.
-    None if nothing can be learned.  The driver holds the bounded table."""
+    None if nothing can be learned.  The driver holds the tables up to ``max_cells`` only."""
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     calibrating = F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0
-    counted = count_grams(docs.where(~calibrating).select("text", "lang"))
-    from lineup.session import shared_dir
-    path = shared_dir(docs.sparkSession, "grams")
-    counted.write.parquet(path)
-    counted = docs.sparkSession.read.parquet(path)
-    size = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    languages = sorted(r["lang"] for r in size.collect())
-    if not languages:
-        return None
-    # per language the least count that keeps the table within its bound
-    levels = counted.groupBy("lang", "n").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window as W
-    kept = (levels.withColumn("c", F.sum("c").over(W.partitionBy("lang").orderBy(F.desc("n"))))
-            .where(F.col("c") <= max_grams).groupBy("lang").agg(F.min("n").alias("least")))
-    table = (counted.where(F.col("lang").isin(languages)).join(F.broadcast(kept), "lang")
-             .where("n >= least").select("lang", "gram", "n").toArrow())
-    if not table.num_rows:
+    model = _build(_save(count_grams(docs.where(~calibrating).select("text", "lang")), "grams"), max_cells, max_languages)
+    if model is None:
         return None
+    languages = model.languages
     index = {x: i for i, x in enumerate(languages)}
-    model = _levels(np.array([index[x] for x in table.column("lang").to_pylist()]), table.column("gram").to_pylist(),
-                    table.column("n").to_numpy(), languages)
     aside = _predict(docs.where(calibrating & F.col("lang").isin(languages)).select("text", "lang"), model)
     aside = aside.where("n_events > 0").withColumn("bin", _bin(F.col("margin")))
     right = F.col("best") == F.col("lang")

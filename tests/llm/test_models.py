@@ -103,6 +103,35 @@ def test_kneser_ney_sums_to_one_and_equals_the_definition():
         assert total == pytest.approx(1.0, abs=1e-5)
 
 
+def test_language_model_keeps_every_gram(spark):
+    rng = random.Random(6)  # nearly all words differ, so that rare n-grams are most of the table
+    data = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(60)), "aa") for i in range(900)]
+    data += [(900 + i, "the other tongue", "bb") for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    counted = LI.count_grams(df.where("pmod(xxhash64(doc_id), 16) <> 0").select("text", "lang"))
+    model = LI._build(LI._save(counted, "t-grams"), LI.MAX_CELLS, LI.MAX_LANGUAGES)
+    assert len(model.grams[LI.ORDER - 1][0]) == counted.select("gram").distinct().count()
+
+
+def test_joined_language_model_equals_the_broadcast_one(spark):
+    data = _language_rows(120)
+    odd = [(900, None, "aa"), (901, "", "aa"), (902, "12 %% ", None), (903, "KaToMi", None), (903, "KaToMi", None),
+           (None, "schuber wenich", None), (904, "ich " * 500, "aa"), (905, "漢字漢字 漢字", None)]
+    df = spark.createDataFrame(data + odd, "doc_id long, text string, lang string")
+    small, large = LI.train(df), LI.train(df, max_cells=0)
+    assert small.path is None and large.path is not None and large.languages == small.languages
+    assert large.right == small.right and large.limits == pytest.approx(small.limits, abs=1e-4)
+    a, b = [sorted(LI._predict(df, m).collect(), key=lambda r: (str(r.doc_id), r.n_events)) for m in (small, large)]
+    assert len(a) == len(b) == len(data) + len(odd)
+    for x, y in zip(a, b):
+        assert (x.doc_id, x.n_events) == (y.doc_id, y.n_events)
+        if x.n_events:
+            assert x.best == y.best and y.entropy == pytest.approx(x.entropy, abs=1e-4)
+            assert y.margin == pytest.approx(x.margin, rel=1e-4, abs=1e-3)
+    got = [sorted(map(str, LI.identify(df, m).collect())) for m in (small, large)]
+    assert got[0] == got[1]
+
+
 def test_languages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert LI.train(empty) is None
