@@ -14,7 +14,7 @@ are made on the driver and broadcast.  Larger models never leave Spark: ``score_
 same probabilities by groupBys, as rows ``key, lang, value`` whose sum over an event's n-grams and
 contexts is its log-probability; distinct words are joined with them, then the texts with the words.
 
-At most ``MAX_LANGUAGES`` languages (those with most n-grams) are learned.
+Every language of a training row with a letter is learned.
 
 *Calibration.*  One training document in 16 is left out of the counts.  Over all of those the
 share of right answers is taken per bin of the log-likelihood margin between the best two
@@ -41,7 +41,6 @@ from lineup.session import shared_dir
 ORDER = 5
 #: Highest-order n-grams x languages of a model that is broadcast; larger ones are joined.
 MAX_CELLS = 4_000_000
-MAX_LANGUAGES = 64
 #: Distinct n-grams that a task adds up before it hands them on.
 FLUSH = 400_000
 START, END = "\x02", "\x03"
@@ -405,14 +404,12 @@ def _bin(margin) -> F.Column:
     return out
 
 
-def _build(counted: DataFrame, max_cells: int, max_languages: int) -> Model | None:
+def _build(counted: DataFrame, max_cells: int) -> Model | None:
     """The model of written counts ``lang, gram, n``, every n-gram in it."""
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).orderBy(
-        F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = counted.groupBy("lang").agg(F.count("*").alias("grams")).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return None
-    counted = counted.where(F.col("lang").isin(languages))
     if sum(r["grams"] for r in sizes) * len(languages) > max_cells:
         path = shared_dir(counted.sparkSession, "model")
         score_rows(counted).write.parquet(path)
@@ -423,17 +420,17 @@ def _build(counted: DataFrame, max_cells: int, max_languages: int) -> Model | No
                    table.column("n").to_numpy(), languages)
 
 
-def train(docs: DataFrame, max_cells: int = MAX_CELLS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+def train(docs: DataFrame, max_cells: int = MAX_CELLS) -> Model | None:
     """A model from ``docs(doc_id, text, lang)``; rows with a NULL text or language teach nothing.
     None if nothing can be learned.  The driver holds the tables up to ``max_cells`` only."""
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     calibrating = F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0
-    model = _build(_save(count_grams(docs.where(~calibrating).select("text", "lang")), "grams"), max_cells, max_languages)
+    model = _build(_save(count_grams(docs.where(~calibrating).select("text", "lang")), "grams"), max_cells)
     if model is None:
         return None
     languages = model.languages
     index = {x: i for i, x in enumerate(languages)}
-    aside = _predict(docs.where(calibrating & F.col("lang").isin(languages)).select("text", "lang"), model)
+    aside = _predict(_learned(docs.where(calibrating), model).select("text", "lang"), model)
     aside = aside.where("n_events > 0").withColumn("bin", _bin(F.col("margin")))
     right = F.col("best") == F.col("lang")
     tally = aside.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum(right.cast("int")).alias("good"),
@@ -449,6 +446,12 @@ def train(docs: DataFrame, max_cells: int = MAX_CELLS, max_languages: int = MAX_
     return model
 
 
+def _learned(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows in a language of the model."""
+    known = docs.sparkSession.createDataFrame([(x,) for x in model.languages], "_lang string")
+    return docs.join(F.broadcast(known), F.col("lang") == F.col("_lang"), "left_semi")
+
+
 def identify(docs: DataFrame, model: Model | None, reject: bool = True) -> DataFrame:
     """``docs`` (its ``text`` left out) with ``lang_pred, score`` and ``rejected``.
 
@@ -464,9 +467,11 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = True) -> DataF
     boxed = docs.select(F.struct(*rest, F.lit(1).alias("_")).alias("_rest"), F.col("text").cast("string").alias("text"))
     found = _predict(boxed, model)
     right = F.element_at(F.array(*[F.lit(float(x)) for x in model.right]), _bin(F.col("margin")) + 1)
-    limit = F.create_map(*[F.lit(v) for i, x in enumerate(model.languages) for v in (x, float(model.limits[i]))])
+    limits = docs.sparkSession.createDataFrame(
+        [(x, float(model.limits[i])) for i, x in enumerate(model.languages)], "_best string, _limit double")
+    found = found.join(F.broadcast(limits), F.col("best") == F.col("_best"), "left")  # one row a language
     some = F.col("n_events") > 0
-    rejected = ~some | (F.col("entropy") > F.element_at(limit, F.col("best"))) | (right < 0.5)
+    rejected = ~some | (F.col("entropy") > F.col("_limit")) | (right < 0.5)
     pred = F.when(some & (~rejected if reject else F.lit(True)), F.col("best")).otherwise(F.lit(UNDETERMINED))
     return found.select(*[F.col("_rest").getField(c).alias(c) for c in rest], pred.alias("lang_pred"),
                         F.when(some, right).otherwise(F.lit(0.0)).alias("score"),

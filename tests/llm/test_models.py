@@ -109,7 +109,7 @@ def test_language_model_keeps_every_gram(spark):
     data += [(900 + i, "the other tongue", "bb") for i in range(40)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     counted = LI.count_grams(df.where("pmod(xxhash64(doc_id), 16) <> 0").select("text", "lang"))
-    model = LI._build(LI._save(counted, "t-grams"), LI.MAX_CELLS, LI.MAX_LANGUAGES)
+    model = LI._build(LI._save(counted, "t-grams"), LI.MAX_CELLS)
     assert len(model.grams[LI.ORDER - 1][0]) == counted.select("gram").distinct().count()
 
 
@@ -132,6 +132,19 @@ def test_joined_language_model_equals_the_broadcast_one(spark):
     assert got[0] == got[1]
 
 
+def test_more_than_64_languages(spark):
+    def word(i):
+        return "".join(chr(0x4E00 + 90 * i + j) for j in range(5))
+
+    df = spark.createDataFrame([(40 * i + j, f"{word(i)} {word(i)}", f"l{i:02}") for i in range(70) for j in range(6)],
+                               "doc_id long, text string, lang string")
+    for max_cells in (LI.MAX_CELLS, 0):
+        model = LI.train(df, max_cells=max_cells)
+        assert len(model.languages) == 70
+        got = LI.identify(df, model, reject=False).collect()
+        assert len(got) == 420 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_languages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert LI.train(empty) is None
