@@ -16,10 +16,11 @@ contexts is its log-probability; distinct words are joined with them, then the t
 
 Every language of a training row with a letter is learned.
 
-*Calibration.*  One training document in 16 is left out of the counts.  Over all of those the
-share of right answers is taken per bin of the log-likelihood margin between the best two
+*Calibration.*  One training document in 16 is set aside and a first model made without it.  Over
+all of those the share of right answers is taken per bin of the log-likelihood margin between the best two
 languages, made monotone; that share is the score.  For each language the cross-entropy that
-all but 0.1 % of its left-out documents stay below is the limit for rejection.
+all but 0.1 % of its documents set aside stay below is the limit for rejection.  Then their counts are
+added, and the model that is returned is made from all training documents.
 """
 
 from __future__ import annotations
@@ -425,18 +426,16 @@ def train(docs: DataFrame, max_cells: int = MAX_CELLS) -> Model | None:
     None if nothing can be learned.  The driver holds the tables up to ``max_cells`` only."""
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     calibrating = F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0
-    model = _build(_save(count_grams(docs.where(~calibrating).select("text", "lang")), "grams"), max_cells)
+    parts = [_save(count_grams(docs.where(c).select("text", "lang")), "grams") for c in (~calibrating, calibrating)]
+    counted = _save(parts[0].unionAll(parts[1]).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    model = _build(counted, max_cells)
     if model is None:
         return None
     languages = model.languages
+    first = _build(parts[0], max_cells)
     index = {x: i for i, x in enumerate(languages)}
-    aside = _predict(_learned(docs.where(calibrating), model).select("text", "lang"), model)
-    aside = aside.where("n_events > 0").withColumn("bin", _bin(F.col("margin")))
-    right = F.col("best") == F.col("lang")
-    tally = aside.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum(right.cast("int")).alias("good"),
-                                             F.percentile_approx("entropy", 0.999, 10000).alias("limit")).collect()
     good, n, limits = np.ones(len(MARGINS) + 1), np.full(len(MARGINS) + 1, 2.0), np.full(len(languages), np.inf)
-    for r in tally:
+    for r in _calibrate(docs.where(calibrating), first).collect() if first is not None else []:
         good[r["bin"]] += r["good"]
         n[r["bin"]] += r["n"]
         i = index[r["lang"]]
@@ -446,6 +445,15 @@ def train(docs: DataFrame, max_cells: int = MAX_CELLS) -> Model | None:
     return model
 
 
+def _calibrate(docs: DataFrame, model: Model) -> DataFrame:
+    """``lang, bin, n, good, limit``: what the model says of documents that it has not counted."""
+    aside = _predict(_learned(docs, model).select("text", "lang"), model)
+    aside = aside.where("n_events > 0").withColumn("bin", _bin(F.col("margin")))
+    right = F.col("best") == F.col("lang")
+    return aside.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.sum(right.cast("int")).alias("good"),
+                                            F.percentile_approx("entropy", 0.999, 10000).alias("limit"))
+
+
 def _learned(docs: DataFrame, model: Model) -> DataFrame:
     """The rows in a language of the model."""
     known = docs.sparkSession.createDataFrame([(x,) for x in model.languages], "_lang string")

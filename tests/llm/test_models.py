@@ -145,6 +145,17 @@ def test_more_than_64_languages(spark):
         assert len(got) == 420 and all(r.lang_pred == r.lang for r in got)
 
 
+def test_documents_set_aside_are_counted_in_the_end(spark):
+    data = [(i, t, x) for i, t, x in _language_rows(120)]
+    aside = spark.range(1000, 1200).where("pmod(xxhash64(id), 16) = 0").limit(3).collect()
+    df = spark.createDataFrame(data + [(r.id, "漢字 漢語 字語", "zz") for r in aside], "doc_id long, text string, lang string")
+    for max_cells in (LI.MAX_CELLS, 0):
+        model = LI.train(df, max_cells=max_cells)
+        assert model.languages == ["aa", "bb", "cc", "zz"]
+        got = LI.identify(df.where("lang = 'zz'"), model, reject=False).collect()
+        assert len(got) == 3 and {r.lang_pred for r in got} == {"zz"}
+
+
 def test_languages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert LI.train(empty) is None
