@@ -6,8 +6,8 @@ the last returns one row per packed piece.  Columns beyond ``doc_id`` and ``text
 carried along unread (``n_chars``, if there, follows the text).
 
 NULLs, empty texts, repeated rows and empty tables are treated as the operators'
-docstrings say: a text without a word does not pass the first stage, and rows that share a
-doc_id share the decisions of the third and fourth.
+docstrings say: a text without a word does not pass the first stage, and the third decides
+on rows, also where rows share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lineup.llm.common import boxed, importable, table, unboxed
 from lineup.llm.decontamination import remove_contaminated
 from lineup.llm.line_dedup import dedup_lines
-from lineup.llm.near_dedup import near_duplicates
+from lineup.llm.near_dedup import one_per_group
 from lineup.llm.packing import pack_documents
 from lineup.llm.quality import classify, fit, grade_of
 from lineup.session import shared_dir
@@ -43,10 +43,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: five-word shingles, similarity 0.8; one document of each group stays."""
+    """Operator 10: five-word shingles, similarity 0.8; one row of each group stays."""
     importable(spark)
-    gone = near_duplicates(docs, k=5, similarity=0.8).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return one_per_group(docs, k=5, similarity=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lineup.llm.common import NULL_ID, byte_slices, partitions
+from lineup.llm.common import NULL_ID, boxed, byte_slices, partitions, unboxed
 from lineup.llm.words import SPACED_LOWER, Words, mix
 from lineup.session import shared_dir
 
@@ -61,7 +62,10 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, cls, sig, bands`` per row; ``cls`` is NULL for an empty set."""
+    """``doc_id, n_shingles, cls, sig, bands`` and the columns after ``doc_id, text`` per row;
+    ``cls`` is NULL for an empty set."""
+    more = docs.schema.fields[2:]
+
     def sign(batches: Iterable[pa.RecordBatch]):
         import xxhash
         for rows, texts in byte_slices(batches):
@@ -87,9 +91,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sig[i], bands[i] = low[row].tobytes(), keys[row]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column(0), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()),
-                "sig": pa.array(sig, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                "sig": pa.array(sig, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
+                **{f.name: rows.column(2 + i) for i, f in enumerate(more)}})
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, cls binary, sig binary, bands array<long>")
+    schema = T.StructType.fromDDL("doc_id long, n_shingles long, cls binary, sig binary, bands array<long>")
+    return docs.mapInArrow(sign, T.StructType(schema.fields + more))
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,7 +236,7 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets
     return rows.mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, row: str | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, cls, component_id, kept``.
 
     ``component_id`` is the smallest doc_id of the documents that links reach (``similarity`` or
@@ -238,8 +244,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     A NULL doc_id counts as smaller than any other; NULL, empty and blank texts have an
     empty set and stand alone; repeated rows are copies of each other; rows with one
     doc_id and different texts are compared like others.  An empty table gives an empty result.
+
+    With ``row``, a column of ``docs`` that tells rows apart, the result also has ``row``, ``root`` (the
+    same for the rows that links reach, NULL for an empty set) and ``t``, a hash of the text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carried = [] if row is None else [F.col(row).alias("row"), F.xxhash64("text").alias("t")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     signed = _save(signatures(docs, k), "signatures")
     own = F.coalesce("doc_id", F.lit(NULL_ID))
     classes = signed.where("cls is not null").groupBy("cls").agg(
@@ -261,7 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
             yield pa.RecordBatch.from_pydict({"cls": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                                               "hashes": pa.array(sets, pa.binary())})
 
-    texts = docs.withColumn("_rep", own).join(wanted.distinct(), "_rep", "left_semi").select("text")
+    texts = docs.select("doc_id", "text").withColumn("_rep", own).join(wanted.distinct(), "_rep", "left_semi").select("text")
     sets = _save(texts.mapInArrow(hashes, "cls binary, hashes binary").dropDuplicates(["cls"]), "sets")
 
     floor = similarity - SLACK
@@ -286,9 +296,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
 
     named = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(smallest, "root").select("cls", "component")
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = named.join(smallest, "root").select("cls", "component", "root")
+    more = [] if row is None else ["row", "t"]
+    out = signed.select("doc_id", "n_shingles", "cls", *more).join(named, "cls", "left")
     component = F.coalesce("component", own)
     component = F.when(component != NULL_ID, component)
     return out.select("doc_id", "n_shingles", "cls", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), *(["root", *more] if more else []))
+
+
+def one_per_group(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (all columns) without near copies: of the rows that links reach only the
+    first stays, by doc_id (NULL first), then hash of the text, then row.  Rows with an empty set stay.
+    The rows are written once with a number, so that no decision is made by doc_id."""
+    keyed = _save(boxed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = _save(near_duplicates(keyed, k, similarity, row="_row").select("root", "doc_id", "t", "row"), "found")
+    first = F.min(F.struct("doc_id", "t", "row"))["row"].alias("_row")
+    kept = found.where("root is not null").groupBy("root").agg(first).select("_row").unionAll(
+        found.where("root is null").select("row"))
+    return unboxed(keyed.join(kept, "_row", "left_semi"), docs.columns)

@@ -11,7 +11,7 @@ from lineup.llm import near_dedup as ND
 from lineup.llm import substring_dedup as SD
 from lineup.llm.decontamination import find_contamination, remove_contaminated
 from lineup.llm.line_dedup import dedup_lines, drop_runs
-from lineup.llm.near_dedup import near_duplicates
+from lineup.llm.near_dedup import near_duplicates, one_per_group
 from lineup.llm.substring_dedup import remove_repeats
 
 NULL = -(1 << 63)
@@ -131,6 +131,16 @@ def test_near_duplicates_of_nothing(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 0, 1), (2, 0, 2), (3, 1, 3)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    data = [(1, long[0])] * 3 + [(None, long[1])] * 3 + [(2, long[0] + " x"), (2, long[2]), (None, long[3]), (7, ""), (7, "")]
+    got = one_per_group(frame(spark, data))
+    assert got.columns == frame(spark, data).columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, [
+        (1, long[0]), (None, long[1]), (2, long[2]), (None, long[3]), (7, ""), (7, "")]))
+    assert one_per_group(frame(spark, [])).count() == 0
+
+
 def _contamination(data, items, n=10):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     windows = defaultdict(set)
