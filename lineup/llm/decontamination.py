@@ -8,16 +8,17 @@ verified word by word, and all words inside verified windows are hit.
 
 The set is broadcast only up to ``MAX_WINDOWS`` windows.  A larger benchmark is
 cut into blocks of items of about that size; the documents are scanned once per
-block and the hits of each document are put together by a join.
+block and the hits of each row are put together by a row number written before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineup.llm.common import byte_slices
@@ -89,30 +90,79 @@ def _merge(hits: list[tuple[int, int, list[str]]]) -> tuple[list[str], list[dict
     return sorted({i for h in hits for i in h[2]}), [{"lo": lo, "hi": hi} for lo, hi in spans]
 
 
-def _rows(doc_ids, n_words, items, spans) -> pa.RecordBatch:
-    span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-    return pa.RecordBatch.from_pydict({
-        "doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()),
-        "n_hit": pa.array([sum(s["hi"] - s["lo"] for s in x) for x in spans], pa.int64()),
-        "item_ids": pa.array(items, pa.list_(pa.string())), "hit_spans": pa.array(spans, pa.list_(span))})
+_SPAN = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _scanned(batches: Iterable[pa.RecordBatch], shared) -> Iterable[tuple[pa.RecordBatch, Words, list[tuple]]]:
+    """Slices of the batches with their words, and per row (items, spans)."""
+    windows = shared.value
+    for rows, texts in byte_slices(batches):
+        words = Words(texts, ALNUM_LOWER)
+        per: list[list] = [[] for _ in texts]
+        found = windows.hits(words)
+        owner = np.searchsorted(words.first, [h[0] for h in found], side="right") - 1
+        for d, (lo, m, items) in zip(owner.tolist(), found):
+            per[d].append((lo - int(words.first[d]), m, items))
+        yield rows, words, [_merge(h) if h else ([], []) for h in per]
 
 
 def _scan(docs: DataFrame, shared) -> DataFrame:
+    """RESULT for each row of ``doc_id, text``."""
     def scan(batches: Iterable[pa.RecordBatch]):
-        windows = shared.value
-        for rows, texts in byte_slices(batches):
-            words = Words(texts, ALNUM_LOWER)
-            per: list[list] = [[] for _ in texts]
-            found = windows.hits(words)
-            owner = np.searchsorted(words.first, [h[0] for h in found], side="right") - 1
-            for d, (lo, m, items) in zip(owner.tolist(), found):
-                per[d].append((lo - int(words.first[d]), m, items))
-            merged = [_merge(h) if h else ([], []) for h in per]
-            yield _rows(rows.column(0).to_pylist(), words.count, [m[0] for m in merged], [m[1] for m in merged])
+        for rows, words, merged in _scanned(batches, shared):
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": rows.column(0), "n_words": pa.array(words.count, pa.int64()),
+                "n_hit": pa.array([sum(s["hi"] - s["lo"] for s in m[1]) for m in merged], pa.int64()),
+                "item_ids": pa.array([m[0] for m in merged], pa.list_(pa.string())),
+                "hit_spans": pa.array([m[1] for m in merged], pa.list_(_SPAN))})
 
     return docs.mapInArrow(scan, RESULT)
 
 
+def _scan_hits(docs: DataFrame, shared) -> DataFrame:
+    """``row, item_ids, hit_spans`` for the rows of ``row, text`` with a hit."""
+    def scan(batches: Iterable[pa.RecordBatch]):
+        for rows, _, merged in _scanned(batches, shared):
+            at = pa.array([i for i, m in enumerate(merged) if m[1]], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                rows.column(0).take(at), pa.array([m[0] for m in merged if m[1]], pa.list_(pa.string())),
+                pa.array([m[1] for m in merged if m[1]], pa.list_(_SPAN))], ["row", "item_ids", "hit_spans"])
+
+    return docs.mapInArrow(scan, "row long, item_ids array<string>, hit_spans array<struct<lo: int, hi: int>>")
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, n: int, max_windows: int) -> list:
+    """The benchmark as functions that each broadcast one block of its items."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
+                             F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    # a word has at least one byte and a separator, so this bounds the windows from above
+    total = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
+    blocks = max(1, -(-int(total) // (3 * max_windows)))  # texts have more than 3 bytes a word, mostly
+
+    def block(b: int):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        return spark.sparkContext.broadcast(WindowSet([(r[0], r[1].encode()) for r in part.collect()], n))
+
+    return [partial(block, b) for b in range(blocks)]
+
+
+def _save(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession, "contamination")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written once with a number ``row``, so that every block's scan sees the same ones."""
+    return _save(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _all_hits(numbered: DataFrame, blocks: list) -> DataFrame:
+    """``row, item_ids, hit_spans`` of every block's scan of ``numbered``."""
+    docs = numbered.select("row", "text")
+    return reduce(DataFrame.unionAll, [_save(_scan_hits(docs, block())) for block in blocks])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10,
                        max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_words, n_hit, item_ids, hit_spans``.
@@ -124,47 +174,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-                             F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-
-    # a word has at least one byte and a separator, so this bounds the windows from above
-    total = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
-    blocks = max(1, -(-int(total) // (3 * max_windows)))  # texts have more than 3 bytes a word, mostly
-    results = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = [(r[0], r[1].encode()) for r in part.collect()]
-        results.append(_scan(docs, spark.sparkContext.broadcast(WindowSet(found, n))))
-        if blocks > 1:
-            path = shared_dir(spark, "contamination")
-            results[-1].write.parquet(path)
-            results[-1] = spark.read.parquet(path)
-    if blocks == 1:
-        return results[0]
-
-    # every block has a row for each document row, so each group holds ``copies x blocks`` equal-sized rows
-    merged = results[0]
-    for other in results[1:]:
-        merged = merged.unionByName(other)
-    hit = (merged.where("n_hit > 0").groupBy("doc_id", "n_words")
-           .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-                F.flatten(F.collect_list("hit_spans")).alias("_spans")))
+    blocks = _blocks(spark, benchmark, n, max_windows)
+    if len(blocks) == 1:
+        return _scan(docs, blocks[0]())
+
+    numbered = _numbered(docs)
+    hit = _all_hits(numbered, blocks).groupBy("row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.flatten(F.collect_list("hit_spans")).alias("_spans"))
     # union of the word ranges of the blocks
     hit = hit.withColumn("hit_spans", F.expr(
         "aggregate(array_sort(_spans), cast(array() as array<struct<lo: int, hi: int>>), (acc, s) -> "
         "case when size(acc) > 0 and s.lo <= element_at(acc, -1).hi then concat(slice(acc, 1, size(acc) - 1), "
         "array(named_struct('lo', element_at(acc, -1).lo, 'hi', greatest(element_at(acc, -1).hi, s.hi)))) "
         "else concat(acc, array(s)) end)")).drop("_spans")
-    base = results[0].select("doc_id", "n_words")
-    out = base.join(hit, base["doc_id"].eqNullSafe(hit["doc_id"]) & (base["n_words"] == hit["n_words"]), "left")
-    spans = F.coalesce(hit["hit_spans"], F.expr("cast(array() as array<struct<lo: int, hi: int>>)"))
-    return out.select(base["doc_id"], base["n_words"],
+    base = _save(numbered.select("row", "doc_id", "text").mapInArrow(_count, "row long, doc_id long, n_words long"))
+    out = base.join(hit, "row", "left")
+    spans = F.coalesce("hit_spans", F.expr("cast(array() as array<struct<lo: int, hi: int>>)"))
+    return out.select("doc_id", "n_words",
                       F.aggregate(spans, F.lit(0).cast("long"),
                                   lambda a, s: a + (s["hi"] - s["lo"]).cast("long")).alias("n_hit"),
-                      F.coalesce(hit["item_ids"], F.expr("cast(array() as array<string>)")).alias("item_ids"),
+                      F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"),
                       spans.alias("hit_spans"))
 
 
+def _count(batches: Iterable[pa.RecordBatch]):
+    for rows, texts in byte_slices(batches):
+        n = Words(texts, ALNUM_LOWER).count
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int64())],
+                                         ["row", "doc_id", "n_words"])
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10,
                         max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text holds no window of the benchmark.

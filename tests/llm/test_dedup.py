@@ -180,6 +180,16 @@ def test_contamination(spark, max_windows):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in data if i not in bad)
 
 
+@pytest.mark.parametrize("max_windows", [200_000, 3])
+def test_contamination_is_of_the_row_not_the_doc_id(spark, max_windows):
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(12))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    data = [(i, t) for i in (5, None) for t in (items[1][1], "a b c d e f g h i j k l", items[2][1], None)]
+    want = _contamination(data, items)
+    got = find_contamination(frame(spark, data), bench, max_windows=max_windows).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_hit, r.item_ids)) for r in got)
+
+
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in find_contamination(frame(spark, rows()), none).collect()} == {0}
