@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineup.llm.common import byte_slices
+from lineup.llm.common import boxed, byte_slices, unboxed
 from lineup.llm.words import ALNUM_LOWER, Words
 from lineup.session import shared_dir
 
@@ -131,6 +131,16 @@ def _scan_hits(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(scan, "row long, item_ids array<string>, hit_spans array<struct<lo: int, hi: int>>")
 
 
+def _scan_clean(docs: DataFrame, shared) -> DataFrame:
+    """The rows of ``doc_id, text, _rest`` without a hit."""
+    def scan(batches: Iterable[pa.RecordBatch]):
+        for rows, _, merged in _scanned(batches, shared):
+            text = rows.column(1).cast(pa.large_string()).cast(pa.string())
+            yield rows.set_column(1, "text", text).filter(pa.array([not m[1] for m in merged], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def _blocks(spark: SparkSession, benchmark: DataFrame, n: int, max_windows: int) -> list:
     """The benchmark as functions that each broadcast one block of its items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
@@ -209,9 +219,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10,
                         max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text holds no window of the benchmark.
 
-    The scan and the filter are one pass when the set is broadcast whole.  Rows that
-    share a doc_id go together: one hit removes them all.
+    Every row is judged by its own text.  The scan and the filter are one pass when the set is
+    broadcast whole; otherwise the rows are numbered and those with a hit in any block go by number.
     """
-    found = find_contamination(docs, benchmark, n, max_windows).where("n_hit > 0").select(
-        F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    blocks = _blocks(docs.sparkSession, benchmark, n, max_windows)
+    rows = boxed(docs).withColumn("text", F.col("text").cast("string"))
+    if len(blocks) == 1:
+        return unboxed(_scan_clean(rows, blocks[0]()), docs.columns)
+    numbered = _numbered(rows)
+    clean = numbered.join(_all_hits(numbered, blocks).select("row"), "row", "left_anti")
+    return unboxed(clean, docs.columns)

@@ -188,6 +188,10 @@ def test_contamination_is_of_the_row_not_the_doc_id(spark, max_windows):
     want = _contamination(data, items)
     got = find_contamination(frame(spark, data), bench, max_windows=max_windows).collect()
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_hit, r.item_ids)) for r in got)
+    clean = remove_contaminated(frame(spark, data), bench, max_windows=max_windows)
+    assert clean.dtypes == frame(spark, data).dtypes
+    assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(
+        str(d) for d, w in zip(data, want) if not w[2])
 
 
 def test_contamination_of_nothing(spark):
