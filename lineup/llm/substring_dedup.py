@@ -15,9 +15,9 @@ a depth of ``length`` words or more.  It is split into subtrees that fit a task:
 2. Anchors (a hash and a place, no text) are sorted by hash, document and position over range
    partitions, so even one anchor of a third of all documents spans many.  Those met
    once hold no repeat; the text of the others is cut from the documents.
-3. In a group a suffix array with common-prefix lengths stands for the subtree; adjacent suffixes
-   that share ``length`` words are the leaves below a deep node.  All but its first
-   occurrence are repeats.
+3. In a group the suffixes are sorted and compared by their first ``length`` words only; neighbours
+   that share them are the leaves below one node of that depth.  All but its first occurrence
+   are repeats.  Common-prefix lengths, deeper nodes and maximal repeats are not made.
 4. *Long prefixes.*  An anchor with more than ``GROUP`` segments, or one at the border of a
    range, is split.  Each part resolves its own repeats and sends on the first occurrence of each
    deep prefix only; those meet by the hash of all ``length`` words.  A passage in a third of all
