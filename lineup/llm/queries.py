@@ -171,3 +171,63 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratings = table(spark, sf_dir, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     return classify(docs, fit(docs, ratings)).drop("text")
+
+
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+# the table of CRC-32 and the CRC of each distinct word, byte by byte, stand in for prefix CRCs
+_CRC_STEP = "xor(c >> 1, (c & 1) * 3988292384)"
+
+
+@register("op12_importance_resampling", f"""
+with recursive bits(v, c, k) as (select range, range, 0 from range(256)
+    union all select v, {_CRC_STEP}, k + 1 from bits where k < 8),
+crcs as (select list(c order by v) as t from bits where k = 8),
+d as (select doc_id, coalesce(regexp_extract_all({_LOWER.format('text')},
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as ws from documents),
+dw as (select doc_id, unnest(ws) as w from d),
+bw as (select unnest(regexp_extract_all({_LOWER.format('text')},
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as w from benchmark where text is not null),
+words as (select distinct w from (select w from dw union all select w from bw)),
+hexed as (select w, lower(hex(encode(w))) as x from words),
+bytes as (select w, list_transform(range(1, length(x), 2), lambda i:
+    cast(16 * (strpos('0123456789abcdef', x[i]) - 1) + strpos('0123456789abcdef', x[i + 1]) - 1 as bigint)) as b from hexed),
+bucket as (select w, xor(list_reduce(list_prepend(cast(4294967295 as bigint), b),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 as k from bytes, crcs),
+s as (select k, count(*) as n from dw join bucket using (w) group by k),
+t as (select k, count(*) as n from bw join bucket using (w) group by k),
+sums as (select (select coalesce(sum(n), 0) from s) as sa, (select coalesce(sum(n), 0) from t) as ta),
+gain as (select s.k, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (sa + 10000)::double /
+    ((s.n + 1)::double * (ta + 10000)::double))) as bigint) as g from s left join t using (k), sums),
+wt as (select doc_id, cast(floor(sum(g)::double / count(*)) as bigint) as weight
+    from dw join bucket using (w) join gain using (k) group by doc_id),
+h as (select doc_id, len(ws) as n, coalesce(weight, 0) as weight,
+    cast('0x' || substr(sha256('2024:' || cast(doc_id as varchar)), 1, 8) as bigint) as h
+    from d left join wt using (doc_id)),
+sc as (select doc_id, n, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score
+    from h),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as r from sc where n >= 20),
+m as (select 10 * count(*) // 100 as most from sc where n >= 20)
+select doc_id, cast(n as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+    cast(case when r <= most then r end as bigint) as rank
+from sc left join r using (doc_id), m""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.resampling import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineup.llm.licenses import label_text, scan_licenses
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), label_text(base).alias("base_labels"), label_text(F.col("spans")).alias("labels"),
+        F.when(F.col("n_words") > 0, F.col("covered") / F.col("n_words")).otherwise(0.0).alias("score"))
