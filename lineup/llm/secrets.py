@@ -17,9 +17,9 @@ A weak part says nothing by itself: it is reported only when a complementary
 part (a secret for an identifier, an identifier for a secret, either for an
 endpoint, but strong ones only) lies within ``scope`` code points of it in the same
 document.  That interval join is a sweep: per document the parts are sorted by
-start, and for every part the furthest end of each class before it and the
-nearest start after it are running values.  No pairs are built, whatever the
-number of parts in a document.
+start, and for every part the furthest end of each class before it and, in the same order
+reversed, the nearest start after it are running values.  No pairs are built, and the work of a
+document grows with its parts (and their sorting), whatever their number.
 
 Positions are code points, ends exclusive.  They follow from the lengths of the
 matches and of the text between them (``split`` by the same pattern), so texts never leave
@@ -36,7 +36,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 # maximal runs, so the least length can stand in the pattern
 HEX = r"[0-9a-f]{24,}"
-WEAK_SECRET = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+# whole runs; what they must hold is asked of the match, so no run is read again from each of its places
+WEAK_SECRET = r"[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+"
 
 #: Kinds in the order of listing.
@@ -71,14 +72,14 @@ def find_parts(docs: DataFrame) -> DataFrame:
     row of ``docs(doc_id, text)``; a row without parts (NULL and empty texts too) gives one
     row with a NULL kind.  ``_uid`` numbers the rows, so equal doc_ids stay apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both_cases = F.lit(r"[a-z]"), F.lit(r"[A-Z]")
+    needed = [F.lit(p) for p in ("[0-9]", "[a-z]", "[A-Z]")]
     parts = F.concat(
         _matches(text, ASSIGN, "assign", lambda v: F.char_length(v) >= 6, group=2),
         _matches(text, ACCESS, lambda v: F.when(F.char_length(v) >= 20, F.lit("access")).when(
             F.char_length(v) >= 12, F.lit("weak_access"))),
         _matches(text, HEX, "hex"),
         _matches(text, WEAK_SECRET, "weak_secret",
-                 lambda v: F.regexp(v, both_cases[0]) & F.regexp(v, both_cases[1])),
+                 lambda v: F.regexp(v, needed[0]) & F.regexp(v, needed[1]) & F.regexp(v, needed[2])),
         _matches(text, ENDPOINT, "endpoint"))
     rows = (docs.select(F.monotonically_increasing_id().alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"),
                         parts.alias("_parts"))
@@ -97,7 +98,9 @@ def link_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
     part lies within ``scope`` code points; a weak secret inside a strong part is that part."""
     order = [F.col("start").asc_nulls_first(), F.col("end"), F.col("kind")]
     before = W.partitionBy("_uid").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("_uid").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    # a frame that ends at the last row is made anew for every row; one of the reversed order runs along
+    back = [F.col("start").desc_nulls_last(), F.col("end").desc(), F.col("kind").desc()]
+    after = W.partitionBy("_uid").orderBy(*back).rowsBetween(W.unboundedPreceding, -1)
     classes = {"id": ["access", "weak_access"], "secret": ["assign", "hex", "weak_secret"],
                "strong": list(BASE)}
 
@@ -119,7 +122,11 @@ def link_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id`` and ``spans``, an array of
-    ``start, rank, kind, end`` sorted by start, then kind as listed."""
+    ``start, rank, kind, end`` sorted by start, then kind as listed.
+
+    Defined cases.  A NULL or empty text has no spans; a very long text is read whole, in time that grows with
+    its length; NULL and equal doc_ids and equal rows keep their own results; an empty table gives an
+    empty result; other columns are not read."""
     linked = link_parts(find_parts(docs), scope)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.when(F.col("reported"), F.struct("start", rank.alias("rank"), "kind", "end"))

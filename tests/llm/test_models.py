@@ -328,3 +328,16 @@ def test_hidden_hash_of_spans(spark):
     got = scan_secrets(frame(spark, [(1, 'password = "hunter22"')])).select(
         F.sha2(span_text(F.filter("spans", lambda s: s["kind"].isin(BASE))), 256).alias("h")).first().h
     assert got == hashlib.sha256(b"assign:0:20").hexdigest()
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    """Time grows with the text: 5 million letters without a digit, and 200,000 parts in one document."""
+    import time
+    from pyspark.sql import functions as F
+    from lineup.llm.secrets import scan_secrets
+    parts = "x = 1 " + " ".join(f"token=abcdef{i:06d} http://h{i}.example" for i in range(100_000))
+    data = [(1, "aB" * 2_500_000), (2, parts), (3, "AKIA" + "A" * 12 + " aB3" + "x" * 30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n for r in scan_secrets(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got == {1: 0, 2: 200_000, 3: 2} and time.time() - began < 90
