@@ -1,7 +1,7 @@
 """Line, substring and near-duplicate removal, and decontamination, against brute force."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from cases import frame, rows, words
@@ -83,6 +83,24 @@ def test_substrings_of_repetitive_and_empty_input(spark):
     assert remove_repeats(frame(spark, []), 20).count() == 0
 
 
+def test_substrings_of_rows_that_share_a_doc_id(spark):
+    """Texts are told apart by 128 bits: under one doc_id (or none) the clean ones keep all their words."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    data = [(i, f"a{n} " * 5 + " ".join(f"x{n}y{j}" for j in range(25))) for i in (7, None) for n in range(600)]
+    data += [(9, shared)] * 3 + [(9, shared + " z")] + [(10, shared), (None, shared)]
+    got = Counter((r.doc_id, r.n_removed) for r in remove_repeats(frame(spark, data, False), 20).collect())
+    assert got == {(7, 30): 600, (None, 0): 601, (9, 30): 4, (10, 30): 1}
+
+
+def test_substrings_of_many_equal_rows(spark):
+    """10,000 equal rows are searched once; all get the result of the first."""
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(5, text)] * 10_000 + [(6, text + " more"), (4, "w3 " + text[text.index("w30"):])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(df, 20).collect())
+    assert got == {(5, 60, 30): 10_000, (6, 61, 60): 1, (4, 31, 0): 1}
+
+
 def _classes(data, k, percent=80):
     sets = []
     for i, text in data:
