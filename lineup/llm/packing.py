@@ -15,7 +15,8 @@ one size handled together:
 The plan is a list of slots: "of length L, the items ranked r0 .. r0+n-1 go to
 bins b0, b0+d, ... at offset o".  Its size depends on the capacity, not on the
 number of documents.  Ranks come from per-(length, salt) counts and a row
-number within the salted group, so one very common length is spread over tasks.
+number within the salted group, so one very common length is spread over tasks; the salt is of a
+row's number in the written table, so rows that are equal in everything are spread as well.
 """
 
 from __future__ import annotations
@@ -140,14 +141,19 @@ def cut_pieces(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int | None =
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
-    ``pieces`` must be a written table (it is read twice) whose rows hold at least
-    ``doc_id, piece, start, length, ids_crc32``; rows with a NULL length or one below 1 hold
-    nothing and are left out.  Equal rows are packed as often as they occur.  The driver holds
-    the histogram and the plan, whose sizes depend on the capacity only.
+    ``pieces`` hold at least a ``length``; with a column ``_row`` that numbers the rows they must be a
+    written table (it is read twice), else they are numbered and written here.  Rows with a NULL
+    length or one below 1 hold nothing and are left out.  Equal rows are packed as often as they
+    occur; other columns stay.  The driver holds the histogram and the plan, whose sizes depend on
+    the capacity only.
     """
     spark = pieces.sparkSession
+    if "_row" not in pieces.columns:
+        path = shared_dir(spark, "numbered-pieces")
+        pieces.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        pieces = spark.read.parquet(path)
     pieces = pieces.where("length > 0")
-    salted = pieces.withColumn("_h", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1 << 20)))
+    salted = pieces.withColumn("_h", F.pmod(F.xxhash64("_row"), F.lit(1 << 20)))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan_bins(counts, capacity)
     salts = spark.createDataFrame([(n, -(-c // RANK_GROUP)) for n, c in counts.items()], "length long, _salts long")
@@ -161,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     first = (first.withColumn("_in", F.sum("_n").over(W.partitionBy("length", "_block").orderBy("_salt")) - F.col("_n"))
              .join(block.select("length", "_block", "_b0"), ["length", "_block"])
              .select("length", "_salt", (F.col("_b0") + F.col("_in")).alias("_first")))
-    w = W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    w = W.partitionBy("length", "_salt").orderBy("_row")
     ranked = (salted.withColumn("_row", F.row_number().over(w) - 1).join(first, ["length", "_salt"])
               .withColumn("_rank", F.col("_first") + F.col("_row")).drop("_first", "_row", "_salt"))
 
@@ -183,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
     return (ranked.withColumn("_s", slot_of("length", "_rank"))
             .withColumns({"sequence_id": F.col("_s.sequence_id"), "offset": F.col("_s.offset")})
-            .drop("_s", "_rank"))
+            .drop("_s", "_rank", "_row"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int | None = 1, capacity: int = 4096,
@@ -191,9 +197,12 @@ def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int | Non
     """Tokenise, cut and pack: one row per piece with its sequence and offset.
 
     The pieces are written once to the shared folder, so that texts are encoded once.
-    An empty table gives an empty result.
+    A NULL text is the empty text (its end token alone); a very long text gives as many pieces as it
+    needs; NULL or equal doc_ids and equal rows keep their own pieces; an empty table gives an empty
+    result; columns other than ``doc_id, text`` are not read.
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "pieces")
-    cut_pieces(docs, tokenizer, end_id, capacity, with_tokens).write.parquet(path)
+    pieces = cut_pieces(docs, tokenizer, end_id, capacity, with_tokens)
+    pieces.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     return pack(spark.read.parquet(path), capacity)
