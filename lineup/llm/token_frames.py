@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -131,10 +132,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE, e
     """Encode ``docs(doc_id, text)`` and write the ids in ascending doc_id order
     to at most ``n_files`` files under ``folder``; ``end_id`` ends every document.
 
-    Returns one row per file: ``shard, file, n_docs, n_tokens`` (a written table;
-    files in ascending doc_id order).  A NULL text is the empty text; a NULL
-    doc_id sorts first; rows of one doc_id are ordered by text and stay separate;
-    an empty table writes no file.  Other columns are not read.
+    Returns one row per file: ``shard, file, n_docs, n_tokens, has_null, least, greatest`` (a written
+    table; files in ascending doc_id order; the last two are the file's doc_ids).  A NULL text is the
+    empty text; a very long text is one frame of any length; a NULL doc_id sorts first; rows of one
+    doc_id are ordered by text and stay separate, equal rows are dealt over files by a row
+    number; an empty table writes no file.  Other columns are not read.
     """
     spark = docs.sparkSession
     n_files = n_files or partitions(spark)
@@ -163,13 +165,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = BYTE_BPE, e
             fs.move(temp, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict(
                 {"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": pa.array([len(out.ids)], pa.int64()),
-                 "n_tokens": pa.array([total], pa.int64())})
+                 "n_tokens": pa.array([total], pa.int64()), "has_null": [out.ids[0] is None],
+                 "least": pa.array([next((i for i in out.ids if i is not None), None)], pa.int64()),
+                 "greatest": pa.array([out.ids[-1]], pa.int64())})
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.hash("text"))
+            .repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.hash("text"),
+                                F.monotonically_increasing_id())
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.hash("text"), "text"))
     manifest = f"{folder}/manifest"
-    rows.mapInArrow(encode, "shard int, file string, n_docs long, n_tokens long").write.parquet(manifest)
+    rows.mapInArrow(encode, "shard int, file string, n_docs long, n_tokens long, has_null boolean, least long, "
+                            "greatest long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
@@ -177,20 +183,26 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, doc_
                      with_tokens: bool = True) -> DataFrame:
     """Documents back from the files: ``doc_id, start, n_tokens, ids_crc32, file``
     and ``tokens`` (array) if asked for.  ``start`` counts the ids of all documents before
-    it.  With ``doc_ids`` only their frames are read and decompressed.
+    it.  With ``doc_ids`` only files that can hold one are opened, and only their frames are read
+    and decompressed.
 
     The driver holds one row per file; every frame read is checked against the seek table.
     """
-    files = sorted(manifest.select("shard", "file", "n_tokens").collect())
+    files = sorted(tuple(r) for r in manifest.select("shard", "file", "n_tokens", "has_null", "least", "greatest").collect())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
     schema += ", tokens array<long>" if with_tokens else ""
     if not files:
         return spark.createDataFrame([], schema)
+    wanted = None if doc_ids is None else set(doc_ids)
+    known = sorted(i for i in wanted or () if i is not None)
     bases, at = [], 0
-    for _, file, n in files:
-        bases.append((file, at))
+    for _, file, n, has_null, least, greatest in files:
+        k = 0 if least is None else bisect_left(known, least)
+        if wanted is None or has_null and None in wanted or least is not None and k < len(known) and known[k] <= greatest:
+            bases.append((file, at))
         at += n
-    wanted = None if doc_ids is None else set(doc_ids)
+    if not bases:
+        return spark.createDataFrame([], schema)
 
     def read(batches: Iterable[pa.RecordBatch]):
         fs, root = filesystem(folder)

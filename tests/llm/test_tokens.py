@@ -164,3 +164,34 @@ def test_one_very_common_length_is_split(spark, monkeypatch):
     got = pack(df, 16).collect()
     slots = {(r.sequence_id, r.offset + j) for r in got for j in range(r.length)}
     assert len(slots) == sum(r.length for r in got) and max(o for _, o in slots) < 16
+
+
+def test_equal_rows_are_dealt_over_files_and_files_are_skipped(spark):
+    """A third of the table as one repeated row fills several files; a reader opens those that can hold its ids."""
+    from lineup.llm.token_frames import read_token_files, write_token_files
+    from lineup.session import shared_dir
+    data = [(5, "one two three")] * 3000 + [(i, f"text {i}") for i in range(100, 3100)] + [(None, "none")] * 10
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    folder = shared_dir(spark, "t-equal")
+    manifest = write_token_files(df, folder, n_files=8)
+    files = {r["file"]: r for r in manifest.collect()}
+    assert sum(r["n_docs"] for r in files.values()) == len(data) and max(r["n_docs"] for r in files.values()) < 2000
+    assert sum(r["least"] == 5 == r["greatest"] for r in files.values()) >= 2
+    got = read_token_files(spark, folder, manifest, [2000, None]).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted([("2000", len(got[0].tokens))] + [("None", 2)] * 10) or len(got) == 11
+    opened = read_token_files(spark, folder, manifest, [2000]).rdd.getNumPartitions()
+    assert opened < len(files) and read_token_files(spark, folder, manifest, [-1]).count() == 0
+
+
+def test_equal_rows_are_packed_in_many_tasks(spark):
+    """20,000 empty documents without an id share everything but the salt."""
+    from pyspark.sql import functions as F
+    from lineup.llm import packing as PK
+    rows_ = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                       F.lit(1).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    got = PK.pack(rows_, 64)
+    places = got.select("sequence_id", "offset").distinct().count()
+    assert places == 20_000 and got.agg(F.max("sequence_id")).first()[0] == 20_000 // 64
+    assert "_row" not in got.columns
+    salt = F.pmod(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)), F.lit(100))
+    assert rows_.groupBy(salt).count().agg(F.max("count")).first()[0] < 3 * PK.RANK_GROUP
