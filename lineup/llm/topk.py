@@ -11,8 +11,9 @@ order of their bound and scored until the k-th best score beats every bound left
 row that could enter the result is skipped, whatever the data.  Each task gives at
 most k rows per query; the best k of those are the result.
 
-Queries are broadcast in blocks of ``QUERY_BLOCK`` rows, so nothing that grows with the
-data is broadcast; every block is one pass over the pivot table.  Pivots are chosen from at
+Queries are broadcast in blocks of ``QUERY_BLOCK`` rows.  Every block is one pass over the pivot table, whose
+result is written before the next block is broadcast and its own broadcast released, so neither
+the plan nor what is broadcast grows with the number of queries.  Pivots are chosen from at
 most ``PIVOT_SAMPLE`` rows, which changes the work only.
 """
 
@@ -96,9 +97,8 @@ def pivot_table(vectors: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
     return vectors.mapInArrow(distances, "id long, vec array<double>, dist array<double>")
 
 
-def _search(table: DataFrame, ids: np.ndarray, queries: np.ndarray, dists: np.ndarray, k: int, dim: int) -> DataFrame:
-    shared = table.sparkSession.sparkContext.broadcast((ids, queries, dists))  # one block of queries
-
+def _search(table: DataFrame, shared, k: int, dim: int) -> DataFrame:
+    """``query_id, id, score``: the best ``k`` of every task for the broadcast block of queries."""
     def search(batches: Iterable[pa.RecordBatch]):
         ids, queries, dists = shared.value
         norm = (queries ** 2).sum(1)
@@ -167,20 +167,23 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     asked = stored.where(is_query).select("id", "vec", "dist").groupBy("id").agg(F.min(F.struct("vec", "dist")).alias("v"))
     asked = asked.select("id", "v.vec", "v.dist")
     n = asked.count()
-    found = []
     blocks = -(-n // QUERY_BLOCK)
+    path = shared_dir(spark, "top-k")
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
         t = part.toArrow()
-        if not t.num_rows:
-            continue
-        found.append(_search(stored, t.column(0).to_numpy(), _matrix(t.column(1).combine_chunks(), dim),
-                             _matrix(t.column(2).combine_chunks(), len(pivots)), k, dim))
-    if not found:
+        if t.num_rows:
+            shared = spark.sparkContext.broadcast((
+                t.column(0).to_numpy(), _matrix(t.column(1).combine_chunks(), dim),
+                _matrix(t.column(2).combine_chunks(), len(pivots))))  # one block of queries
+            _best(_search(stored, shared, k, dim), k).write.parquet(f"{path}/block={b}")
+            shared.destroy()
+    if not n:
         return spark.createDataFrame([], schema)
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    return spark.read.parquet(path).select("query_id", "rank", "id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "id", "score"))

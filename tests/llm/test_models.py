@@ -341,3 +341,14 @@ def test_secret_scan_of_very_long_texts(spark):
     began = time.time()
     got = {r.doc_id: r.n for r in scan_secrets(df).select("doc_id", F.size("spans").alias("n")).collect()}
     assert got == {1: 0, 2: 200_000, 3: 2} and time.time() - began < 90
+
+
+def test_topk_plan_does_not_grow_with_the_queries(spark, monkeypatch):
+    from lineup.llm import topk as TK
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, embedding array<double>")
+    plans = []
+    for block in (60, 7):
+        monkeypatch.setattr(TK, "QUERY_BLOCK", block)
+        found = top_k(df, F.lit(True), 3)
+        plans.append((found._jdf.queryExecution().executedPlan().toString().count("FileScan"), sorted(map(tuple, found.collect()))))
+    assert plans[0] == plans[1] and plans[0][0] == 1
