@@ -88,6 +88,26 @@ def join_odds(schedule: DataFrame, consensus: DataFrame,
     return j.withColumns(cols).drop("_ho", "_ao")
 
 
+def closing_quotes(schedule: DataFrame, quotes: DataFrame, key: str = "game_id", tip_off: str = "commence_time",
+                   seen: str = "snapshot_ts", book: str = "bookmaker") -> DataFrame:
+    """J-1 as of tip-off: for every game and bookmaker that ever quoted it the last quote seen before
+    the game starts (NULL prices if all came later).  ``quotes`` hold decimal prices.  The pairs come from
+    the quotes themselves, so no game is multiplied by all bookmakers."""
+    from lineup.operators.asof import asof_join
+    pairs = schedule.select(key, tip_off).join(quotes.select(key, book).distinct(), key)
+    return asof_join(pairs, quotes, [key, book], tip_off, seen, [seen, "home_odds", "away_odds"])
+
+
+def closing_odds(schedule: DataFrame, quotes: DataFrame, key: str = "game_id", **names) -> DataFrame:
+    """The schedule with the mean closing price of each side over its bookmakers, how many had quoted in
+    time, and when the newest of those quotes was seen; games never quoted keep NULLs."""
+    seen = names.get("seen", "snapshot_ts")
+    closing = closing_quotes(schedule, quotes, key, **names).groupBy(key).agg(
+        F.avg("home_odds").alias("home_odds"), F.avg("away_odds").alias("away_odds"), F.count(seen).alias("n_books"),
+        F.max(seen).alias("last_seen"))
+    return schedule.join(closing, key, "left")
+
+
 def team_dimension(spark: SparkSession) -> DataFrame:
     """The fixed 30-row name -> abbreviation table."""
     return spark.createDataFrame(TEAM_ABBREVIATIONS, "team_full_name string, team_abbr string")

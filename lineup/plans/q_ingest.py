@@ -206,19 +206,39 @@ TEAM_SEASON_SQL = ("with " + cte_team_games() +
 
 @register("multi_file_union", "select * from (" + TEAM_SEASON_SQL + ") where season_id in (1996, 1997, 1999)")
 def multi_file_union(spark, sf_dir):
-    """S12 + U2: one stats file set per season; a list of seasons is read in one scan, missing seasons skipped."""
+    """S12 + U2: one stats file set per season.  A season with reordered and differently written columns is
+    read by name, one without a needed column and one that does not exist are set aside."""
     tg = G.team_games(derive.games(spark, sf_dir))
     stats = tg.groupBy("team_name", "season_id").agg(
         F.count(F.lit(1)).alias("games"), F.sum(F.col("win").cast("int")).alias("wins"),
         F.sum("pts_for").alias("points"))
     base = shared_dir(spark, "team_stats")
-    FS.write_csv(stats, base, partition_by="season_id")
-    paths = [f"{base}/season_id={s}" for s in (1996, 1997, 1999, 2030)]  # 2030 does not exist
+    layouts = {1996: ["team_name", "games", "wins", "points"], 1997: ["points", " Team Name", "WINS", "other", "games"],
+               1998: ["team_name", "games", "points"], 1999: ["wins", "points", "games", "team_name"]}
+    for season, names in layouts.items():
+        rows = stats.where(F.col("season_id") == season).withColumn("other", F.lit("x, y"))
+        rows = rows.select(*[F.col(FS.normalize_headers([n])[0]).alias(n) for n in names])
+        FS.write_csv(rows, f"{base}/season_id={season}")
+    paths = [f"{base}/season_id={s}" for s in (1996, 1997, 1998, 1999, 2030)]  # 1998 lacks the wins, 2030 does not exist
     back = FS.read_many(spark, paths, "team_name string, games long, wins long, points long")
     season = F.regexp_extract(F.col("source_file"), r"season_id=(\d+)", 1).cast("int")
     return back.withColumn("season_id", season).select("team_name", "season_id", "games", "wins", "points")
 
 
+@register("season_upsert", "with " + derive.cte_games() + " select game_id, season_id, cast(case when season_id = 1997 then "
+          "pts_home + 1000 else pts_home end as int) as pts_home, pts_away from games where season_id <> 1997 or game_id % 3 <> 0")
+def season_upsert(spark, sf_dir):
+    """S10 + S11: all seasons are written, then a corrected 1997 (other points, fewer games) twice: it
+    replaces itself, and the other seasons stay."""
+    g = derive.games(spark, sf_dir).select("game_id", "season_id", "pts_home", "pts_away")
+    path = shared_dir(spark, "games_upsert")
+    FS.write_parquet(g, path, partition_by="season_id")
+    again = g.where("season_id = 1997 and game_id % 3 <> 0").withColumn("pts_home", F.col("pts_home") + 1000)
+    for _ in range(2):
+        FS.write_parquet(again, path, partition_by="season_id")
+    return spark.read.parquet(path).select("game_id", "season_id", "pts_home", "pts_away")
+
+
 @register("fresh_files", "with " + derive.cte_bets() + " select 'now' as seen_from, bet_id, bet_date from bets")
 def fresh_files(spark, sf_dir):
     """Only rows of files modified within the last 7 days: all of them seen from

@@ -180,3 +180,44 @@ def team_profile_features(spark, sf_dir):
     tg = G.team_games(derive.games(spark, sf_dir)).select(
         "game_id", F.col("team_abbrev").alias("team"), "is_home")
     return M.team_profile_features(tg).select(*PROFILE_COLS)
+
+
+#: Snapshots of the feed: hour of the game's day when it was seen, and price movement.  The second falls
+#: before, on or after the start, the third always after it.
+CLOSING_SNAPSHOTS = [("12", 0), ("(16 + (o_orderkey * 7) % 12)", 29), ("30", 58)]
+
+
+def _seen_sql(hour: str, dialect: str) -> str:
+    day = "cast(cast(o_orderdate as date) as timestamp)"
+    return f"timestampadd(HOUR, {hour}, {day})" if dialect == "spark" else f"{day} + to_hours(cast({hour} as integer))"
+
+
+def _closing_sql() -> str:
+    parts = " union all ".join(
+        "select * from (with " + derive.cte_odds_rows(move) + f" select r.game_id, bookmaker, {_seen_sql(hour, 'duckdb')} as "
+        "seen, " + _decimal_sql("home_odds") + " as ho, " + _decimal_sql("away_odds") + " as ao from odds_rows r join orders "
+        "on r.game_id = cast(o_orderkey as varchar))" for hour, move in CLOSING_SNAPSHOTS)
+    tip = "cast(cast(o_orderdate as date) as timestamp) + to_hours(cast(16 + o_orderkey % 12 as integer))"
+    return ("with q as (" + parts + "), s as (select cast(o_orderkey as varchar) as game_id, " + tip + " as commence_time "
+            "from orders), p as (select distinct game_id, bookmaker from q), l as (select s.game_id, p.bookmaker, "
+            "q.seen, q.ho, q.ao from s join p using (game_id) asof left join q on s.game_id = q.game_id and p.bookmaker "
+            "= q.bookmaker and s.commence_time > q.seen), g as (select game_id, avg(ho) as home_odds, avg(ao) as "
+            "away_odds, count(seen) as n_books, max(seen) as last_seen from l group by 1) select s.game_id, "
+            "s.commence_time, home_odds, away_odds, n_books, last_seen from s left join g using (game_id)")
+
+
+@register("closing_odds_join", _closing_sql(), doubles=["home_odds", "away_odds"])
+def closing_odds_join(spark, sf_dir):
+    """J-1 as of tip-off: of three snapshots of every game's feed the last quote of each bookmaker before
+    the start, averaged per game and joined to the schedule."""
+    quotes = None
+    for hour, move in CLOSING_SNAPSHOTS:
+        docs = derive.read(spark, sf_dir, "orders", spread_rows=True).selectExpr(
+            f"{_seen_sql(hour, 'spark')} as snapshot_ts", f"{derive.odds_doc_sql(move)} as doc")
+        rows = M.decimal_quotes(flatten_odds(docs, keep=("snapshot_ts",))).select(
+            "game_id", "bookmaker", "snapshot_ts", "home_odds", "away_odds")
+        quotes = rows if quotes is None else quotes.unionByName(rows)
+    schedule = derive.read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) as game_id",
+                                                               f"{derive.COMMENCE_TS} as commence_time")
+    out = M.closing_odds(schedule, quotes)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("commence_time", "last_seen")})

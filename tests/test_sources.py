@@ -112,3 +112,57 @@ def test_year_filters(spark):
     typed = df.withColumn("d", F.to_date(F.lit("2021-03-01")))
     plan = typed.where(FL.date_year(typed, "d", 2021, 2021))._jdf.queryExecution().optimizedPlan().toString()
     assert "year(" not in plan
+
+
+def test_csv_files_are_aligned_by_name(spark):
+    import gzip
+    base = shared_dir(spark, "t_headers").removeprefix("file:")
+    os.makedirs(f"{base}/sub")
+    put = {"a.csv": "team_name,games,wins\nX,10,4\n", "b.csv": "\ufeffWins, Team Name ,Games\n4,Y,10\n",
+           "c.csv": "team_name,games\nZ,1\n", "d.csv": "", "e.csv": 'wins,"team_name",note,games\n5,"V, W","a ""b""",11\n',
+           "f.csv": "wins,wins,team_name,games\n1,2,Q,3\n", "sub/h.csv": "games,wins,team_name\n7,6,S\n", "_hidden.csv": "x\n1\n"}
+    for name, text in put.items():
+        with open(f"{base}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    with gzip.open(f"{base}/g.csv.gz", "wt") as f:
+        f.write("wins,games,team_name\n8,9,G\n")
+    schema = "team_name string, wins int, games int"
+    df, rejected = FS.scan_csv(spark, [base, f"{base}/none"], schema, source_col="src")
+    assert {(r.team_name, r.wins, r.games) for r in df.collect()} == {
+        ("X", 4, 10), ("Y", 4, 10), ("V, W", 5, 11), ("S", 6, 7), ("G", 8, 9)}
+    assert {(os.path.basename(p), why) for p, why in rejected} == {
+        ("c.csv", "lacks wins"), ("d.csv", "empty"), ("f.csv", "repeats a column"), ("none", "missing")}
+    assert {os.path.basename(r.src) for r in df.collect()} == {"a.csv", "b.csv", "e.csv", "g.csv.gz", "h.csv"}
+    loose, _ = FS.scan_csv(spark, [base], schema, required=["team_name"])
+    assert ("Z", None, 1) in {(r.team_name, r.wins, r.games) for r in loose.collect()}
+    assert [tuple(r) for r in FS.read_csv(spark, f"{base}/b.csv", schema).collect()] == [("Y", 4, 10)]
+    with pytest.raises(ValueError):
+        FS.read_csv(spark, base, schema)
+    with pytest.raises(ValueError):
+        FS.scan_csv(spark, [f"{base}/c.csv"], schema)
+    bad = spark.createDataFrame([("1,x",), ("2,3,4",)], "value string")
+    bad.coalesce(1).write.text(f"{base}/bad")
+    assert FS.read_csv(spark, f"{base}/a.csv", schema + ", _corrupt_record string").columns[-1] == "_corrupt_record"
+
+
+def test_a_partition_written_again_replaces_itself_only(spark):
+    for write, read in ((FS.write_parquet, lambda p: spark.read.parquet(p)),
+                        (FS.write_csv, lambda p: FS.read_csv(spark, p, "id int, season int"))):
+        path = shared_dir(spark, "t_upsert")
+        write(spark.createDataFrame([(1, 2020), (2, 2021)], "id int, season int"), path, "season")
+        for _ in range(2):
+            write(spark.createDataFrame([(3, 2021), (4, 2022)], "id int, season int"), path, "season")
+        assert sorted((r.id, r.season) for r in read(path).collect()) == [(1, 2020), (3, 2021), (4, 2022)]
+        broken = spark.createDataFrame([(5, 2020), (6, 2022)], "id int, season int").withColumn(
+            "id", F.when(F.col("id") == 6, F.raise_error(F.lit("stop"))).otherwise(F.col("id")))
+        with pytest.raises(Exception):
+            write(broken, path, "season")
+        assert sorted((r.id, r.season) for r in read(path).collect()) == [(1, 2020), (3, 2021), (4, 2022)]
+
+
+def test_freshness_in_parts_of_an_hour(spark):
+    path = shared_dir(spark, "t_fresh")
+    FS.write_parquet(spark.range(3).coalesce(1).toDF("id"), path)
+    df = spark.read.parquet(path)
+    ahead = dt.datetime.now(dt.timezone.utc) + dt.timedelta(minutes=30)
+    assert FS.fresh_only(df, 0.6 / 24, ahead).count() == 3 and FS.fresh_only(df, 0.4 / 24, ahead).count() == 0
