@@ -63,3 +63,38 @@ def consensus_from_quotes(quotes: DataFrame) -> DataFrame:
         F.max(F.struct("snapshot_ts", "commence_time"))["commence_time"].alias("commence_time"),
         F.avg("home_odds").alias("home_odds"), F.avg("away_odds").alias("away_odds"),
         F.count(F.lit(1)).alias("n_books"))
+
+
+def window_consensus(quotes: DataFrame, width: str = "15 minutes") -> DataFrame:
+    """R1 + A23 per window of event time: mean decimal price of each side, quotes and newest snapshot of
+    every (window, game), over rows that are distinct in (game, bookmaker, snapshot).  The same
+    for a batch and for a stream."""
+    decimal = decimal_quotes(quotes)
+    return (decimal.groupBy(F.window("snapshot_ts", width).alias("w"), "game_id").agg(
+        F.avg("home_odds").alias("home_odds"), F.avg("away_odds").alias("away_odds"),
+        F.count(F.lit(1)).alias("n_quotes"), F.max("snapshot_ts").alias("last_seen"))
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "game_id", "home_odds",
+                "away_odds", "n_quotes", "last_seen"))
+
+
+def windows_stream(spark: SparkSession, source: str, width: str = "15 minutes", lateness: str = "2 hours",
+                   files_per_trigger: int = 4) -> DataFrame:
+    """Streaming windows of the feed, each given once, when the watermark has passed its end.
+
+    A file that arrives twice, or a snapshot that overlaps another, repeats (game, bookmaker, snapshot):
+    only the first such row counts (``dropDuplicatesWithinWatermark``, whose state goes with the
+    watermark).  Rows older than the newest snapshot by more than ``lateness`` are dropped by both
+    operators.  The watermark stands before the flatten, so that a document without games
+    still moves time on."""
+    snaps = (spark.readStream.schema(SNAPSHOT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(source)
+             .withWatermark("snapshot_ts", lateness))
+    rows = flatten_odds(snaps, "doc", keep=("snapshot_ts",))
+    return window_consensus(rows.dropDuplicatesWithinWatermark(["game_id", "bookmaker", "snapshot_ts"]), width)
+
+
+def run_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, **kw) -> None:
+    """Run the windows to completion (``availableNow``) in append mode into a Parquet sink, which
+    commits every micro-batch once."""
+    q = (windows_stream(spark, source, **kw).writeStream.outputMode("append").format("parquet")
+         .option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start())
+    q.awaitTermination()

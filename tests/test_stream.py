@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineup.plans import derive
 from lineup.session import shared_dir
 from lineup.sources.odds_json import flatten_odds
-from lineup.streaming.odds_stream import consensus_from_quotes, latest_quotes, run_quotes
+from lineup.streaming.odds_stream import consensus_from_quotes, latest_quotes, run_quotes, run_windows, window_consensus
 
 
 def _write(spark, src, time, docs):
@@ -64,3 +64,26 @@ def test_one_sided_and_empty_books_are_tolerated(spark):
     rows = {r.bookmaker: r for r in flatten_odds(spark.createDataFrame([(d,) for d in docs], "doc string")).collect()}
     assert rows["one"].home_odds == -150 and rows["one"].away_odds is None
     assert rows["none"].home_odds is None and rows["none"].away_odds is None
+
+
+def test_windows_equal_their_batch_form(spark):
+    """Duplicates count once, late rows are dropped, open windows are not given, and a second run goes on."""
+    src, sink, ck = (shared_dir(spark, f"t_win_{n}") for n in ("src", "out", "ck"))
+
+    def feed(rows):
+        for time, doc in rows:
+            _write(spark, src, time, spark.createDataFrame([(doc,)], "doc string"))
+        run_windows(spark, src, sink, ck, lateness="30 minutes", files_per_trigger=1)
+        return {(str(r.window_start)[11:16], r.game_id): (r.home_odds, r.n_quotes) for r in spark.read.parquet(sink).collect()}
+
+    on_time = [("2024-01-01 10:00:00", _doc(100)), ("2024-01-01 10:05:00", _doc(200)), ("2024-01-01 10:05:00", _doc(200)),
+               ("2024-01-01 10:16:00", _doc(300)), ("2024-01-01 10:01:00", _doc(500, book="b2"))]
+    # with two stateful operators a row is late by the watermark before the last one: one batch lies between
+    first = feed(on_time + [("2024-01-01 12:00:00", _doc(100, game="g2")), ("2024-01-01 12:01:00", "[]"),
+                            ("2024-01-01 10:02:00", _doc(900, book="b3"))])
+    assert first == {("10:00", "g1"): (pytest.approx((2 + 3 + 6) / 3), 3), ("10:15", "g1"): (4.0, 1)}
+    second = feed([("2024-01-01 10:03:00", _doc(900, book="b4")), ("2024-01-01 15:00:00", "[]"), ("2024-01-01 15:01:00", "[]")])
+    assert second == first | {("12:00", "g2"): (2.0, 1)}
+    rows = spark.createDataFrame(on_time, "ts string, doc string").select(F.col("ts").cast("timestamp").alias("snapshot_ts"), "doc")
+    batch = window_consensus(flatten_odds(rows, keep=("snapshot_ts",)).dropDuplicates(["game_id", "bookmaker", "snapshot_ts"]))
+    assert {(str(r.window_start)[11:16], r.game_id): (r.home_odds, r.n_quotes) for r in batch.collect()} == first
