@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineup.config import StakeConfig
 from lineup.functions import odds as O
+from lineup.operators.sequence import ranked
 
 REQUIRED = ("best_bet_prob", "best_bet_odds", "best_bet_edge")
 
@@ -36,9 +37,11 @@ def bet_sizes(edges: DataFrame, bankroll, cfg: StakeConfig = StakeConfig()) -> D
 
 
 def rank_bets(bets: DataFrame, group=("game_date",), tie: str = "game_id") -> DataFrame:
-    """A day's bets with the highest expected value first: rows of a day share a
-    partition and are sorted there (a total order with ``tie``)."""
-    return bets.repartition(*group).sortWithinPartitions(*group, F.desc("expected_value"), F.col(tie))
+    """A day's bets with the highest expected value first, ``rank`` from 1 (a total order with
+    ``tie``).  The rank comes from counts of value ranges, so a day of very many bets, or all bets
+    without a date, are spread over tasks, for the ranking and for the sort by (day, rank)."""
+    return ranked(bets, list(group), "expected_value", tie).repartitionByRange(*group, "rank").sortWithinPartitions(
+        *group, "rank")
 
 
 def return_distribution(totals: DataFrame, value: str, group=()) -> DataFrame:
@@ -76,7 +79,6 @@ def daily_report(bets: DataFrame, group=("game_date",), key: str = "game_id") ->
     """Every game of a day as a record, best expected value first (``rank``
     from 1).  One row per game, so no list grows inside a day; ``daily_totals`` has the
     day's sums."""
-    w = Window.partitionBy(*group).orderBy(F.desc("expected_value"), F.col(key))
-    return bets.withColumn("rank", F.row_number().over(w)).select(
+    return ranked(bets, list(group), "expected_value", key).select(
         *group, "rank", key, "home_team", "away_team", "best_bet_team", "best_bet_odds", "best_bet_edge",
         "recommended_bet", "stake_amount", "expected_value")
