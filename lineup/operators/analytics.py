@@ -180,7 +180,7 @@ def target_correlation(features: DataFrame, target: str = "target_win", exclude=
     one pass (pairwise-complete, as pandas), one row per feature."""
     cols = [c for c in numeric_columns(features, exclude) if c != target]
     t = F.col(target).cast("double")
-    row = features.agg(*[F.corr(F.col(c).cast("double"), t).alias(c) for c in cols])
+    row = features.agg(*[_pearson(F.col(c).cast("double"), t).alias(c) for c in cols])
     stack = F.expr("stack({n}, {args}) as (feature, correlation)".format(
         n=len(cols), args=", ".join(f"'{c}', `{c}`" for c in cols)))
     return row.select(stack)
@@ -196,16 +196,68 @@ def ranked_correlation(corr: DataFrame, top: int = 15, bottom: int = 10) -> Data
     return r.withColumn("part", part).drop("_n")
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Aggregate: correlation over rows where both are there; NULL (no error) where one has no spread."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # partial variances may leave rounding
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))))
+
+
 def correlation_matrix(features: DataFrame, target: str = "target_win", exclude=("game_id",)) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, target included, in
-    one pass: ``feature_a, feature_b, correlation`` with both orders and the diagonal."""
+    one pass: ``feature_a, feature_b, correlation`` with both orders and the diagonal.  A pair counts the
+    rows in which neither is NULL; NULL where a column has no spread in them, else NaN where they hold
+    a NaN or an infinity.
+
+    An aggregate for every pair would make a plan that grows with the square of the columns.  Instead each
+    task adds up five matrices (rows of both, sums and squares of one beside the other, products) over
+    blocks of rows, and the sums of a pair are added by one aggregate.  Columns are shifted by their
+    mean first, so that no digits are lost to large values."""
     cols = sorted(numeric_columns(features, exclude))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    x = {c: F.col(c).cast("double") for c in cols}
-    row = features.agg(*[F.corr(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(p).alias("feature_a"), F.lit(q).alias("feature_b"), F.col(f"c{i}").alias("correlation"))
-                      for i, (a, b) in enumerate(pairs) for p, q in dict.fromkeys([(a, b), (b, a)])])
-    return row.select(F.inline(cells))
+    x = features.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    n = len(cols)
+    finite = [F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")) for c in cols]
+    means = x.select(F.array(*[F.avg(v) for v in finite]).alias("m")).select("m").scalar()
+    rows = x.select(F.array(*[F.col(f"`{c}`") for c in cols]).alias("v")).withColumn("m", means)
+
+    def moments(batches):
+        import numpy as np
+        import pyarrow as pa
+        total = np.zeros((5, n, n))
+        broken = np.zeros((n, n))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                flat = part.column(0).flatten()
+                v = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, n)
+                here = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n)
+                shift = part.column(1).slice(0, 1).flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+                bad = here & ~np.isfinite(v)
+                mask = (here & ~bad).astype(float)
+                v = np.where(mask > 0, v - shift, 0.0)
+                broken += bad.T.astype(float) @ here
+                total += [mask.T @ mask, v.T @ mask, mask.T @ v, (v * v).T @ mask, v.T @ v]
+        a, b = np.triu_indices(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array((broken + broken.T)[a, b]), *[pa.array(m[a, b]) for m in total],
+             pa.array(total[3].T[a, b])], ["a", "b", "bad", "n", "sx", "sy", "sxx", "sxy", "syy"])
+
+    names = ["bad", "n", "sx", "sy", "sxx", "sxy", "syy"]
+    sums = rows.mapInArrow(moments, "a long, b long, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in names])
+    mx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    my = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    xy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    # what rounding leaves of a constant column is no spread
+    spread = (mx > 1e-12 * F.col("sxx")) & (my > 1e-12 * F.col("syy"))
+    value = F.when((F.col("n") > 1) & spread, F.when(F.col("bad") > 0, float("nan")).when(
+        F.col("a") == F.col("b"), 1.0).otherwise(xy / F.sqrt(mx * my)))
+    name = F.array(*map(F.lit, cols))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    cells = sums.select(F.explode(both).alias("p"), value.alias("correlation"))
+    return cells.select(F.get(name, F.col("p.a").cast("int")).alias("feature_a"),
+                        F.get(name, F.col("p.b").cast("int")).alias("feature_b"), "correlation")
 
 
 def top_correlation_matrix(matrix: DataFrame, target: str = "target_win", n: int = 10) -> DataFrame:

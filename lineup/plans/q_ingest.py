@@ -278,7 +278,8 @@ def _quality_sql() -> str:
         "else 'warn' end from dup union all select 'teams_missing', cast(n as varchar), case when n = 0 then 'ok' "
         "else 'warn' end from miss union all select 'team_names_inconsistent', "
         "cast(n as varchar), case when n = 0 then 'ok' else 'warn' end from odd union all select 'feature_records', "
-        "cast(n as varchar), 'ok' from feats union all select 'latest_date', cast(hi as varchar), 'ok' from feats union all select 'odds_out_of_range', cast(n as varchar), case when "
+        "cast(n as varchar), 'ok' from feats union all select 'latest_date', cast(feats.hi as varchar), case when feats.hi >= "
+        "g.hi then 'ok' else 'warn' end from feats, g union all select 'odds_out_of_range', cast(n as varchar), case when "
         "n = 0 then 'ok' else 'warn' end from bad union all select 'odds_missing', cast(m as varchar), case when "
         "m = 0 then 'ok' else 'warn' end from bad")
 
@@ -291,3 +292,33 @@ def data_quality(spark, sf_dir):
     games = derive.games(spark, sf_dir).withColumn("team_name_home", F.when(
         F.col("game_id") % 101 == 0, F.upper("team_name_home")).otherwise(F.col("team_name_home")))
     return Q.data_quality(games, features_final(spark, sf_dir), derive.predictions(spark, sf_dir), teams)
+
+
+#: Planted holes: a team without games in a month of a season, and one without any in another season.
+HOLES = ("season_id = 1996 and month(game_date) = 3 and 'LAL' in (team_abbreviation_home, team_abbreviation_away) or "
+         "season_id = 1997 and 'BOS' in (team_abbreviation_home, team_abbreviation_away)")
+MIN_MISSING = 9
+
+
+def _gaps_sql() -> str:
+    from lineup.constants import TEAM_ABBREVIATIONS
+    teams = ", ".join(f"('{a}')" for _, a in TEAM_ABBREVIATIONS)
+    return (
+        "with " + derive.cte_games() + ", kept as (select * from games where not (" + HOLES + ")), teams(team) as (values "
+        + teams + "), days as (select season_id as season, game_date as day, row_number() over (partition by season_id "
+        "order by game_date) as i from (select distinct season_id, game_date from kept)), played as (select distinct "
+        "season_id as season, game_date as day, unnest([team_abbreviation_home, team_abbreviation_away]) as team from kept), "
+        "spine as (select team, season, day, i from teams, days), absent as (select *, i - row_number() over (partition by "
+        "team, season order by i) as run from spine s where not exists (select 1 from played p where p.team = s.team and "
+        "p.season = s.season and p.day = s.day)) select team, season, min(day) as gap_start, max(day) as gap_end, "
+        f"cast(count(*) as int) as missing_days from absent group by team, season, run having count(*) >= {MIN_MISSING}")
+
+
+@register("calendar_gaps", _gaps_sql())
+def calendar_gaps(spark, sf_dir):
+    """Missing spans of every team on the season's game days, planted holes and a team absent all season among them."""
+    from lineup.constants import TEAM_ABBREVIATIONS
+    games = derive.games(spark, sf_dir).where(F.expr(f"not ({HOLES})"))
+    rows = games.select("season_id", "game_date", F.explode(F.array(
+        "team_abbreviation_home", "team_abbreviation_away")).alias("team_name"))
+    return Q.calendar_gaps(rows, MIN_MISSING, teams=[a for _, a in TEAM_ABBREVIATIONS])
