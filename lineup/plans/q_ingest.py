@@ -322,3 +322,31 @@ def calendar_gaps(spark, sf_dir):
     rows = games.select("season_id", "game_date", F.explode(F.array(
         "team_abbreviation_home", "team_abbreviation_away")).alias("team_name"))
     return Q.calendar_gaps(rows, MIN_MISSING, teams=[a for _, a in TEAM_ABBREVIATIONS])
+
+
+@register("file_metadata", "with " + derive.cte_games() + " select count(*) as rows, cast(min(game_date) as varchar) as "
+          "min_game_date, cast(max(game_date) as varchar) as max_game_date, 5 as n_columns, count(distinct season_id) as "
+          "files, true as has_size from games")
+def file_metadata(spark, sf_dir):
+    """Rows, date range, files and size of a written table, one file a season, from footers and listing."""
+    g = derive.games(spark, sf_dir).select("game_id", "game_date", "season_id", "pts_home", "pts_away")
+    path = shared_dir(spark, "games_footers")
+    FS.write_parquet(g.repartition("season_id"), path, partition_by="season_id")
+    return FS.file_metadata(spark, path, ["game_date"]).select(
+        "rows", "min_game_date", "max_game_date", "n_columns", "files", (F.col("bytes") > 0).alias("has_size"))
+
+
+@register("normalized_headers", "select o_orderkey as game_id, o_custkey as offense__pts_per_g, o_totalprice as rk from orders",
+          doubles=["rk"])
+def normalized_headers(spark, sf_dir):
+    """Columns of a table with untidy headers under their plain names."""
+    o = derive.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return FS.with_normalized_headers(o.toDF("Game ID", " Offense_ Pts Per G ", "RK "))
+
+
+@register("iso_prefix_date", "select o_orderkey as game_id, case when o_orderkey % 43 = 0 then null else "
+          "cast(cast(o_orderdate as date) as timestamp) end as day from orders")
+def iso_prefix_date(spark, sf_dir):
+    """The date in front of an ISO text; text that is none gives NULL."""
+    o = derive.read(spark, sf_dir, "orders").selectExpr("o_orderkey as game_id", f"{DATE_TEXT} || 'T19:30:00Z' as text")
+    return o.select("game_id", C.date_from_iso_prefix("text").cast("timestamp_ntz").alias("day"))

@@ -6,6 +6,8 @@ import csv
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -200,6 +202,34 @@ def dataset_metadata(df: DataFrame, date_cols=()) -> DataFrame:
     })
 
 
+def statistics_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose Parquet scans answer counts, minima and maxima from the
+    files' footers where those hold them (its settings do not touch the caller's)."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
+def file_metadata(spark: SparkSession, path: str, date_cols=()) -> DataFrame:
+    """``dataset_metadata`` of a written Parquet table and its number of files and bytes, from the
+    listing and the footers: no data page is read.  Where a footer lacks a statistic (Spark
+    refuses the short cut then), or a column's type is not covered by it, the rows are scanned."""
+    try:
+        row = dataset_metadata(statistics_session(spark).read.parquet(path), date_cols).first()
+    except (PySparkException, Py4JJavaError) as e:
+        if "No min/max found" not in str(e):
+            raise
+        row = dataset_metadata(spark.read.parquet(path), date_cols).first()
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    sizes = [p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(jvm.org.apache.hadoop.fs.Path, data_files(spark, path))]
+    fields = ["rows long", *[f"{k}_{c} string" for c in date_cols for k in ("min", "max")], "columns array<string>",
+              "n_columns int", "files long", "bytes long"]
+    return spark.createDataFrame([(*row, len(sizes), sum(sizes))], ", ".join(fields))
+
+
 def files_size(df: DataFrame) -> DataFrame:
     """Number and total bytes of the files that a file-based DataFrame reads."""
     files = df.select("_metadata.file_path", "_metadata.file_size").distinct()

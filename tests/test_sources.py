@@ -166,3 +166,21 @@ def test_freshness_in_parts_of_an_hour(spark):
     df = spark.read.parquet(path)
     ahead = dt.datetime.now(dt.timezone.utc) + dt.timedelta(minutes=30)
     assert FS.fresh_only(df, 0.6 / 24, ahead).count() == 3 and FS.fresh_only(df, 0.4 / 24, ahead).count() == 0
+
+
+def test_metadata_comes_from_footers(spark):
+    path = shared_dir(spark, "t_footers")
+    df = spark.range(5000).select("id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("day"),
+                                  (F.col("id") % 3).alias("part"))
+    FS.write_parquet(df, path, "part")
+    got = FS.file_metadata(spark, path, ["day"]).first()
+    assert (got.rows, got.min_day, got.max_day, got.n_columns) == (5000, "2020-01-01", "2021-02-03", 3)
+    assert got.files == len(FS.data_files(spark, path)) and got.bytes > 0 and got.columns == ["id", "day", "part"]
+    own = FS.statistics_session(spark)
+    plan = FS.dataset_metadata(own.read.parquet(path), ["day"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(day), MAX(day)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    # without statistics in the footers the rows are read
+    bare = shared_dir(spark, "t_bare")
+    df.write.option("parquet.column.statistics.enabled", "false").parquet(bare)
+    assert FS.file_metadata(spark, bare, ["day"]).first()[:3] == got[:3]
