@@ -1,10 +1,9 @@
 """Token ids of whole texts from a public tokenizer file.
 
 Both vocabularies used here split a text at white space before any merge, so
-the ids of a text are the ids of its space-separated pieces put together.  The
-texts of a batch are cut at once; each distinct piece is looked up once, and the ids of all texts are
-gathered in one step.  A worker keeps the ids of the pieces it has met (beyond ``MAX_PIECES`` it
-forgets those met once only) and asks the tokenizer for new pieces only, many in one call;
+the ids of a text are the ids of its space-separated pieces put together.  A
+worker keeps the ids of the pieces it has met (beyond ``MAX_PIECES`` it forgets
+those met in one text only) and asks the tokenizer for new pieces only, many in one call;
 plain words of a byte-level vocabulary go to the tokenizer's model directly.  Texts with any irregular white space (doubled, leading,
 trailing, or other than space and newline) go to the tokenizer whole, so the
 result always equals ``encode(text, add_special_tokens=False)``; the strings of
@@ -153,75 +152,71 @@ class PieceEncoder:
                 start[plain, k] = (sum(map(len, flats)) + np.cumsum(n) - n)[at]
                 length[plain, k] = n[at]
                 flats.append(ids)
-        rest = [i for i in np.flatnonzero(other).tolist() if new[i]]  # white space at an end may leave an empty piece
-        found = self._joined([new[i] for i in rest])
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        start[rest, 1], length[rest, 1] = sum(map(len, flats)) + np.cumsum(n) - n, n
-        flats.append(np.fromiter(chain.from_iterable(found), np.uint32, n.sum()))
+        rest = np.flatnonzero(other).tolist()
+        ids, first, n = self._joined([new[i] for i in rest])
+        start[rest, 1], length[rest, 1] = sum(map(len, flats)) + first, n
+        flats.append(ids)
         total = length.sum(1)
         at = len(self.flat)
         self.flat = np.concatenate([self.flat, np.concatenate(flats)[_ranges(start.ravel(), length.ravel())]])
         self.start = np.concatenate([self.start, at + np.cumsum(total) - total])
         self.length = np.concatenate([self.length, total])
-        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
 
-    def _joined(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces, many in one call.  Every piece follows a mark, so the marks among the ids are
-        the borders; for a piece that starts with a newline the mark is its first token."""
-        out: list[list[int]] = []
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first and number of each piece's) of pieces, many in one call.  Every piece follows a mark,
+        so the marks among the ids are the borders; for a piece that starts with a newline the mark is
+        its first token."""
+        flat, starts, lengths, used = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for lo in range(0, len(pieces), 4096):
             part = pieces[lo:lo + 4096]
             if self.keeps_space:
                 text = "".join(["\n" + p[1:] if p[0] in "\n\x00" else "\n " + p for p in part])
-                broken = [p[0] == "\n" for p in part]
+                broken = np.fromiter([p[0] == "\n" for p in part], bool, len(part))
             else:
                 text = "\x01 " + " \x01 ".join(part)
-                broken = [False] * len(part)
-            ids = self._ids(text)
-            marks = [i for i, x in enumerate(ids) if x == self.mark_id] + [len(ids)]
-            assert len(marks) == len(part) + 1
-            out += [ids[a + 1 - b:c] for a, b, c in zip(marks, broken, marks[1:])]
-        return out
-
-    def _regular(self, text: str) -> bool:
-        """Whether the white space of a text is regular."""
-        return not (_OTHER_SPACE.search(text) or self.keeps_space and (
-            "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"))
-
-    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """(distinct pieces, the piece at each place, places of each text) of regular texts.  A piece
+                broken = np.zeros(len(part), bool)
+            ids = np.asarray(self._ids(text), np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            assert len(marks) == len(part)
+            first = marks + 1 - broken
+            flat.append(ids)
+            starts.append(first + used)
+            lengths.append(np.append(marks[1:], len(ids)) - first)
+            used += len(ids)
+        return np.concatenate(flat), np.concatenate(starts), np.concatenate(lengths)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces of a text whose white space is regular, else None.  A piece
         after a newline starts with it; the first piece of a text starts with NUL."""
-        array = pa.array(texts, pa.large_string())
-        if self.keeps_space:
-            lists = pc.split_pattern(pc.replace_substring(array, "\n", " \n"), " ")
-        else:
-            lists = pc.ascii_split_whitespace(array)
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        offsets = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        return coded.dictionary, coded.indices.to_numpy(), offsets - offsets[0]
+        if _OTHER_SPACE.search(text):
+            return None
+        if not self.keeps_space:
+            return text.split()
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" \
+                or text[-1] in " \n":
+            return None
+        return ("\x00" + text).replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids per text (NULL is the empty text)."""
         if len(self.index) > MAX_PIECES:
             self._forget_rare()
-        regular = [i for i, t in enumerate(texts) if t and self._regular(t)]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if regular:
-            # a byte-level vocabulary tells the first piece of a text (no space before it) from others
-            head = "\x00" if self.keeps_space else ""
-            distinct, places, offsets = self._pieces([head + texts[i] for i in regular])
-            at = np.fromiter(map(self.index.__getitem__, distinct.to_pylist()), np.int64, len(distinct))
-            if self.index.new:
-                self._learn()
-            self.hits[at] += np.bincount(places, minlength=len(at))
-            here = at[places]
-            length = self.length[here]
-            ids = self.flat[_ranges(self.start[here], length)]
-            ends = np.concatenate([[0], np.cumsum(length)])[offsets]
-            for i, lo, hi in zip(regular, ends[:-1].tolist(), ends[1:].tolist()):
-                out[i] = ids[lo:hi]
-        return [np.asarray(self._ids(t) if t else [], np.uint32) if x is None else x for t, x in zip(texts, out)]
+        found: list[np.ndarray | None] = []
+        get = self.index.__getitem__
+        for text in texts:
+            pieces = self._pieces(text) if text else None
+            found.append(np.asarray(list(map(get, pieces)), np.int64) if pieces else None)
+        if self.index.new:
+            self._learn()
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.start) - len(self.hits), np.int64)])
+        out = []
+        for text, at in zip(texts, found):
+            if at is None:
+                out.append(np.asarray(self._ids(text) if text else [], np.uint32))
+            else:
+                self.hits[at] += 1  # once per text is enough to tell rare pieces
+                out.append(self.flat[_ranges(self.start[at], self.length[at])])
+        return out
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
