@@ -14,6 +14,11 @@
 5. Links give components.  In large buckets that still hold several components, the
    pairs across components are estimated and confirmed as well, in blocks, so that no
    link between different components is lost, and the components are taken anew.
+   A bucket of more than ``WIDE`` blocks is first keyed by a second shared band, which costs
+   ``BANDS`` rows a class at most instead of one for every block: a pair at 0.8 has a second band in
+   common but for one in a million.  Groups that are still large are cut into blocks like others.
+
+Very long texts are hashed in pieces of bounded size; a set is held whole by one task, two at a time.
 
 Pairs inside one component need no confirmation: the result is the class of each
 document, not the list of links.
@@ -37,6 +42,8 @@ PERMS, BANDS, BITS = 128, 32, 8
 SMALL = 12
 #: Most classes and shingles in a block of a large bucket; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+#: Most blocks of a bucket before it is keyed by a second band.
+WIDE = 8
 #: Estimates have a deviation of 0.035 at 0.8; pairs this far below the threshold are not confirmed.
 SLACK = 0.15
 
@@ -169,33 +176,49 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The ``rows`` of keys that hold several components, with the ``blocks`` to cut each key into."""
+    blocks = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                   F.ceil(blocks).cast("int").alias("blocks")).where("lo <> hi")
+    return rows.join(keys.select("key", "blocks"), "key")
+
+
 def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame,
                  similarity: float) -> DataFrame:
     """Confirmed links ``a, b`` across components of the large buckets.
 
-    A bucket is cut into blocks of bounded size and every pair of blocks is one group of rows.
-    In a group a pair is looked at only in the first bucket that its classes share, so once
+    A bucket is cut into blocks of bounded size and every pair of blocks is one group of rows; a
+    wide bucket is first keyed by each second band of its classes (the two keys' exclusive or).
+    In a group a pair is looked at only under the first key that its classes share, so once
     in all; pairs of one component are skipped, also when a link of this group has just joined
     them, and bit counts leave the likely pairs to be confirmed.  The result has fewer links than classes.
     """
-    known = members.where(F.col("n") > SMALL).join(labels, "cls", "left").withColumn(
-        "root", F.coalesce("root", "cls"))
-    open_keys = (known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                          F.sum("n_shingles").alias("total"))
-                 .where("lo <> hi").select("key", "total"))
-    rows = known.join(open_keys, "key")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    known = members.where(F.col("n") > SMALL).select("key", "cls", "n_shingles").join(
+        labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    opened = _save(_open(known), "open")
+    wide = opened.where(F.col("blocks") > WIDE).groupBy("cls").agg(
+        F.collect_list("key").alias("wide"), F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"))
+    twice = (wide.join(classes.select("cls", "bands"), "cls").withColumn("one", F.explode("wide"))
+             .withColumn("two", F.explode("bands"))
+             .where("one <> two and (one < two or not array_contains(wide, two))")
+             .select(F.col("one").bitwiseXOR(F.col("two")).alias("key"), "cls", "n_shingles", "root"))
+    rows = opened.where(F.col("blocks") <= WIDE).unionByName(_open(twice))
+    blocks = F.col("blocks")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", F.least("i", "other").alias("p"), F.greatest("i", "other").alias("q"), "i", "cls", "root", "sig")
-    rows = rows.join(classes.select("cls", "bands"), "cls").join(sets, "cls")
+        "key", F.least("i", "other").alias("p"), F.greatest("i", "other").alias("q"), "i", "cls", "root")
+    marked = classes.select("cls", "sig", "bands").join(wide.select("cls", "wide"), "cls", "left").select(
+        "cls", "sig", "bands", F.transform("bands", lambda b: F.coalesce(
+            F.array_contains("wide", b), F.lit(False))).alias("wide"))
+    rows = rows.join(marked, "cls").join(sets, "cls")
     percent, floor = round(similarity * 100), similarity - SLACK
 
     def compare(batches: Iterable[pa.RecordBatch]):
         def links(group: list[tuple], key: int) -> list[tuple[bytes, bytes]]:
-            side, cls, root, sig, bands, hashes = zip(*group)
+            side, cls, root, sig, bands, wide, hashes = zip(*group)
             sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(group), -1)
-            bands, side = np.array(bands, np.int64), np.array(side)
+            bands, wide, side = np.array(bands, np.int64), np.array(wide, bool), np.array(side)
             comp = np.unique(np.array(root, object), return_inverse=True)[1]
             sets_ = [np.frombuffer(h, np.uint64) for h in hashes]
             size = np.array([len(x) for x in sets_])
@@ -206,8 +229,11 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets
                 if mixed:
                     y = y[side[y] != side[x]]
                 y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-                first = (bands[y] == bands[x]).argmax(1)
-                y = y[bands[x][first] == key]
+                same = bands[y] == bands[x]
+                first = same.argmax(1)
+                same[np.arange(len(y)), first] = False
+                second = np.where(wide[x][first], bands[x][same.argmax(1)], 0)
+                y = y[bands[x][first] ^ second == key]
                 alike = _estimate(sig[x], sig[y])
                 for v in y[np.argsort(-alike, kind="stable")][:np.count_nonzero(alike >= floor)].tolist():
                     if comp[v] != comp[x]:
@@ -231,7 +257,7 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets
         yield rows_of(found)
 
     spark = members.sparkSession
-    rows = rows.select("key", "p", "q", "i", "cls", "root", "sig", "bands", "hashes")
+    rows = rows.select("key", "p", "q", "i", "cls", "root", "sig", "bands", "wide", "hashes")
     rows = rows.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "cls")
     return rows.mapInArrow(compare, "a binary, b binary")
 
@@ -256,9 +282,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, row: s
         F.min(own).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
         F.first("bands").alias("bands"))
     classes = _save(classes, "classes")
-    keyed = classes.select("cls", F.explode("bands").alias("key"))
+    keyed = classes.select("cls", "n_shingles", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = _save(keyed.join(buckets, "key").join(classes.select("cls", "n_shingles", "sig"), "cls"), "members")
+    members = _save(keyed.join(buckets, "key"), "members")
 
     # full sets of the classes that share any bucket
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("_rep"))
