@@ -7,8 +7,9 @@ are scanned once: the hash of every window is looked up in the set, hits are
 verified word by word, and all words inside verified windows are hit.
 
 The set is broadcast only up to ``MAX_WINDOWS`` windows.  A larger benchmark is
-cut into blocks of items of about that size; the documents are scanned once per
-block and the hits of each row are put together by a row number written before.
+cut into blocks of about that size, long items between their windows by the executors; the
+documents are scanned once per block and the hits of each row are put together by a row number
+written before.
 """
 
 from __future__ import annotations
@@ -141,17 +142,39 @@ def _scan_clean(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(scan, docs.schema)
 
 
+def _cut(items: DataFrame, n: int, size: int) -> DataFrame:
+    """``item_id, text`` (bytes): the items' words in pieces of at most ``size`` windows, each
+    window in one piece of its item."""
+    def cut(batches: Iterable[pa.RecordBatch]):
+        for rows, texts in byte_slices(batches):
+            words = Words(texts, ALNUM_LOWER)
+            for item, lo, hi in zip(rows.column(0).to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist()):
+                last = max(hi - n, lo)  # start of the last window
+                pieces = [words.text(a, min(a + size - 1 + n, hi)) for a in range(lo, last + 1, size) if hi > lo]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(pieces), pa.string()), pa.array(pieces, pa.binary())], ["item_id", "text"])
+
+    return items.mapInArrow(cut, "item_id string, text binary").distinct()
+
+
 def _blocks(spark: SparkSession, benchmark: DataFrame, n: int, max_windows: int) -> list:
-    """The benchmark as functions that each broadcast one block of its items."""
+    """The benchmark as functions that each broadcast one block of its windows."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
                              F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     # a word has at least one byte and a separator, so this bounds the windows from above
     total = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
     blocks = max(1, -(-int(total) // (3 * max_windows)))  # texts have more than 3 bytes a word, mostly
+    pieces = items.withColumn("text", F.col("text").cast("binary"))
+    if blocks > 1:
+        path = shared_dir(spark, "benchmark")
+        number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")
+        cut = _cut(items, n, max(1, max_windows // 8)).withColumn("block", number)
+        cut.repartition("block").write.partitionBy("block").parquet(path)
+        pieces = spark.read.schema("item_id string, text binary, block int").parquet(path)
 
     def block(b: int):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        return spark.sparkContext.broadcast(WindowSet([(r[0], r[1].encode()) for r in part.collect()], n))
+        part = pieces.where(F.col("block") == b) if blocks > 1 else pieces
+        return spark.sparkContext.broadcast(WindowSet([(r[0], bytes(r[1])) for r in part.collect()], n))
 
     return [partial(block, b) for b in range(blocks)]
 

@@ -129,10 +129,11 @@ def _classes(data, k, percent=80):
     return out
 
 
-@pytest.mark.parametrize("k,small", [(4, 12), (5, 12), (4, 2)])
-def test_near_duplicates(spark, monkeypatch, k, small):
+@pytest.mark.parametrize("k,small,wide", [(4, 12, 8), (5, 12, 8), (4, 2, 8), (4, 2, 0), (4, 2, 1)])
+def test_near_duplicates(spark, monkeypatch, k, small, wide):
     monkeypatch.setattr(ND, "SMALL", small)  # 2: hubs and the pass across components are used
     monkeypatch.setattr(ND, "BLOCK", 4)
+    monkeypatch.setattr(ND, "WIDE", wide)  # 0, 1: buckets are keyed by a second band
     data = rows()
     base = [f"n{i}" for i in range(150)]
     for c in range(14):  # a chain of copies: neighbours are alike, the ends are not
@@ -143,6 +144,27 @@ def test_near_duplicates(spark, monkeypatch, k, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_bucket_of_very_many_unlinked_classes(spark):
+    """50,000 classes share one band and nothing else; only planted twins share a second one and are alike."""
+    n = 50_000
+    own = "cast(case when id % 1000 = 1 then id - 1 else id end as bigint)"  # 0 and 1, 1000 and 1001, ... are twins
+    classes = spark.range(n).selectExpr(
+        "unhex(md5(cast(id as string))) as cls", "5L as n_shingles",
+        f"array_repeat(unhex(md5(cast({own} as string))), 8) as parts",
+        f"concat(array(17L), transform(sequence(1, 31), j -> xxhash64({own}, j))) as bands", f"{own} as own", "id")
+    classes = classes.selectExpr("cls", "n_shingles", "concat(parts[0], parts[1], parts[2], parts[3], parts[4], parts[5], "
+                                 "parts[6], parts[7]) as sig", "bands", "own", "id").cache()
+    sets = spark.createDataFrame(classes.select("cls", "own").toPandas().apply(
+        lambda r: (bytes(r.cls), b"".join(int(r.own * 5 + j).to_bytes(8, "little") for j in range(5))), axis=1).tolist(),
+        "cls binary, hashes binary")
+    members = classes.selectExpr("17L as key", "cls", "n_shingles", f"{n}L as n")
+    labels = spark.createDataFrame([], "cls binary, root binary")
+    found = ND._cross_links(members, labels, classes.drop("own", "id"), sets, 0.8).collect()
+    ids = {bytes(r.cls): r.id for r in classes.select("cls", "id").collect()}
+    got = sorted(tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in found)
+    assert got == [(i, i + 1) for i in range(0, n, 1000)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     got = near_duplicates(frame(spark, [(1, None), (2, ""), (3, "only one")])).collect()
@@ -212,6 +234,23 @@ def test_contamination_is_of_the_row_not_the_doc_id(spark, max_windows):
         str(d) for d, w in zip(data, want) if not w[2])
 
 
+def test_one_very_long_benchmark_item_is_cut(spark):
+    """A block holds about ``max_windows`` windows, also where the benchmark is one item, and no window is lost."""
+    from lineup.llm import decontamination as DC
+    long = [f"L{i}" for i in range(3000)]
+    items = [(1, " ".join(long)), (2, "a b " * 4000), (3, "few words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [sum(len(h) for h in block().value.hashes.values()) for block in DC._blocks(spark, bench, 10, 400)]
+    assert sum(sizes) >= 2991 + 2 + 1 and len(sizes) > 10 and max(sizes) < 4 * 400
+    data = [(i, " ".join(["x"] * 3 + long[7 * i:7 * i + 12] + ["y"])) for i in range(425)]
+    data += [(900, "b a " * 6), (901, "FEW words"), (902, "a b c"), (903, " ".join(long)), (904, None)]
+    want = _contamination(data, items)
+    got = find_contamination(frame(spark, data), bench, max_windows=400).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_hit, r.item_ids)) for r in got)
+    blank = spark.createDataFrame([(1, "... " * 20)], "item_id long, text string")
+    assert {r.n_hit for r in find_contamination(frame(spark, data), blank, max_windows=3).collect()} == {0}
+
+
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in find_contamination(frame(spark, rows()), none).collect()} == {0}
