@@ -32,6 +32,8 @@ MAX_FIT_ROWS = 12_000
 MAX_FIT_FEATURES = 12_000_000
 STEPS = 16
 SHAPE_VALUE = 4.0
+#: Bytes of text whose features are made at once: the arrays take some 35 times that.
+SLICE = 1_000_000
 #: Besides whole words, word beginnings of so many bytes are features (inflected forms share them).
 PREFIXES = (4, 6)
 
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_FIT_ROWS,
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def describe(batches: Iterable[pa.RecordBatch]):
-        for b, texts in byte_slices(batches, "text"):
+        for b, texts in byte_slices(batches, "text", SLICE):
             index, first, _ = features(texts)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column(0), "grade": b.column(2),
@@ -211,7 +213,7 @@ def classify(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5) ->
 
     def rate(batches: Iterable[pa.RecordBatch]):
         m = shared.value
-        for b, texts in byte_slices(batches, "text"):
+        for b, texts in byte_slices(batches, "text", SLICE):
             index, first, n_words = features(texts)
             some = n_words > 0
             if m is None:
