@@ -200,6 +200,14 @@ def test_quality(spark):
     assert none is None and [r.kept for r in classify(df, none).collect()].count(True) == len(docs) + 3
 
 
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [t.encode() if t is not None else None for _, t in rows()]
+    index, first, n_words = features(texts)
+    for i, text in enumerate(texts):
+        alone, _, own = features([text])
+        assert index[first[i]:first[i + 1]].tolist() == alone.tolist() and n_words[i] == own[0]
+
+
 def test_ordinal_fit_recovers_the_order():
     rng = np.random.default_rng(0)
     texts, grade = [], []
