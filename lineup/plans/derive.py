@@ -23,6 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False)
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread_rows else df
 
 
+def documents(spark: SparkSession, sf_dir: str, *exprs: str) -> DataFrame:
+    """``orders`` dealt out, as documents that the ``exprs`` build.  The coalesce moves no row: it ends the
+    generated code, as the text building and the parsing that follows make together one method
+    too long (over 8,000 bytes) for the JVM to compile, which then interprets every row."""
+    rows = read(spark, sf_dir, "orders", spread_rows=True)
+    return rows.selectExpr(*exprs).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _pick(values, index_sql: str, dialect: str) -> str:
     items = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
     if dialect == "spark":
@@ -262,7 +270,7 @@ def odds_doc_sql(move: int = 0) -> str:
 
 def odds_documents(spark: SparkSession, sf_dir: str, move: int = 0) -> DataFrame:
     """One odds feed document per game (JSON text) built from ``orders``."""
-    return read(spark, sf_dir, "orders", spread_rows=True).selectExpr(f"{G} as doc_id", f"{odds_doc_sql(move)} as doc")
+    return documents(spark, sf_dir, f"{G} as doc_id", f"{odds_doc_sql(move)} as doc")
 
 
 def cte_odds_rows(move: int = 0) -> str:
@@ -314,5 +322,4 @@ def scoreboard_doc_sql() -> str:
 
 
 def scoreboard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders", spread_rows=True).selectExpr(
-        f"{G} as doc_id", f"{G} % 2 = 0 as shape_a", f"{scoreboard_doc_sql()} as doc")
+    return documents(spark, sf_dir, f"{G} as doc_id", f"{G} % 2 = 0 as shape_a", f"{scoreboard_doc_sql()} as doc")

@@ -3,7 +3,8 @@
 Each input row holds one feed document: a JSON array of games, each game
 with bookmakers -> markets -> outcomes.  Parsing goes through ``VARIANT`` so a
 malformed element is skipped on its own instead of voiding its whole array
-(a fixed ``from_json`` schema returns NULL for the entire array).
+(a fixed ``from_json`` schema returns NULL for the entire array).  The VARIANT is cast once to the
+nested type that is read; a lookup for every field would walk and copy its parts again and again.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from pyspark.sql import functions as F
 from lineup.functions.odds import american_to_prob
 
 
-def _get(v: str, path: str, typ: str) -> Column:
-    return F.expr(f"try_variant_get({v}, '{path}', '{typ}')")
+#: What is read of a document, as one type: a VARIANT is cast to it in one walk, and a part that does not fit
+#: (an element that is no object, a price that is text) becomes NULL on its own.
+GAMES_TYPE = ("array<struct<id string, commence_time string, home_team string, away_team string, bookmakers array<struct<"
+              "key string, markets array<struct<key string, outcomes array<struct<name string, price double>>>>>>>>")
 
 
 def _price(outcomes: str, team: str) -> Column:
     # last outcome with the team's name wins (a dict built in order would keep the last)
-    return F.expr(
-        # a side that the book does not quote is NULL
-        f"try_element_at(transform(filter({outcomes}, o -> try_variant_get(o, '$.name', 'string') = {team}),"
-        f" o -> try_variant_get(o, '$.price', 'double')), -1)")
+    # a side that the book does not quote is NULL
+    return F.expr(f"try_element_at(filter({outcomes}, o -> o.name = {team}), -1).price")
 
 
 def parse_documents(docs: DataFrame, doc_col: str = "doc", strict: bool = False) -> DataFrame:
@@ -31,7 +32,7 @@ def parse_documents(docs: DataFrame, doc_col: str = "doc", strict: bool = False)
     NULL when the document is not a JSON array).  ``strict=True`` fails the job
     on a non-array document (the reference raises); otherwise such documents
     are only flagged (``_is_array``)."""
-    v = docs.withColumn("_games", _get(f"try_parse_json({doc_col})", "$", "array<variant>"))
+    v = docs.withColumn("_games", F.expr(f"try_variant_get(try_parse_json({doc_col}), '$', '{GAMES_TYPE}')"))
     is_array = F.col("_games").isNotNull()
     if strict:
         return v.withColumn("_is_array", F.when(is_array, F.lit(True))
@@ -39,25 +40,12 @@ def parse_documents(docs: DataFrame, doc_col: str = "doc", strict: bool = False)
     return v.withColumn("_is_array", is_array)
 
 
-# Each level is extracted once per element inside ``transform`` and filtered
-# inside the array, so no extraction is evaluated twice (a filter on a
-# projected column would otherwise be pushed below the projection and
-# recompute the VARIANT lookups).
-_GAMES = (
-    "filter(transform(_games, g -> named_struct("
-    "'game_id', try_variant_get(g, '$.id', 'string'), "
-    "'ct', try_variant_get(g, '$.commence_time', 'string'), "
-    "'home_team', try_variant_get(g, '$.home_team', 'string'), "
-    "'away_team', try_variant_get(g, '$.away_team', 'string'), "
-    "'books', try_variant_get(g, '$.bookmakers', 'array<variant>'))), "
-    "x -> x.home_team is not null and x.home_team <> '' and x.away_team is not null and x.away_team <> '')"
-)
+# Filtered inside the arrays, before they are exploded.
+_GAMES = "filter(_games, x -> x.home_team <> '' and x.away_team <> '')"
 _BOOKS = (
-    "filter(transform(_g.books, b -> named_struct("
-    "'bookmaker', try_variant_get(b, '$.key', 'string'), "
-    "'outcomes', try_variant_get(get(filter(try_variant_get(b, '$.markets', 'array<variant>'), "
-    "m -> try_variant_get(m, '$.key', 'string') = 'h2h'), 0), '$.outcomes', 'array<variant>'))), "
-    "x -> x.bookmaker is not null and x.bookmaker <> '' and x.outcomes is not null)"
+    "filter(transform(_g.bookmakers, b -> named_struct('bookmaker', b.key, "
+    "'outcomes', get(filter(b.markets, m -> m.key = 'h2h'), 0).outcomes)), "
+    "x -> x.bookmaker <> '' and x.outcomes is not null)"
 )
 
 
@@ -78,7 +66,7 @@ def flatten_odds(docs: DataFrame, doc_col: str = "doc", bookmakers=None,
         v = v.where("_is_array")
     games = v.select(*keep, F.explode(F.expr(_GAMES)).alias("_g"))
     # carry only the scalar game fields past the second explode (not the books array)
-    books = games.select(*keep, *[F.col(f"_g.{c}").alias(c) for c in ("game_id", "ct", "home_team", "away_team")],
+    books = games.select(*keep, F.col("_g.id").alias("game_id"), F.col("_g.commence_time").alias("ct"), "_g.home_team", "_g.away_team",
                          F.explode(F.expr(_BOOKS)).alias("_b"))
     if bookmakers:
         allowed = [b for b in bookmakers if b]

@@ -76,3 +76,16 @@ def test_american_to_decimal(spark):
     got = [r[0] for r in spark.createDataFrame([(-150.0,), (160.0,), (0.0,), (None,), (-100.0,)], "o double").select(
         O.american_to_decimal("o")).collect()]
     assert got == [pytest.approx(1 + 100 / 150), pytest.approx(2.6), None, None, pytest.approx(2.0)]
+
+
+def test_a_document_is_read_once_and_apart_from_its_building(spark, small_dir):
+    """One typed read of each document; the coalesce keeps its text building out of the parsing's method."""
+    from lineup.plans import derive
+    from lineup.sources.odds_json import flatten_odds
+    plan = flatten_odds(derive.odds_documents(spark, small_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(") == 1 and "Repartition" in plan.split("try_variant_get(")[1]
+    docs = [('[{"id":7,"home_team":"H","away_team":"A","bookmakers":["x",{"key":"b","markets":[3,{"key":"h2h","outcomes":'
+             '["y",{"name":"H","price":"even"},{"name":"A","price":"120"}]}]}]},5,{"home_team":"","away_team":"A"}]',),
+            ('{"id":1}',)]
+    rows = flatten_odds(spark.createDataFrame(docs, "doc string")).collect()
+    assert [(r.game_id, r.bookmaker, r.home_odds, r.away_odds) for r in rows] == [("7", "b", None, 120.0)]
