@@ -12,6 +12,7 @@ from lineup.operators import markets as M
 from lineup.plans import derive
 from lineup.plans.catalog import register
 from lineup.plans.oracle import cte_team_games
+from lineup.session import shared_dir
 from lineup.sources.odds_json import flatten_odds
 
 EDGE_COLS = ["game_id", "home_implied_prob", "away_implied_prob", "home_edge", "away_edge",
@@ -209,15 +210,17 @@ def _closing_sql() -> str:
 @register("closing_odds_join", _closing_sql(), doubles=["home_odds", "away_odds"])
 def closing_odds_join(spark, sf_dir):
     """J-1 as of tip-off: of three snapshots of every game's feed the last quote of each bookmaker before
-    the start, averaged per game and joined to the schedule."""
+    the start, averaged per game and joined to the schedule.  The join reads the quotes several times: they
+    are taken from the documents once and written."""
     quotes = None
     for hour, move in CLOSING_SNAPSHOTS:
-        docs = derive.read(spark, sf_dir, "orders", spread_rows=True).selectExpr(
-            f"{_seen_sql(hour, 'spark')} as snapshot_ts", f"{derive.odds_doc_sql(move)} as doc")
+        docs = derive.documents(spark, sf_dir, f"{_seen_sql(hour, 'spark')} as snapshot_ts", f"{derive.odds_doc_sql(move)} as doc")
         rows = M.decimal_quotes(flatten_odds(docs, keep=("snapshot_ts",))).select(
             "game_id", "bookmaker", "snapshot_ts", "home_odds", "away_odds")
         quotes = rows if quotes is None else quotes.unionByName(rows)
+    path = shared_dir(spark, "closing_quotes")
+    quotes.write.parquet(path)
     schedule = derive.read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) as game_id",
                                                                f"{derive.COMMENCE_TS} as commence_time")
-    out = M.closing_odds(schedule, quotes)
+    out = M.closing_odds(schedule, spark.read.parquet(path))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("commence_time", "last_seen")})

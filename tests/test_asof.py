@@ -61,3 +61,9 @@ def test_closing_odds(spark):
                               "game_id string, bookmaker string, snapshot_ts timestamp, home_odds double, away_odds double")
     got = {r.game_id: (r.home_odds, r.away_odds, r.n_books, r.last_seen) for r in M.closing_odds(s, q).collect()}
     assert got == {"g1": (3.5, 4.0, 2, T0 - h), "g2": (None, None, 0, None), "g3": (None, None, None, None)}
+
+
+def test_closing_join_takes_the_quotes_from_their_documents_once(spark, small_dir):
+    from lineup.plans.q_markets import closing_odds_join
+    plan = closing_odds_join(spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_get" not in plan and "parseJson" not in plan
