@@ -24,7 +24,7 @@ def odds_stream_consensus(spark, sf_dir):
     src = shared_dir(spark, "odds_snapshots")
     for time, move in SNAPSHOTS:
         docs = derive.odds_documents(spark, sf_dir, move)
-        docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src)
+        docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src, compression="gzip")
     sink, ck = shared_dir(spark, "odds_quotes"), shared_dir(spark, "odds_quotes_ck")
     run_quotes(spark, src, sink, ck, lateness="1 hour", files_per_trigger=64)
     out = consensus_from_quotes(spark.read.parquet(sink))
@@ -53,9 +53,9 @@ def odds_stream_windows(spark, sf_dir):
     src = shared_dir(spark, "odds_windows")
     for time, move in WINDOW_SNAPSHOTS:
         docs = derive.odds_documents(spark, sf_dir, move)
-        docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src)
+        docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src, compression="gzip")
     end = spark.createDataFrame([("[]",)], "doc string")
-    end.select(F.lit(LAST_SNAPSHOT).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src)
+    end.select(F.lit(LAST_SNAPSHOT).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src, compression="gzip")
     sink, ck = shared_dir(spark, "odds_windows_out"), shared_dir(spark, "odds_windows_ck")
     run_windows(spark, src, sink, ck, lateness="1 hour", files_per_trigger=64)
     out = spark.read.parquet(sink).select("window_start", "game_id", "home_odds", "away_odds", "n_quotes", "last_seen")

@@ -87,3 +87,16 @@ def test_windows_equal_their_batch_form(spark):
     rows = spark.createDataFrame(on_time, "ts string, doc string").select(F.col("ts").cast("timestamp").alias("snapshot_ts"), "doc")
     batch = window_consensus(flatten_odds(rows, keep=("snapshot_ts",)).dropDuplicates(["game_id", "bookmaker", "snapshot_ts"]))
     assert {(str(r.window_start)[11:16], r.game_id): (r.home_odds, r.n_quotes) for r in batch.collect()} == first
+
+
+@pytest.mark.parametrize("query", ["odds_stream_consensus", "odds_stream_windows"])
+def test_the_feed_is_stored_compressed(spark, small_dir, monkeypatch, query):
+    import glob
+
+    from lineup.plans import q_stream
+    made = {}
+    monkeypatch.setattr(q_stream, "shared_dir", lambda s, name: made.setdefault(name, shared_dir(s, name)))
+    rows = getattr(q_stream, query)(spark, small_dir).count()
+    src = made["odds_snapshots" if query.endswith("consensus") else "odds_windows"].removeprefix("file:")
+    files = glob.glob(f"{src}/part-*")
+    assert rows > 0 and files and all(f.endswith(".json.gz") for f in files)
