@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lineup.config import FeatureConfig
 
 UNB = Window.unboundedPreceding
+#: Participant rows that one task sorts (``task_number``).
+ROWS_PER_TASK = 250_000
 
 
 def _match(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
@@ -33,6 +35,21 @@ def _match(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     return left.join(right, cond).drop(*[f"_j_{c}" for c in cols])
 
 
+def task_number(rows: int, cores: int) -> int | None:
+    """Into how many tasks ``rows`` participant rows should be dealt, so that one task sorts about
+    ``ROWS_PER_TASK`` of them however many there are; None for few rows, which Spark may deal as it likes."""
+    return None if rows <= 4 * ROWS_PER_TASK else max(cores, -(-rows // ROWS_PER_TASK))
+
+
+def _match_in(left: DataFrame, right: DataFrame, cols: list[str], tasks: int | None) -> DataFrame:
+    """``_match`` in ``tasks`` tasks.  As fields of one struct NULLs are equal, and both sides can be dealt out by it."""
+    if not tasks:
+        return _match(left, right, cols)
+    left = left.withColumn("_m", F.struct(*cols)).repartition(tasks, "_m")
+    right = right.withColumn("_m", F.struct(*cols)).drop(*cols).repartition(tasks, "_m")
+    return left.join(right, "_m").drop("_m")
+
+
 def day_buckets(counts: DataFrame, keys: list[str], date: str, n: int, bucket_rows: int) -> DataFrame:
     """From rows per (keys, date) in ``_n``: ``_before`` (rows of earlier days), ``_bkt``,
     ``_start`` (rows before the bucket) and ``_to``, the bucket and those later ones whose first
@@ -51,9 +68,10 @@ def day_buckets(counts: DataFrame, keys: list[str], date: str, n: int, bucket_ro
     return days.withColumn("_to", F.concat(F.array("_bkt"), F.transform(near, lambda d: d["_bkt"]))).drop("_first")
 
 
-def to_buckets(rows: DataFrame) -> DataFrame:
-    """One row per target bucket ``_w``; ``_carry`` marks the copies."""
+def to_buckets(rows: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """One row per target bucket ``_w``; ``_carry`` marks the copies.  With ``tasks`` the buckets are dealt to as many."""
     out = rows.withColumn("_w", F.explode("_to")).drop("_to")
+    out = out.repartition(tasks, *keys, "_w") if tasks else out
     return out.withColumn("_carry", F.col("_w") != F.col("_bkt"))
 
 
@@ -98,7 +116,7 @@ def _safe_div(a: Column, b: Column) -> Column:
 def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConfig(),
                          key: str = "team_name", season: str = "season_id",
                          date: str = "game_date", gid: str = "game_id",
-                         whole_group: bool = True) -> DataFrame:
+                         whole_group: bool = True, tasks: int | None = None) -> DataFrame:
     """All window features of one participant row, computed in one partitioned pass.
 
     Adds the rolling means (``lookback`` and ``short``), the venue-split win
@@ -108,7 +126,8 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
     both as-run (``season_*``: all but the season's last game) and leak-free
     (``season_*_asof``: previous games only).  Ties on the date are broken by
     ``gid``.  ``whole_group=False`` skips the whole-group values when only the
-    row-frame features are needed.
+    row-frame features are needed.  ``tasks`` (see ``task_number``) is the number of tasks that the rows are
+    dealt to; without it the session's shuffle partitions hold the more rows the more there are.
     """
     n_lb, n_sh = cfg.lookback, cfg.short
     df = team_games
@@ -122,9 +141,9 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
         # the whole history of a participant: rows of its last day and of all before
         total = F.max(F.col("_before") + F.col("_n")).over(Window.partitionBy(key))
         info = _match(days, buckets.withColumn("_team_n", total).withColumnRenamed("_n", "_day_n"), [key, date])
-        u = to_buckets(_match(df, info, [key, season, date]))
+        u = to_buckets(_match_in(df, info, [key, season, date], tasks), [key], tasks)
     else:
-        u = to_buckets(_match(df, buckets, [key, date]))
+        u = to_buckets(_match_in(df, buckets, [key, date], tasks), [key], tasks)
 
     w = Window.partitionBy(key, "_w").orderBy(date, gid)
     u = u.withColumn("_lag_win", F.lag("win_numeric").over(w))
@@ -170,12 +189,12 @@ def participant_features(team_games: DataFrame, cfg: FeatureConfig = FeatureConf
 
 def venue_form(team_games: DataFrame, n: int = 10, key: str = "team_name",
                date: str = "game_date", gid: str = "game_id", bucket_rows: int = FeatureConfig.bucket_rows,
-               measure: str = "win_numeric") -> DataFrame:
+               measure: str = "win_numeric", tasks: int | None = None) -> DataFrame:
     """Win rate over the previous ``n`` games at the same venue: the useful
     form of the home/away split, partitioned by (participant, venue)."""
     keys = [key, "venue"]
     counts = team_games.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_n"))
-    u = to_buckets(_match(team_games, day_buckets(counts, keys, date, n, bucket_rows), [*keys, date]))
+    u = to_buckets(_match_in(team_games, day_buckets(counts, keys, date, n, bucket_rows), [*keys, date], tasks), keys, tasks)
     w = Window.partitionBy(*keys, "_w").orderBy(date, gid)
     out = u.withColumn("venue_win_pct_last_n", lagged_mean(measure, n, w)).where(~F.col("_carry"))
     return out.drop(*[c for c in out.columns if c.startswith("_")])

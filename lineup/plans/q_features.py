@@ -18,8 +18,13 @@ def team_rows(spark, sf_dir):
     return G.team_games(derive.games(spark, sf_dir))
 
 
+def _tasks(spark, sf_dir):
+    """By the number of orders, which Parquet's footers tell: each gives two rows."""
+    return WN.task_number(2 * derive.read(spark, sf_dir, "orders").count(), spark.sparkContext.defaultParallelism)
+
+
 def features(spark, sf_dir, cfg=CFG, whole_group=True):
-    return WN.participant_features(team_rows(spark, sf_dir), cfg, whole_group=whole_group)
+    return WN.participant_features(team_rows(spark, sf_dir), cfg, whole_group=whole_group, tasks=_tasks(spark, sf_dir))
 
 
 # ---- oracle: every window feature written directly over the whole team ----
@@ -88,7 +93,7 @@ def venue_split_form(spark, sf_dir):
           doubles=["venue_win_pct_last_n"])
 def venue_form_by_venue(spark, sf_dir):
     """W3, useful form: previous 10 games at the same venue."""
-    return WN.venue_form(team_rows(spark, sf_dir), N).select(
+    return WN.venue_form(team_rows(spark, sf_dir), N, tasks=_tasks(spark, sf_dir)).select(
         "game_id", "team_name", "venue", "venue_win_pct_last_n")
 
 

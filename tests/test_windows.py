@@ -163,3 +163,28 @@ def test_null_keys_keep_their_rows(spark):
         got = WN.participant_features(df, FeatureConfig(bucket_rows=4), whole_group=whole)
         assert sorted(r.game_id for r in got.select("game_id").collect()) == sorted(r[0] for r in rows)
     assert WN.venue_form(df, 3, bucket_rows=4).count() == len(rows)
+
+
+def test_rows_are_dealt_to_tasks_by_their_number(spark, small_dir, monkeypatch):
+    """Same rows, NULL keys and dates as well, and more tasks for more rows."""
+    import datetime as dt
+
+    from lineup.operators import windows as W
+    from lineup.plans import q_features as Q
+    rows = [(g, None if g % 11 == 0 else dt.date(2020, 1, 1) + dt.timedelta(days=g // 4), None if g % 13 == 0 else 2020 + g // 100,
+             [None, "a", "b"][g % 3], ["home", "away"][g % 2], g % 7, g % 5, float(g % 2), bool(g % 2)) for g in range(200)]
+    df = spark.createDataFrame(rows, "game_id int, game_date date, season_id int, team_name string, venue string, pts_for int, "
+                                     "pts_against int, win_numeric double, win boolean")
+    for c in ("point_diff", "fg_pct", "fg3_pct", "ft_pct", "rebounds", "assists", "turnovers"):
+        df = df.withColumn(c, df.pts_for - df.pts_against)
+    for whole in (True, False):
+        a, b = (W.participant_features(df, whole_group=whole, tasks=t) for t in (None, 7))
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert len(a.collect()) == 200
+    a, b = (W.venue_form(df, 3, tasks=t) for t in (None, 7))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert W.task_number(10 * W.ROWS_PER_TASK + 1, 4) == 11 and W.task_number(100, 4) is None
+    n = Q.team_rows(spark, small_dir).count()
+    monkeypatch.setattr(W, "ROWS_PER_TASK", -(-n // 23))
+    plan = Q.features_final_asof(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 23), REPARTITION_BY_NUM") == 3  # both sides of the join, the buckets
