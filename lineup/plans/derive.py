@@ -23,12 +23,15 @@ def read(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False)
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread_rows else df
 
 
-def documents(spark: SparkSession, sf_dir: str, *exprs: str) -> DataFrame:
-    """``orders`` dealt out, as documents that the ``exprs`` build.  The coalesce moves no row: it ends the
-    generated code, as the text building and the parsing that follows make together one method
+def documents(spark: SparkSession, sf_dir: str, *exprs: str, tasks: int | None = None, first=()) -> DataFrame:
+    """``orders`` dealt out over ``tasks`` (without it the session's shuffle partitions), as documents that the
+    ``exprs`` build.  ``first`` are columns that they use again and again, made beforehand.  The coalesce moves no
+    row: it ends the generated code, as the text building and the parsing that follows make together one method
     too long (over 8,000 bytes) for the JVM to compile, which then interprets every row."""
-    rows = read(spark, sf_dir, "orders", spread_rows=True)
-    return rows.selectExpr(*exprs).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = read(spark, sf_dir, "orders").repartition(tasks)
+    rows = rows.selectExpr("*", *first).coalesce(tasks) if first else rows
+    return rows.selectExpr(*exprs).coalesce(tasks)
 
 
 def _pick(values, index_sql: str, dialect: str) -> str:
@@ -254,10 +257,13 @@ COMMENCE_TS = f"timestampadd(HOUR, 16 + {G} % 12, cast(cast(o_orderdate as date)
 MOVED_START = f"{G} % 9 = 0"
 
 
-def odds_doc_sql(move: int = 0) -> str:
+#: The names of a game's sides as columns of their own, for ``odds_doc_sql``.
+SIDES = [f"{team_name_sql(HOME_ID, 'spark')} as _home", f"{team_name_sql(AWAY_ID, 'spark')} as _away"]
+
+
+def odds_doc_sql(move: int = 0, home: str = team_name_sql(HOME_ID, "spark"),
+                 away: str = team_name_sql(AWAY_ID, "spark")) -> str:
     """JSON text of a game's feed document; ``move`` shifts all prices and, if not 0, some starts."""
-    home = team_name_sql(HOME_ID, "spark")
-    away = team_name_sql(AWAY_ID, "spark")
     start = f"case when {MOVED_START} then {COMMENCE_TS} + interval 1 day else {COMMENCE_TS} end" if move else COMMENCE_TS
     ct = (f"case when {DEFECT_BAD_TIME} then 'not-a-date' else "
           f"date_format({start}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end")
@@ -268,9 +274,20 @@ def odds_doc_sql(move: int = 0) -> str:
     return f"concat('[', {game}, case when {DEFECT_JUNK_ELEMENT} then ',17' else '' end, ']')"
 
 
-def odds_documents(spark: SparkSession, sf_dir: str, move: int = 0) -> DataFrame:
-    """One odds feed document per game (JSON text) built from ``orders``."""
-    return documents(spark, sf_dir, f"{G} as doc_id", f"{odds_doc_sql(move)} as doc")
+def odds_documents(spark: SparkSession, sf_dir: str, move: int = 0, tasks: int | None = None) -> DataFrame:
+    """One odds feed document per game (JSON text) built from ``orders``.  Each name stands in it many times;
+    looked up in place, they make the text's method too long for the JVM to compile."""
+    return documents(spark, sf_dir, f"{G} as doc_id", f"{odds_doc_sql(move, '_home', '_away')} as doc", tasks=tasks, first=SIDES)
+
+
+#: Documents of a snapshot that lie in one file of the feed.
+DOCS_PER_FILE = 250_000
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many files a snapshot of the feed is cut: as many as the cores, and more when they would hold more than
+    ``DOCS_PER_FILE`` documents.  The session's shuffle partitions would make hundreds of small ones."""
+    return max(spark.sparkContext.defaultParallelism, -(-read(spark, sf_dir, "orders").count() // DOCS_PER_FILE))
 
 
 def cte_odds_rows(move: int = 0) -> str:

@@ -50,13 +50,13 @@ def _windows_sql() -> str:
 @register("odds_stream_windows", _windows_sql(), doubles=["home_odds", "away_odds"])
 def odds_stream_windows(spark, sf_dir):
     """Consensus per 15-minute window of the feed in append mode, a snapshot that arrives twice counted once."""
-    src = shared_dir(spark, "odds_windows")
+    src, files = shared_dir(spark, "odds_windows"), derive.feed_files(spark, sf_dir)
     for time, move in WINDOW_SNAPSHOTS:
-        docs = derive.odds_documents(spark, sf_dir, move)
+        docs = derive.odds_documents(spark, sf_dir, move, files)
         docs.select(F.lit(time).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src, compression="gzip")
     end = spark.createDataFrame([("[]",)], "doc string")
     end.select(F.lit(LAST_SNAPSHOT).cast("timestamp").alias("snapshot_ts"), "doc").write.mode("append").json(src, compression="gzip")
     sink, ck = shared_dir(spark, "odds_windows_out"), shared_dir(spark, "odds_windows_ck")
-    run_windows(spark, src, sink, ck, lateness="1 hour", files_per_trigger=64)
+    run_windows(spark, src, sink, ck, lateness="1 hour", files_per_trigger=64, state_partitions=files)
     out = spark.read.parquet(sink).select("window_start", "game_id", "home_odds", "away_odds", "n_quotes", "last_seen")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "last_seen")})

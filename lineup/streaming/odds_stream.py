@@ -13,6 +13,8 @@ latest version of a (game, bookmaker) replaces the earlier ones.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,9 +94,37 @@ def windows_stream(spark: SparkSession, source: str, width: str = "15 minutes",
     return window_consensus(rows.dropDuplicatesWithinWatermark(["game_id", "bookmaker", "snapshot_ts"]), width)
 
 
-def run_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, **kw) -> None:
+#: State on the executors' disks with bounded memory: one key for each quote of the last hours is too much for a heap.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # counting the rows costs another look-up of every key that is put
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def _configured(spark: SparkSession, conf: dict):
+    """The session with ``conf`` inside, as before afterwards.  A stream that starts inside keeps it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, state_partitions: int | None = None,
+                **kw) -> None:
     """Run the windows to completion (``availableNow``) in append mode into a Parquet sink, which
-    commits every micro-batch once."""
-    q = (windows_stream(spark, source, **kw).writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start())
+    commits every micro-batch once.  ``state_partitions`` (without it the session's shuffle partitions) cuts the state of a
+    new checkpoint, which keeps it; every micro-batch opens and commits each part of both operators."""
+    conf = DISK_STATE | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
+    stream = (windows_stream(spark, source, **kw).writeStream.outputMode("append").format("parquet")
+              .option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True))
+    with _configured(spark, conf):
+        q = stream.start()
     q.awaitTermination()

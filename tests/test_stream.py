@@ -100,3 +100,50 @@ def test_the_feed_is_stored_compressed(spark, small_dir, monkeypatch, query):
     src = made["odds_snapshots" if query.endswith("consensus") else "odds_windows"].removeprefix("file:")
     files = glob.glob(f"{src}/part-*")
     assert rows > 0 and files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_feed_and_state_are_cut_by_rows_and_state_lies_on_disk(spark, small_dir, monkeypatch):
+    """Neither hundreds of small files and state partitions for hundreds of shuffle partitions, nor state in the heap."""
+    import glob
+    import os
+
+    from lineup.plans import q_stream
+    made, key = {}, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(q_stream, "shared_dir", lambda s, name: made.setdefault(name, shared_dir(s, name).removeprefix("file:")))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        assert q_stream.odds_stream_windows(spark, small_dir).count() > 0
+        assert spark.conf.get(key) == "40" and spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith(".HDFSBackedStateStoreProvider")
+    finally:
+        spark.conf.set(key, before)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(glob.glob(f"{made['odds_windows']}/part-*")) <= (len(q_stream.WINDOW_SNAPSHOTS) + 1) * cores
+    for operator in (0, 1):
+        parts = [p for p in os.listdir(f"{made['odds_windows_ck']}/state/{operator}") if p.isdigit()]
+        assert len(parts) == cores
+        assert all(glob.glob(f"{made['odds_windows_ck']}/state/{operator}/{p}/*.zip") for p in parts)
+
+
+def test_more_documents_make_more_files(spark, tmp_path, monkeypatch):
+    spark.range(1001).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert derive.feed_files(spark, str(tmp_path)) == cores
+    monkeypatch.setattr(derive, "DOCS_PER_FILE", 50)
+    assert derive.feed_files(spark, str(tmp_path)) == 21
+
+
+@pytest.mark.parametrize("move", [0, 29])
+def test_text_building_is_compiled(spark, small_dir, move):
+    """A method of more than 8,000 bytes is interpreted row by row."""
+    import re
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        shown = derive.odds_documents(spark, small_dir, move)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set(adaptive, before)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 7600
